@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, mixing, oracles, secret_scan
+from . import chunk_dedup, language_id, merkle, mixing, oracles, quality, secret_scan
 from .shared import docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,26 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_of(spark, sf_dir).select("doc_id", "source"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.fit(docs, labels))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(docs_of(spark, sf_dir)))
 
 
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup(docs_of(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op4_source_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op4_source_mixing, op5_quality_classifier, op7_language_id, op9_secret_scan, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
