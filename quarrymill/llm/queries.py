@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, language_id, merkle, mixing, oracles, quality, secret_scan
+from . import byte_bpe, chunk_dedup, language_id, media, merkle, mixing, oracles, quality, secret_scan
 from .shared import docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,21 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(docs_of(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode(docs_of(spark, sf_dir), byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(docs_of(spark, sf_dir)))
 
@@ -39,7 +49,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op4_source_mixing, op5_quality_classifier, op7_language_id, op9_secret_scan, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op4_source_mixing, op5_quality_classifier, op6_media_columns, op7_language_id, op8_byte_bpe, op9_secret_scan, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
