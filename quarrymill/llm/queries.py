@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, jaccard_join, language_id, media, merkle, mixing, oracles, quality, secret_scan
+from . import byte_bpe, chunk_dedup, jaccard_join, language_id, media, merkle, mixing, oracles, quality, secret_scan, suffix_dedup
 from .shared import docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(docs_of(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(docs_of(spark, sf_dir))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_of(spark, sf_dir).select("doc_id", "source"))
 
@@ -53,7 +57,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op4_source_mixing, op5_quality_classifier, op6_media_columns, op7_language_id, op8_byte_bpe, op9_secret_scan, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op3_suffix_dedup, op4_source_mixing, op5_quality_classifier, op6_media_columns, op7_language_id, op8_byte_bpe, op9_secret_scan, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
