@@ -10,9 +10,12 @@ document's component under links.
    shingles within their first n - c + L, for any L. A node chooses L by the estimated cost of its candidates (postings to read plus
    pairs to verify, which fall with L), and posts that longer prefix with the level at which each shingle enters. For two nodes the
    smaller L of both holds. Shingles of frequency 1 take up prefix but are never posted; a node with fewer than c others has no link.
-4. First each node is compared with the most central node (hub) of its lists, and components are formed. Then only pairs in
-   different components are candidates, found by list and size, with sizes and shared counts that allow a link. A group of
-   near copies thus costs a comparison a copy, not one a pair, and no link between components is lost.
+4. First each node is compared with the most central node (hub) of its lists, and components are formed. Only pairs in
+   different components are candidates after that. Two nodes with one hub are judged by how they differ from it: counts of
+   hub shingles that a node lacks, and of further shared ones that it has, in ``BLOCKS`` blocks of hashes bound their overlap;
+   most pairs that do not link fall here without being made. All other pairs are found by list and size, with sizes and
+   shared counts that allow a link. A group of near copies thus costs a comparison a copy, not one a pair, and no link
+   between components is lost.
 5. Candidates are verified on their texts; the components of all links follow.
 
 Defined cases: null, empty and blank texts have no shingle, n 0, and are their own class; texts of fewer than five words have one
@@ -40,6 +43,7 @@ BATCH_BYTES = 4_000_000
 #: Shingles of a counting part, about.
 PART_SHINGLES = 4_000_000
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
+BLOCKS = 32
 #: What verifying a pair costs, in postings read.
 VERIFY = 50.0
 
@@ -157,8 +161,9 @@ def choose_level(freq: np.ndarray, slack: int, c: int) -> int:
 
 
 def prefixes(table: DataFrame, freqs: DataFrame, bits: int) -> DataFrame:
-    """A row a node: k, rep, n, m (shingles that others have too), ell, toks and levs (posted prefix), z (text). Without a possible link the last four are null."""
-    names = ["k", "rep", "n", "m", "ell", "toks", "levs", "z"]
+    """A row a node: k, rep, n, m (shingles that others have too), ell, toks and levs (posted prefix), often (a bit for each shingle: do others
+    have it), z (text). Without a possible link the last five are null."""
+    names = ["k", "rep", "n", "m", "ell", "toks", "levs", "often", "z"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
@@ -176,7 +181,7 @@ def prefixes(table: DataFrame, freqs: DataFrame, bits: int) -> DataFrame:
                 fi = f[cuts[i] : cuts[i + 1]]
                 n, m = len(fi), int((fi > 1).sum())
                 c = -(-3 * n // 4)
-                row: tuple = (k, reps[i], n, m, None, None, None, None)
+                row: tuple = (k, reps[i], n, m, None, None, None, None, None)
                 if n and m >= c:
                     order = np.argsort(fi, kind="stable")  # hashes are sorted already
                     fo = np.where(fi[order] > 1, fi[order], 0)
@@ -184,50 +189,94 @@ def prefixes(table: DataFrame, freqs: DataFrame, bits: int) -> DataFrame:
                     at = np.arange(n - m, n - c + ell)
                     if len(at):
                         toks = h[cuts[i] : cuts[i + 1]][order[at]].view(np.int64)
-                        row = (k, reps[i], n, m, ell, toks, np.maximum(1, at + 1 - (n - c)).astype(np.int32), squeeze(texts[i]))
+                        row = (k, reps[i], n, m, ell, toks, np.maximum(1, at + 1 - (n - c)).astype(np.int32), np.packbits(fi > 1).tobytes(), squeeze(texts[i]))
                 for to, v in zip(rows, row, strict=True):
                     to.append(v)
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
 
-    spec = "k string, rep long, n int, m int, ell int, toks array<long>, levs array<int>, z binary"
+    spec = "k string, rep long, n int, m int, ell int, toks array<long>, levs array<int>, often binary, z binary"
     return table.groupBy("bid").cogroup(freqs.groupBy("bid")).applyInArrow(run, spec)
 
 
+def _both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, za, zb, oa) with the texts of pairs."""
+    text = nodes.filter(F.col("z").isNotNull())
+    return pairs.join(text.select(F.col("k").alias("a"), F.col("z").alias("za"), F.col("often").alias("oa")), "a").join(text.select(F.col("k").alias("b"), F.col("z").alias("zb")), "b")
+
+
+def _judge(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, shingles of a, shingles of b, which of a's are in b) of a batch of pairs."""
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress
+    a_k, b_k = b.column("a").to_pylist(), b.column("b").to_pylist()
+    held: dict[str, int] = {}
+    texts = []
+    for k, z in zip([*a_k, *b_k], [*b.column("za").to_pylist(), *b.column("zb").to_pylist()], strict=True):
+        if k not in held:
+            held[k] = len(texts)
+            texts.append(plain(z))
+    doc, h = shingles(*flat(pa.array(texts, pa.binary())))
+    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for i, (x, y) in enumerate(zip(a_k, b_k, strict=True)):
+        s, t = h[cuts[held[x]] : cuts[held[x] + 1]], h[cuts[held[y]] : cuts[held[y] + 1]]
+        yield i, s, t, t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
+
+
+def _links(s: np.ndarray, t: np.ndarray, both: np.ndarray) -> bool:
+    shared = int(both.sum())
+    return 100 * shared >= 75 * (len(s) + len(t) - shared)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their texts."""
-    text = nodes.filter(F.col("z").isNotNull())
-    both = pairs.join(text.select(F.col("k").alias("a"), F.col("z").alias("za")), "a").join(text.select(F.col("k").alias("b"), F.col("z").alias("zb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                a_k, b_k = b.column("a").to_pylist(), b.column("b").to_pylist()
-                held: dict[str, int] = {}
-                texts = []
-                for k, z in zip([*a_k, *b_k], [*b.column("za").to_pylist(), *b.column("zb").to_pylist()], strict=True):
-                    if k not in held:
-                        held[k] = len(texts)
-                        texts.append(plain(z))
-                doc, h = shingles(*flat(pa.array(texts, pa.binary())))
-                cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-                sets = [h[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                good = []
-                for x, y in zip(a_k, b_k, strict=True):
-                    s, t = sets[held[x]], sets[held[y]]
-                    if len(s) > len(t):
-                        s, t = t, s
-                    i = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                    shared = int((t[i] == s).sum())
-                    good.append(100 * shared >= 75 * (len(s) + len(t) - shared))
-                keep = pa.array(good, pa.bool_())
+                keep = pa.array([_links(s, t, both) for _, s, t, both in _judge(b)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a string, b string")
+    return _both(pairs, nodes).mapInArrow(run, "a string, b string")
+
+
+def stars(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, link, n, n_hub, lacks, extra): a node and its hub b; how many of the hub's shingles it lacks, and how many others that it
+    shares with anyone it has, by block of the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = U64(64 - BLOCKS.bit_length() + 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                link, n, n_hub, lacks, extra = [], [], [], [], []
+                for (_, s, t, both), often in zip(_judge(b), b.column("oa").to_pylist(), strict=True):
+                    mask = np.unpackbits(np.frombuffer(often, np.uint8), count=len(s)) > 0
+                    link.append(_links(s, t, both))
+                    n.append(len(s))
+                    n_hub.append(len(t))
+                    lacks.append(np.bincount((t >> shift).astype(np.int64), minlength=BLOCKS) - np.bincount((s[both] >> shift).astype(np.int64), minlength=BLOCKS))
+                    extra.append(np.bincount((s[mask & ~both] >> shift).astype(np.int64), minlength=BLOCKS))
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(link, pa.bool_()), pa.array(n, pa.int32()), pa.array(n_hub, pa.int32()), pa.array(lacks, ints), pa.array(extra, ints)], names=["a", "b", "link", "n", "n_hub", "lacks", "extra"])
+
+    return _both(pairs, nodes).mapInArrow(run, "a string, b string, link boolean, n int, n_hub int, lacks array<int>, extra array<int>")
+
+
+def hub_pairs(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): pairs with one hub, in different components, whose differences from the hub allow a link."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    t = star.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("comp", F.coalesce("label", "a"))
+    t = t.select(F.col("b").alias("hub"), F.col("a").alias("k"), "n", "n_hub", "lacks", "extra", "link", "comp").withColumn("most", F.col("n_hub") - total("lacks") + total("extra"))
+    least = t.groupBy("hub").agg(F.min("n").alias("n_min"))
+    x = t.filter(~F.col("link")).join(least, "hub").filter(7 * F.col("most") >= 3 * (F.col("n") + F.col("n_min"))).drop("n_min")
+    side = lambda d, p: d.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in ("k", "n", "n_hub", "lacks", "extra", "link", "comp", "most")])
+    needs = 3 * (F.col("x_n") + F.col("y_n"))
+    may = (F.col("x_comp") != F.col("y_comp")) & (F.col("y_link") | (F.col("x_k") < F.col("y_k"))) & (7 * F.least("x_most", "y_most") >= needs)
+    bound = F.col("x_n_hub") - total(F.zip_with("x_lacks", "y_lacks", lambda p, q: F.greatest(p, q))) + total(F.zip_with("x_extra", "y_extra", lambda p, q: F.least(p, q)))
+    return side(x, "x").join(side(t, "y"), "hub").filter(may & (7 * bound >= needs)).select(F.col("x_k").alias("a"), F.col("y_k").alias("b"))
 
 
 def star_pairs(post: DataFrame) -> DataFrame:
@@ -244,18 +293,20 @@ def _size_step(n):
     return F.floor(F.log(n.cast("double")) * 12).cast("int")
 
 
-def cross_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): candidates in different components with enough shared prefix shingles, each pair once."""
+def cross_pairs(post: DataFrame, labels: DataFrame, star: DataFrame) -> DataFrame:
+    """(a, b): candidates of different hubs and components with enough shared prefix shingles, each pair once."""
     p = post.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("label", "k")).drop("label")
+    p = p.join(star.select(F.col("a").alias("k"), F.col("b").alias("hub")), "k", "left").withColumn("hub", F.coalesce("hub", "k"))
     mixed = p.groupBy("tok").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_")).filter("lo_ <> hi_").select("tok")
     p = p.join(mixed, "tok", "left_semi")
     low, high = F.ceil(F.col("n") * 3 / 4), F.least(F.col("n"), F.floor(F.col("m") * 7 / 3).cast("int") - F.col("n"))
     x = p.withColumn("low", low).withColumn("high", high).filter("high >= low").withColumn("size", F.explode(F.sequence(_size_step(F.col("low")), _size_step(F.col("high")))))
-    x = x.select("tok", "size", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "m", "ell", "lev", "comp", "low", "high")])
-    y = p.select("tok", _size_step(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("k", "n", "m", "ell", "lev", "comp")])
+    x = x.select("tok", "size", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "m", "ell", "lev", "comp", "hub", "low", "high")])
+    y = p.select("tok", _size_step(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("k", "n", "m", "ell", "lev", "comp", "hub")])
     ell = F.least("x_ell", "y_ell")
     needs = F.ceil(F.lit(3) * (F.col("x_n") + F.col("y_n")) / F.lit(7))
-    may = (F.col("x_comp") != F.col("y_comp")) & F.col("y_n").between(F.col("x_low"), F.col("x_high")) & ((F.col("y_n") < F.col("x_n")) | (F.col("y_k") < F.col("x_k")))
+    apart = (F.col("x_hub") != F.col("y_hub")) & (F.col("x_hub") != F.col("y_k")) & (F.col("x_k") != F.col("y_hub"))
+    may = apart & (F.col("x_comp") != F.col("y_comp")) & F.col("y_n").between(F.col("x_low"), F.col("x_high")) & ((F.col("y_n") < F.col("x_n")) | (F.col("y_k") < F.col("x_k")))
     may &= (F.greatest("x_lev", "y_lev") <= ell) & (F.least("x_m", "y_m") >= needs)
     met = x.join(y, (x["tok"] == y["tok"]) & (x["size"] == y["size"]) & may)
     return met.groupBy(F.col("x_k").alias("a"), F.col("y_k").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(ell).alias("ell")).filter("c >= ell").select("a", "b")
@@ -278,11 +329,13 @@ def join(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
 def classes(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id from members (doc_id, k) and nodes with their prefixes."""
     post = nodes.filter(F.col("toks").isNotNull()).select("k", "n", "m", "ell", F.explode(F.arrays_zip("toks", "levs")).alias("t")).select("k", "n", "m", "ell", F.col("t.toks").alias("tok"), F.col("t.levs").alias("lev"))
-    stars = written(verified(star_pairs(post), nodes), "links")
-    labels = components(stars)
-    cross = written(verified(cross_pairs(post, labels), nodes), "links")
+    star = written(stars(star_pairs(post), nodes), "stars")
+    links = star.filter("link").select("a", "b")
+    labels = components(links)
+    others = hub_pairs(star, labels).unionByName(cross_pairs(post, labels, star))
+    cross = written(verified(others, nodes), "links")
     if not cross.isEmpty():
-        labels = components(stars.unionByName(cross))
+        labels = components(links.unionByName(cross))
     comp = nodes.select("k", "rep", "n").join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     ids = comp.groupBy("label").agg(F.min("rep").alias("component_id"))
     comp = comp.join(ids, "label").select("k", F.col("n").cast("long").alias("n_shingles"), "component_id")
