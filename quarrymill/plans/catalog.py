@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import q_aggregate, q_compose, q_filter, q_join, q_order, q_scalar  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return ORACLES
