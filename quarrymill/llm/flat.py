@@ -12,6 +12,17 @@ U64 = np.uint64
 M1, M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that workers that Spark keeps for later tasks stay small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -71,7 +82,8 @@ class Rolling:
     def __init__(self, values: np.ndarray):
         n = len(values) + 1
         if len(Rolling._pow) < n:
-            Rolling._pow, Rolling._inv = powers(_ODD, n + n // 2), powers(_INV, n + n // 2)
+            size = -(-n // 500_000) * 500_000
+            Rolling._pow, Rolling._inv = powers(_ODD, size), powers(_INV, size)
         self.prefix = np.zeros(n, dtype=U64)
         np.cumsum(values * Rolling._pow[: n - 1], out=self.prefix[1:])
 

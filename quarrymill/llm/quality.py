@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flat import Rolling, byte_table, flat, runs_of_docs
+from .flat import Rolling, byte_table, flat, runs_of_docs, tidy
+from .shared import bounded
 
 SAMPLE = 6000
 THRESHOLD = 0.3
@@ -156,6 +157,7 @@ def _pick(df: DataFrame, n: int, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from the training folds."""
+    bounded(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & ~_fold()).groupBy("doc_id").agg(F.max("quality").alias("y_"))
     train = docs.select("doc_id", "text").filter(~_fold())
     count = {r["y_"]: r["n"] for r in known.groupBy("y_").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = min(0.98, n_pos / (n_pos + n_neg))
     ids = _pick(known.filter("y_ = 1"), n_pos, sample).unionByName(_pick(known.filter("y_ = 0"), n_neg, sample))
     web = _pick(train, train.count(), sample).select(F.lit(-1).alias("y_"), "text")
-    rows = train.join(ids, "doc_id").select("y_", "text").unionByName(web)
+    rows = train.join(F.broadcast(ids), "doc_id").select("y_", "text").unionByName(web)  # ids: at most about 2 x sample rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,15 +175,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("y_").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
     got = rows.mapInArrow(run, "y int, x binary").toPandas()
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), N_FEATURES).astype(np.float64)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), N_FEATURES)
     y = got["y"].to_numpy()
     if not (y == -1).any():
         x, y = np.concatenate([x, x]), np.concatenate([y, np.full(len(y), -1)])
     web_x = x[y == -1]
-    mean, scale = web_x.mean(0), web_x.std(0) + 1e-3
+    mean, scale = web_x.mean(0, dtype=np.float64).astype(np.float32), (web_x.std(0, dtype=np.float64) + 1e-3).astype(np.float32)
+    del got, web_x
     model = Model(mean, scale, np.zeros(N_FEATURES), 0.0)
     z = np.clip((x - mean) / scale, -6, 6)
     model.w, model.b = nnpu(z[y == 1], z[y == -1], prior)
+    del z
     if n_neg:
         told = y >= 0
         weight_fix = np.log(max(n_pos, 1) / max(n_neg, 1)) - np.log(max((y == 1).sum(), 1) / max((y == 0).sum(), 1))
@@ -195,6 +199,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            tidy()
             s = np.concatenate([*(model.score(x) for x in _blocks(b.column("text"))), np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
