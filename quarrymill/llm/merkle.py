@@ -88,19 +88,18 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     Texts move once: by the bucket of their id. Within a bucket a window finds the next row; the last of a bucket takes
     the first of the bucket that follows, which is a join of one row a bucket.
     """
-    r = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    r = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count("doc_id")).first()
     low, high, n = r[0] or 0, r[1] or 0, r[2]
+    head = 1 if r[3] == n else 0  # the first bucket of all; null ids have bucket 0
     width = max(1, (high - low + 1) * bucket_rows // max(1, n))
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("fp", fingerprint(tree(F.col("text"))))
-    t = t.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long"))
+    t = t.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - low) / width) + 1, F.lit(0)).cast("long"))
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     t = t.withColumn("next_", F.lead(F.struct("text", "fp")).over(w)).withColumn("rn_", F.row_number().over(w))
     heads = t.filter(F.col("rn_") == 1).select("bucket", "doc_id", "text", "fp")
     after = _successors(heads)
-    first = heads.groupBy().agg(F.min("bucket").alias("bucket_")).crossJoin  # the first bucket of all: one row
-    wrap = first(after.filter(F.col("next_").isNull()).select("bucket")).select("bucket", F.col("bucket_").alias("next_"))
-    after = after.filter(F.col("next_").isNotNull()).unionByName(wrap)
+    after = after.withColumn("next_", F.coalesce("next_", F.lit(head).cast("long")))
     follow = after.join(heads.select(F.col("bucket").alias("next_"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp")), "next_").drop("next_")
     inside = t.filter(F.col("next_").isNotNull()).select("doc_id", "text", "fp", F.col("next_.text").alias("next_text"), F.col("next_.fp").alias("next_fp"))
     ends = t.filter(F.col("next_").isNull()).select("bucket", "doc_id", "text", "fp").join(follow, "bucket").drop("bucket")
