@@ -80,20 +80,21 @@ def schedule(share: DataFrame, period: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Adds rn_, the number (from 0) of each document in its source. The parts go by a digest of the id, which also shuffles the source."""
+    """row_ (the whole row), source, rn_: the number (from 0) of each document in its source. The parts go by a digest of the id, which
+    also shuffles the source."""
     tie = F.md5(F.coalesce(F.col("text"), F.lit(""))) if "text" in docs.columns else F.lit("")
     part = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n_parts)).cast("int")
-    t = docs.withColumn("part_", part)
-    sizes = t.groupBy("source", "part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = sizes.select("source", "part_", (F.sum("n_").over(Window.partitionBy("source").orderBy("part_")) - F.col("n_")).alias("before_"))
-    before = before.select(F.col("source").alias("s_"), F.col("part_").alias("p_"), "before_")
-    own = F.row_number().over(Window.partitionBy("source", "part_").orderBy(F.col("doc_id").asc_nulls_first(), tie)) - 1
+    t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), "source", F.col("doc_id").alias("id_"), tie.alias("tie_"), part.alias("part_"))
+    sizes = docs.select("source", part.alias("part_")).groupBy("source", "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = sizes.select(F.col("source").alias("s_"), F.col("part_").alias("p_"), (F.sum("n_").over(Window.partitionBy("source").orderBy("part_")) - F.col("n_")).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("source", "part_").orderBy(F.col("id_").asc_nulls_first(), "tie_")) - 1
     t = t.withColumn("own_", own)
-    return t.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("part_") == F.col("p_"))).withColumn("rn_", F.col("own_") + F.col("before_")).drop("s_", "p_", "before_", "own_", "part_")
+    t = t.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("part_") == F.col("p_")))
+    return t.select("row_", "source", (F.col("own_") + F.col("before_")).alias("rn_"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, part_docs: int = PART_DOCS) -> DataFrame:
-    """The rows of docs with block, slot, release, deadline and position: the place of each in the mixed order."""
+def placed(docs: DataFrame, weights: dict[str | None, float] | None, period: int, block_docs: int, part_docs: int) -> DataFrame:
+    """row_ and its place: block, slot, release, deadline, position."""
     n = docs.count()
     share = shares(docs, weights, period)
     table = F.broadcast(schedule(share, period).withColumnRenamed("source", "k_"))  # period rows of (3 x sources + 4) integers
@@ -103,12 +104,19 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period:
     t = t.join(table, F.col("source").eqNullSafe(F.col("k_")) & (F.col("occ_") == F.col("occ")))
     ahead = F.zip_with(F.zip_with("before", "all_slots", lambda b, a: F.lit(block_docs) * (b + F.col("q_") * a)), "all_docs", lambda x, m: F.least(x, m))
     return t.select(
-        *[F.col(c) for c in docs.columns], F.col("block").cast("long"), (F.col("q_") * period + F.col("slot")).cast("long").alias("slot"),
+        "row_", F.col("block").cast("long").alias("block"), (F.col("q_") * period + F.col("slot")).cast("long").alias("slot"),
         F.floor(F.col("block") * period / F.col("a_")).cast("long").alias("release"), F.ceil((F.col("block") + 1) * period / F.col("a_")).cast("long").alias("deadline"),
         (F.aggregate(ahead, F.lit(0).cast("long"), lambda s, x: s + x) + F.col("rn_") % block_docs).cast("long").alias("position"),
     )
 
 
-def in_order(docs: DataFrame, **how) -> DataFrame:
-    """The documents in the mixed order: a range-partitioned sort by position."""
-    return mix(docs, **how).orderBy("position").select(*docs.columns)
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, part_docs: int = PART_DOCS) -> DataFrame:
+    """The rows of docs with block, slot, release, deadline and position, the place of each in the mixed order; columns of docs with
+    one of these names give way."""
+    own = ("block", "slot", "release", "deadline", "position")
+    return placed(docs, weights, period, block_docs, part_docs).select(*[F.col(f"row_.`{c}`") for c in docs.columns if c not in own], *own)
+
+
+def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, part_docs: int = PART_DOCS) -> DataFrame:
+    """The documents, with all their columns, in the mixed order: a range-partitioned sort by position."""
+    return placed(docs, weights, period, block_docs, part_docs).orderBy("position").select("row_.*")
