@@ -17,13 +17,16 @@ from .q_scalar import _ASSET
 from .registry import query
 
 o = B.oracle
-N = F.count(F.lit(1)).alias("n")
+
+
+def number():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("a01_count_by_kind", o("SELECT k AS kind, count(event_id)::BIGINT AS n FROM (VALUES ('click'), ('view'), ('refund')) t(k) LEFT JOIN events ON event_type = k GROUP BY k"))
 def a01(spark, d):
     kinds = spark.createDataFrame([("click",), ("view",), ("refund",)], "kind string")
-    c = B.table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(N)
+    c = B.table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(number())
     return kinds.join(c, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -40,7 +43,7 @@ def a03(spark, d):
 @query("a04_redirect_families", o("SELECT f AS family, count(*)::BIGINT AS n FROM (SELECT string_split(from_path, '/')[2] AS f FROM rules UNION ALL SELECT substr(prefix, 2) FROM splats) GROUP BY 1"))
 def a04(spark, d):
     s = spark.createDataFrame(list(B.SPLATS), "prefix string, ord int").select(F.substring("prefix", 2, 100).alias("family"))
-    return B.rules(spark, d).select(F.split("from_path", "/")[1].alias("family")).unionByName(s).groupBy("family").agg(N)
+    return B.rules(spark, d).select(F.split("from_path", "/")[1].alias("family")).unionByName(s).groupBy("family").agg(number())
 
 
 _SOLE = "SELECT {k} AS key, count(*)::BIGINT AS n, string_agg({b}::VARCHAR, ',' ORDER BY {b}::VARCHAR) AS claimants FROM {t} GROUP BY 1 HAVING count(*) > 1"
@@ -63,7 +66,7 @@ def a06b(spark, d):
 
 @query("a07_duplicate_paths", o("SELECT regexp_extract(key, '^([^?#]*)', 1) AS path, count(*)::BIGINT AS n FROM k_ GROUP BY 1 HAVING count(*) > 1"))
 def a07(spark, d):
-    return B.pages(spark, d).select(U.path_part(U.comparison_key(F.col("url"))).alias("path")).groupBy("path").agg(N).filter("n > 1")
+    return B.pages(spark, d).select(U.path_part(U.comparison_key(F.col("url"))).alias("path")).groupBy("path").agg(number()).filter("n > 1")
 
 
 @query("a08_cluster_issues", o(""", m AS (SELECT *, row_number() OVER (PARTITION BY cluster, locale ORDER BY doc_id) AS nth FROM posts), s AS (SELECT cluster, min(CASE WHEN locale = 'en' THEN doc_id END) AS sid FROM posts GROUP BY cluster)
@@ -90,18 +93,18 @@ def a09b(spark, d):
 @query("a10_duplicate_titles", o("SELECT title, count(*)::BIGINT AS n, min(page_id) AS first, string_agg(page_id::VARCHAR, ',' ORDER BY page_id::VARCHAR) AS files FROM (SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages) GROUP BY title HAVING count(*) > 1"))
 def a10(spark, d):
     t = B.pages(spark, d).select("page_id", H.title_of(F.col("html")).alias("title"))
-    return t.groupBy("title").agg(N, F.min("page_id").alias("first"), F.array_join(F.array_sort(F.collect_list(F.col("page_id").cast("string"))), ",").alias("files")).filter("n > 1")
+    return t.groupBy("title").agg(number(), F.min("page_id").alias("first"), F.array_join(F.array_sort(F.collect_list(F.col("page_id").cast("string"))), ",").alias("files")).filter("n > 1")
 
 
 @query("a11_asset_rollup", o(_ASSET + " SELECT key, count(*)::BIGINT AS n, count(DISTINCT nullif(host, ''))::BIGINT AS hosts FROM asset_keys WHERE key IS NOT NULL GROUP BY key"))
 def a11(spark, d):
     a = B.assets(spark, d).select(U.identify_asset(F.col("raw"), B.MEDIA).alias("a")).select("a.*").filter("key is not null")
-    return a.groupBy("key").agg(N, F.countDistinct(F.when(F.col("host") != "", F.col("host"))).alias("hosts"))
+    return a.groupBy("key").agg(number(), F.countDistinct(F.when(F.col("host") != "", F.col("host"))).alias("hosts"))
 
 
 @query("a11_asset_classes", o(_ASSET + " SELECT classification, count(*)::BIGINT AS n FROM asset_ids GROUP BY 1"))
 def a11b(spark, d):
-    return B.assets(spark, d).select(U.identify_asset(F.col("raw"), B.MEDIA)["classification"].alias("classification")).groupBy("classification").agg(N)
+    return B.assets(spark, d).select(U.identify_asset(F.col("raw"), B.MEDIA)["classification"].alias("classification")).groupBy("classification").agg(number())
 
 
 @query("a12_majority_chrome", o("""SELECT event_type AS name FROM (SELECT f, event_type FROM (SELECT DISTINCT user_id % 3 AS f, user_id, event_type FROM events) JOIN (SELECT user_id % 3 AS f2, count(DISTINCT user_id) AS n FROM events GROUP BY 1) ON f2 = f GROUP BY f, event_type, n HAVING count(*) * 2 > n) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT user_id % 3) FROM events)"""))
@@ -118,7 +121,7 @@ def a13(spark, d):
 
 @query("a14_rule_counts", o("SELECT code, count(*)::BIGINT AS n FROM (SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars > 5000 THEN 'long' ELSE 'fine' END AS code FROM documents) GROUP BY 1"))
 def a14(spark, d):
-    return B.table(spark, d, "documents").groupBy(F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") > 5000, "long").otherwise("fine").alias("code")).agg(N)
+    return B.table(spark, d, "documents").groupBy(F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") > 5000, "long").otherwise("fine").alias("code")).agg(number())
 
 
 @query("a15_verdict", o("SELECT o_orderpriority AS candidate, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'blocked' WHEN bool_or(o_orderstatus = 'P') THEN 'unresolved' ELSE 'ready' END AS verdict, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS failing FROM orders GROUP BY 1"))
@@ -142,13 +145,13 @@ def a17(spark, d):
 
 @query("a18_gaps_by_family", o(_DIFF + " SELECT family, count(*)::BIGINT AS n FROM diff WHERE classification = 'GAP' GROUP BY 1"))
 def a18(spark, d):
-    return diffed(spark, d).filter("classification = 'GAP'").groupBy("family").agg(N)
+    return diffed(spark, d).filter("classification = 'GAP'").groupBy("family").agg(number())
 
 
 @query("a19_builder_histogram", o("SELECT CASE doc_id % 3 WHEN 0 THEN 'elementor' ELSE 'divi' END AS builder, count(*)::BIGINT AS n FROM documents WHERE doc_id % 3 < 2 GROUP BY 1"))
 def a19(spark, d):
     m = F.array(F.lit("elementor-widget"), F.lit("et_pb_row"), F.lit("none"))[(F.col("doc_id") % 3).cast("int")]
-    return B.table(spark, d, "documents").select(T.builder_of(m).alias("builder")).filter("builder is not null").groupBy("builder").agg(N)
+    return B.table(spark, d, "documents").select(T.builder_of(m).alias("builder")).filter("builder is not null").groupBy("builder").agg(number())
 
 
 _CAP = """cap AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN 'draft' ELSE 'publish' END AS status, doc_id % 13 = 0 AS protected, CASE WHEN doc_id % 17 = 0 THEN 'Bad Slug' ELSE 'doc-' || doc_id % 400 END AS slug,
