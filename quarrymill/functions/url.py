@@ -104,12 +104,11 @@ def segments(path: Column) -> Column:
 
 def strip_language(path: Column, prefixes: tuple[str, ...]) -> Column:
     """The path without its leading language segment."""
-    first = F.get(segments(path), F.lit(0))
-    rest = F.expr("1=1") if not prefixes else first.isin(*[p.strip("/") for p in prefixes])
     if not prefixes:
         return path
+    first = F.get(segments(path), F.lit(0))
     cut = F.regexp_replace(path, r"^/[^/]+", "")
-    return F.when(rest, F.when(cut == "", "/").otherwise(cut)).otherwise(path)
+    return F.when(first.isin(*[p.strip("/") for p in prefixes]), F.when(cut == "", "/").otherwise(cut)).otherwise(path)
 
 
 def classify_family(key: Column, links: Permalinks = Permalinks()) -> Column:

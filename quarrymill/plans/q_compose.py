@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..operators import discovery as S
-from ..operators import inventory as V
 from ..operators import rules as R
 from ..operators import transform as X
 from . import bridge as B

@@ -264,9 +264,6 @@ def _hex(c):
     return F.concat(F.lit("#"), F.lpad(F.lower(F.hex((F.col("p_partkey") * c) % 16777216)), 6, "0"))
 
 
-_LUM = "(0.2126 * f(r) + 0.7152 * f(g) + 0.0722 * f(b))"
-
-
 def _lum(h: str) -> str:
     ch = lambda i: f"(('0x' || substr({h}, {i}, 2))::INT / 255.0::DOUBLE)"
     lin = lambda x: f"CASE WHEN {x} <= 0.04045 THEN {x} / 12.92 ELSE pow(({x} + 0.055) / 1.055, 2.4) END"
@@ -314,9 +311,6 @@ def x05(spark, d):
     return B.pages(spark, d).select("page_id", H.title_of(h).alias("title"), H.html_lang(h).alias("lang"), F.size(H.all_of(h, r"(?is)(<link\b[^>]*>)")).cast("long").alias("links"), F.size(H.all_of(h, r"(?is)(<meta\b[^>]*>)")).cast("long").alias("metas"))
 
 
-_HEADS = "heads AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<head><title>T' || page_id || '</title><meta content=\"D' || page_id || '\" name=\"description\"></head>' WHEN page_id % 3 = 1 THEN '<head><meta property=\"og:description\" content=\"O' || page_id || '\"></head>' ELSE '<head></head>' END AS h FROM pages)"
-
-
 @query("x06_source_head", o("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T' || page_id END AS title, CASE page_id % 3 WHEN 0 THEN 'D' || page_id WHEN 1 THEN 'O' || page_id END AS description FROM pages"))
 def x06(spark, d):
     i = F.col("page_id").cast("string")
