@@ -17,17 +17,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts_for
+from .flat import tidy
+from .shared import bounded, parts_for
 
 #: Bytes of text in a batch, about.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,14 +40,69 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def splitter(pattern: str):
+    """findall of a pattern. Properties and white space become explicit character classes for the standard library's matcher, which
+    is faster; the classes are read off the regex module. A pattern with other escapes keeps that module.
+
+    The matcher looks up classes of the first 65,536 code points in a table but scans further ranges one by one, so texts without
+    further code points (told by the width of their representation) use classes without them.
+    """
+    import re
+    import sys
+
+    import regex
+
+    rest = re.sub(r"\\p\{[LN]\}|\\[sS]", "", pattern)
+    if "\\" in rest:
+        return regex.compile(pattern).findall
+
+    def compiled(most: int):
+        every = "".join(chr(c) for c in range(most) if not 0xD800 <= c < 0xE000)
+
+        def ranges(name: str) -> str:
+            return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(ord(c) for c in regex.findall(name, every)))
+
+        out, inside = [], False
+        for tok in re.findall(r"\\p\{[LN]\}|\\[sS]|[\s\S]", pattern):
+            if tok in ("[", "]"):
+                inside = tok == "["
+                out.append(tok)
+            elif tok == "\\S":
+                out.append(f"[^{ranges(chr(92) + 's')}]")
+            elif tok[0] == "\\":
+                out.append(ranges(tok) if inside else f"[{ranges(tok)}]")
+            else:
+                out.append(tok)
+        return re.compile("".join(out)).findall
+
+    narrow, wide = compiled(0x10000), compiled(0x110000)
+
+    def words(text: str) -> list[str]:
+        n = len(text)
+        far = sys.getsizeof(text) > 3 * n + 100 if n > 200 else max(text, default="") > "\uffff"
+        return (wide if far else narrow)(text)
+
+    return words
+
+
+def _runs(points) -> list[tuple[int, int]]:
+    """Maximal runs of ascending integers."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(a, b) for a, b in out]
+
+
 class Codec:
     """Splits texts into words and encodes single words; made once in a worker's task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
         import tiktoken
 
-        self.words = regex.compile(pattern).findall
+        self.words = splitter(pattern)
         self.ranks = ranks
         self.table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
@@ -99,26 +158,51 @@ def dealt(words: set[str], parts: int) -> dict[int, list[bytes]]:
     return out
 
 
+def _codec(sent) -> Codec:
+    """The worker's codec, kept with the broadcast value from task to task."""
+    held = sent.value
+    if "codec" not in held:
+        held["codec"] = Codec(held["ranks"], held["pattern"])
+    return held["codec"]
+
+
+def _texts(blobs: list[bytes]) -> list[str]:
+    return [x.decode() for z in blobs for x in unpack(z)]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with_ids: and ids."""
     spark = docs.sparkSession
+    bounded(spark, 4000)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // batch_bytes))
     parts = parts_for(spark, n, 4)
-    sent = spark.sparkContext.broadcast((ranks, pattern))
+    sent = spark.sparkContext.broadcast({"ranks": ranks, "pattern": pattern})
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).alias("batch"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict[int, tuple[list, list[bytes]]] = {}
+            for doc_id, t, k in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "batch")), strict=True):
+                ids, held = groups.setdefault(k, ([], []))
+                ids.append(doc_id)
+                held.append(t.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), pa.array([x for x, _ in groups.values()], pa.list_(pa.int64())), pa.array([pack(x) for _, x in groups.values()], pa.binary())], names=["batch", "doc_ids", "z"])
+
+    base = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).alias("batch")).mapInArrow(squeeze, "batch long, doc_ids array<long>, z binary")
 
     def ask(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*sent.value)
+        codec = _codec(sent)
         found: set[str] = set()
         for b in batches:
-            found |= codec.rare(b.column("text").to_pylist())
+            found |= codec.rare(_texts(b.column("z").to_pylist()))
         own = dealt(found, parts)
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(own), pa.int64()), pa.array(list(own), pa.int32()), pa.array([pack(x) for x in own.values()], pa.binary())], names=["batch", "part", "blob"])
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, known = Codec(*sent.value), {}
+        codec, known = _codec(sent), {}
+        kind = np.uint16 if len(codec.table) <= 65536 else np.uint32
         for b in batches:
             out = []
             for blob in b.column("blob").to_pylist():
@@ -126,35 +210,36 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
                 for w in unpack(blob):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = np.array(codec.one(w), np.uint32).tobytes()
+                        got = known[w] = np.array(codec.one(w), kind).tobytes()
                     ids.append(got)
                 out.append(pack(ids))
             yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("part"), pa.array(out, pa.binary())], names=["batch", "part", "ids"])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        codec = Codec(*sent.value)
-        texts = left.column("text").to_pylist()
-        own = dealt(codec.rare(texts), parts)
-        said = {w: str(i) for w, i in codec.whole.items()}
-        back = {w: codec.table[i] for w, i in codec.whole.items()}
-        many: dict[str, list[int]] = {w: [i] for w, i in codec.whole.items()} if with_ids else {}
+        codec = _codec(sent)
+        kind = np.uint16 if len(codec.table) <= 65536 else np.uint32
+        # words by their numbers in this batch, in text order
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        texts = [array("i", map(number.__getitem__, codec.words(t))) for t in _texts(left.column("z").to_pylist())]
+        own = dealt(number.keys() - codec.whole.keys(), parts)
+        ids_of: dict[bytes, list[int]] = {}
         for part, blob in zip(right.column("part").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            for w, raw in zip(own[part], unpack(blob), strict=True):
-                ids, w = np.frombuffer(raw, np.uint32).tolist(), w.decode()
-                said[w] = " ".join(map(str, ids))
-                back[w] = b"".join([codec.table[i] for i in ids])
-                if with_ids:
-                    many[w] = ids
-        count, digest, plain, each = [], [], [], []
+            flat = unpack(blob)
+            ids_of.update(zip(own[part], (np.frombuffer(x, kind).tolist() for x in flat), strict=True))
+        ids = [[codec.whole[w]] if w in codec.whole else ids_of[w.encode()] for w in number]
+        said = [" ".join(map(str, x)) for x in ids]
+        back = [b"".join([codec.table[i] for i in x]) for x in ids]
+        n_tokens, digest, plain, each = [], [], [], []
         for t in texts:
-            words = codec.words(t)
-            s = " ".join(map(said.__getitem__, words))
-            count.append(s.count(" ") + 1 if words else 0)
-            digest.append(hashlib.sha256(s.encode()).hexdigest())
-            plain.append(hashlib.sha256(b"".join(map(back.__getitem__, words))).hexdigest())
+            s = " ".join(map(said.__getitem__, t)).encode()
+            n_tokens.append(s.count(b" ") + 1 if s else 0)
+            digest.append(hashlib.sha256(s).hexdigest())
+            plain.append(hashlib.sha256(b"".join(map(back.__getitem__, t))).hexdigest())
             if with_ids:
-                each.append([i for w in words for i in many[w]])
-        cols = [left.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(plain, pa.string())]
+                each.append([i for w in t for i in ids[w]])
+        tidy()
+        doc_ids = pa.array([x for c in left.column("doc_ids").to_pylist() for x in c], pa.int64())
+        cols = [doc_ids, pa.array(n_tokens, pa.int64()), pa.array(digest, pa.string()), pa.array(plain, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         return pa.table([*cols, pa.array(each, pa.list_(pa.int32()))] if with_ids else cols, names=[*names, "ids"] if with_ids else names)
 
