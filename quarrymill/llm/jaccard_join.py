@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import pack, unpack
-from .flat import U64, flat
+from .flat import U64, flat, tidy
 from .graph import components
-from .shared import partitions, written
+from .shared import bounded, partitions, written
 from .shingles import shingles
+from .texts import spread, squeeze
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 #: Shingles of a counting part, about.
 PART_SHINGLES = 4_000_000
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
@@ -61,23 +62,6 @@ def _sets(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return *shingles(np.frombuffer(b"".join(texts), np.uint8), offs), texts
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Sorted or small integers by byte planes, compressed."""
-    import zstandard
-
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) if len(x) else b""
-
-
-def _spread(blob: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    if not blob:
-        return np.zeros(0, kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def batched(texts: DataFrame, batch_bytes: int) -> DataFrame:
     """(k, rep, text) to batches (bid, ks, reps, z)."""
 
@@ -117,16 +101,17 @@ def frequencies(table: DataFrame, bits: int, part_bits: int) -> DataFrame:
                 cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
                 ends = np.append(cuts[1:], len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bid] * len(cuts), pa.string()), pa.array(part[cuts], pa.int64()), pa.array([_squeeze(np.diff(low[a:e], prepend=U64(0))) for a, e in zip(cuts, ends, strict=True)], pa.binary()), pa.array([_squeeze(np.minimum(n[a:e], 65535).astype(np.uint16)) for a, e in zip(cuts, ends, strict=True)], pa.binary())],
+                    [pa.array([bid] * len(cuts), pa.string()), pa.array(part[cuts], pa.int64()), pa.array([squeeze(np.diff(low[a:e], prepend=U64(0))) for a, e in zip(cuts, ends, strict=True)], pa.binary()), pa.array([squeeze(np.minimum(n[a:e], 65535).astype(np.uint16)) for a, e in zip(cuts, ends, strict=True)], pa.binary())],
                     names=["bid", "part", "slots", "n"],
                 )
+                tidy()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bids, slots, ns = [], [], []
         for b in batches:
             bids += b.column("bid").to_pylist()
-            slots += [np.cumsum(_spread(x, np.uint64)) for x in b.column("slots").to_pylist()]
-            ns += [_spread(x, np.uint16) for x in b.column("n").to_pylist()]
+            slots += [np.cumsum(spread(x, np.uint64)) for x in b.column("slots").to_pylist()]
+            ns += [spread(x, np.uint16) for x in b.column("n").to_pylist()]
         every = np.concatenate(slots)
         order = np.argsort(every)
         every, n = every[order], np.concatenate(ns).astype(np.int64)[order]
@@ -140,7 +125,8 @@ def frequencies(table: DataFrame, bits: int, part_bits: int) -> DataFrame:
                 if len(kinds):
                     at = np.minimum(np.searchsorted(kinds, s), len(kinds) - 1)
                     f = np.where(kinds[at] == s, np.minimum(total[at], 1 << 31), 1).astype(np.uint32)
-                out.append(_squeeze(f))
+                out.append(squeeze(f))
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array(bids[i : i + 64], pa.string()), pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bid", "part", "freq"])
 
     asked = table.select("bid", "z").mapInArrow(ask, "bid string, part long, slots binary, n binary")
@@ -168,10 +154,10 @@ def prefixes(table: DataFrame, freqs: DataFrame, bits: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        shrink = zstandard.ZstdCompressor(level=3).compress
         rows: list[list] = [[] for _ in names]
         parts = sorted(zip(right.column("part").to_pylist(), right.column("freq").to_pylist(), strict=True))
-        freq = np.concatenate([_spread(x, np.uint32) for _, x in parts] or [np.zeros(0, np.uint32)])
+        freq = np.concatenate([spread(x, np.uint32) for _, x in parts] or [np.zeros(0, np.uint32)])
         for ks, reps, z in zip(left.column("ks").to_pylist(), left.column("reps").to_pylist(), left.column("z").to_pylist(), strict=True):
             doc, h, texts = _sets(z)
             slot = h >> U64(64 - bits)
@@ -189,9 +175,10 @@ def prefixes(table: DataFrame, freqs: DataFrame, bits: int) -> DataFrame:
                     at = np.arange(n - m, n - c + ell)
                     if len(at):
                         toks = h[cuts[i] : cuts[i + 1]][order[at]].view(np.int64)
-                        row = (k, reps[i], n, m, ell, toks, np.maximum(1, at + 1 - (n - c)).astype(np.int32), np.packbits(fi > 1).tobytes(), squeeze(texts[i]))
+                        row = (k, reps[i], n, m, ell, toks, np.maximum(1, at + 1 - (n - c)).astype(np.int32), np.packbits(fi > 1).tobytes(), shrink(texts[i]))
                 for to, v in zip(rows, row, strict=True):
                     to.append(v)
+        tidy()
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
 
@@ -315,6 +302,7 @@ def cross_pairs(post: DataFrame, labels: DataFrame, star: DataFrame) -> DataFram
 def join(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
+    bounded(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.md5(text).alias("k"), text.alias("text"))
     table = written(batched(keyed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), batch_bytes), "texts")

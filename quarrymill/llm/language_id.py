@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import mix64
+from .flat import mix64, tidy
+from .shared import bounded
 
 DIM = 1024
 SYMBOLS = 64
 #: At most about so many training documents of a language.
 SAMPLE = 3000
-_SLICE = 3_000_000  # characters worked on at once
+_SLICE = 1_000_000  # characters worked on at once
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -90,6 +91,7 @@ def _lists(batch: pa.RecordBatch, name: str) -> list[str]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes). What reaches the driver is one vector for each language and one of at most 16 tasks."""
+    bounded(docs.sparkSession)
     pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 4 != 2))
     counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n_"))
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample / F.col("n_")
@@ -120,6 +122,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; keep: adds lang_pred and score to the columns of docs instead."""
     names, protos = model
+    bounded(docs.sparkSession)
 
     def judge(texts: list[str]) -> tuple[list[str], np.ndarray]:
         said, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -135,6 +138,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: bool = F
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 said, score = judge(_lists(b, "text"))
+                tidy()
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said), pa.array(score)], names=[*b.schema.names, "lang_pred_", "score_"])
 
         spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -143,6 +147,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             said, score = judge(_lists(b, "text"))
+            tidy()
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(said), pa.array(score)], schema=_OUT)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")

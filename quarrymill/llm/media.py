@@ -28,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import store
-from .shared import fresh_path, written
+from .flat import tidy
+from .shared import bounded, fresh_path, written
 
 WIDTH = 192
 ARCHIVE_BYTES = 24_000_000
@@ -101,6 +101,7 @@ def _archive(members: list[tuple[str, bytes]]) -> bytes:
 def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Stores every document as a member ``doc_id/bytes/number.png`` and then writes the index of finished archives."""
     store.make_dir(path)
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, bytes]] = []
@@ -111,6 +112,7 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
             uri, data = f"{path}/{me}-{number}.zip", _archive(held)
             store.write(uri, data)
             number, held, size = number + 1, [], 0
+            tidy()
             return pa.RecordBatch.from_pydict({"archive": [uri], "bytes": [len(data)]})
 
         for b in batches:

@@ -65,13 +65,16 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Equal for rows of one id and text, which have equal results."""
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def candidates(docs: DataFrame, text: str = "text", owner: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, owner, base, opaque (span arrays), key (equal only for rows with equal results)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "owner", "t", base_spans(F.col("t")).alias("base"))
-    rows = rows.select("doc_id", "owner", "base", opaque_spans(F.col("t"), F.col("base")).alias("opaque"))
-    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.to_json(F.struct("owner", "base", "opaque"))), 256)
-    return rows.withColumn("key", key)
+    rows = rows.select("doc_id", "owner", "t", row_key(F.col("doc_id"), F.col("t")).alias("key"), base_spans(F.col("t")).alias("base"))
+    return rows.select("doc_id", "owner", "base", opaque_spans(F.col("t"), F.col("base")).alias("opaque"), "key")
 
 
 def ownership(cands: DataFrame) -> DataFrame:
@@ -122,18 +125,13 @@ def mask(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every reported span masked; columns as before, n_chars counted anew where a text changed.
 
-    Only rows with a candidate are joined with the decisions; the others pass by without a shuffle.
+    The patterns run once; the decisions, a small share of the rows, are joined back by key.
     """
     cols = docs.columns
-    spans = base_spans(F.col("t"))
-    rows = docs.withColumn("t", F.coalesce(F.col("text"), F.lit(""))).withColumn("b_", spans)
-    rows = rows.withColumn("o_", opaque_spans(F.col("t"), F.col("b_")))
-    clean = rows.filter(F.size("b_") + F.size("o_") == 0).select(*cols)
-    scanned = scan(docs, max_owners=max_owners).filter(F.size("found") > 0).select("key", "found").dropDuplicates(["key"])
-    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.to_json(F.struct(F.col("source").cast("string").alias("owner"), F.col("b_").alias("base"), F.col("o_").alias("opaque")))), 256)
-    hit = rows.filter(F.size("b_") + F.size("o_") > 0).withColumn("key", key).join(scanned, "key", "left")
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(mask(F.col("t"), F.col("found")))
-    hit = hit.withColumn("text", text)
+    found = scan(docs, max_owners=max_owners).filter(F.size("found") > 0).select(F.col("key").alias("key_"), F.col("found").alias("found_")).dropDuplicates(["key_"])
+    rows = docs.withColumn("key_", row_key(F.col("doc_id"), F.col("text"))).join(found, "key_", "left")
+    text = F.when(F.col("found_").isNull(), F.col("text")).otherwise(mask(F.coalesce(F.col("text"), F.lit("")), F.col("found_")))
+    rows = rows.withColumn("text", text)
     if "n_chars" in cols:
-        hit = hit.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return clean.unionByName(hit.select(*cols))
+        rows = rows.withColumn("n_chars", F.when(F.col("found_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return rows.select(*cols)

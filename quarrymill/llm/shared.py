@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -19,10 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="quarrymill-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
         base = _OWN[app]
     return base.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what the operators have written in the shared folder; for callers who have stored their results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarrymill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarrymill/{name}-{uuid.uuid4().hex}"
 

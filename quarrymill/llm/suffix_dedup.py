@@ -28,19 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import pack, unpack
-from .flat import U64, Rolling, byte_table, mix64
-from .jaccard_join import _spread, _squeeze
-from .shared import partitions, written
+from .byte_bpe import unpack
+from .flat import U64, Rolling, byte_table, mix64, tidy
+from .shared import bounded, partitions, written
+from .texts import batched, spread, squeeze
 
 LENGTH = 400
 ANCHOR = 96
 LEAD = 16
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 2_000_000
 #: Bytes of the contexts in a bucket, about.
 BUCKET_BYTES = 16_000_000
 #: Contexts of one anchor in a bucket, at most about.
@@ -96,32 +95,6 @@ def _open(z: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), offs
 
 
-def batched(texts: DataFrame, batch_bytes: int) -> DataFrame:
-    """(k, copies, text) to batches (bid, ks, copies, z); bid is the task's number and a count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, copies, held, size, number = [], [], [], 0, 0
-        task = TaskContext.get().partitionId()
-
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64()), pa.array([ks]), pa.array([copies], pa.list_(pa.int64())), pa.array([pack(held)], pa.binary())], names=["bid", "ks", "copies", "z"])
-
-        for b in batches:
-            for k, n, text in zip(*(b.column(c).to_pylist() for c in ("k", "copies", "text")), strict=True):
-                raw = text.encode()
-                if held and size + len(raw) > batch_bytes:
-                    yield close()
-                    ks, copies, held, size, number = [], [], [], 0, number + 1
-                ks.append(k)
-                copies.append(n)
-                held.append(raw)
-                size += len(raw)
-        if held:
-            yield close()
-
-    return texts.mapInArrow(run, "bid long, ks array<string>, copies array<long>, z binary")
-
-
 def _kinds(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct contexts of a batch in the order of a mixed key: (key, ch, count, first record)."""
     q = mix64(r.h ^ (r.ch << U64(1)) ^ (r.ch >> U64(63)))
@@ -160,19 +133,20 @@ def roles(table: DataFrame, bits: int, length: int, anchor: int, hot: int) -> Da
                 for base, (k, c, m) in ((0, _kinds(r)[:3]), (1 << bits, _anchors(r))):
                     for p, x, y in zip(*_cut(k, bits), strict=True):
                         part.append(base + int(p))
-                        keys.append(_squeeze(np.diff(k[x:y], prepend=U64(0))))
-                        other.append(_squeeze(c[x:y]))
-                        n.append(_squeeze(np.minimum(m[x:y], 65535).astype(np.uint16)))
+                        keys.append(squeeze(np.diff(k[x:y], prepend=U64(0))))
+                        other.append(squeeze(c[x:y]))
+                        n.append(squeeze(np.minimum(m[x:y], 65535).astype(np.uint16)))
                 yield pa.RecordBatch.from_arrays([pa.array([bid] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(keys, pa.binary()), pa.array(other, pa.binary()), pa.array(n, pa.binary())], names=["bid", "part", "keys", "other", "n"])
+                tidy()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = key[0].as_py()
         bids, keys, other, n = [], [], [], []
         for b in batches:
             bids += b.column("bid").to_pylist()
-            keys += [np.cumsum(_spread(x, np.uint64), dtype=U64) for x in b.column("keys").to_pylist()]
-            other += [_spread(x, np.uint64) for x in b.column("other").to_pylist()]
-            n += [_spread(x, np.uint16) for x in b.column("n").to_pylist()]
+            keys += [np.cumsum(spread(x, np.uint64), dtype=U64) for x in b.column("keys").to_pylist()]
+            other += [spread(x, np.uint64) for x in b.column("other").to_pylist()]
+            n += [spread(x, np.uint16) for x in b.column("n").to_pylist()]
         who = np.repeat(np.arange(len(bids)), [len(x) for x in keys])
         rank = np.argsort(np.argsort(np.array(bids)))[who]
         k, o, m = np.concatenate(keys), np.concatenate(other), np.concatenate(n).astype(np.int64)
@@ -198,7 +172,7 @@ def roles(table: DataFrame, bits: int, length: int, anchor: int, hot: int) -> Da
         for i in range(0, len(bids), 256):
             j = min(len(bids), i + 256)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bids[i:j], pa.int64()), pa.array([part] * (j - i), pa.int64()), pa.array([_squeeze(out[cuts[x] : cuts[x + 1]]) for x in range(i, j)], pa.binary()), pa.array([int((out[cuts[x] : cuts[x + 1]] > 0).sum()) if part >= 1 << bits else 0 for x in range(i, j)], pa.int64())],
+                [pa.array(bids[i:j], pa.int64()), pa.array([part] * (j - i), pa.int64()), pa.array([squeeze(out[cuts[x] : cuts[x + 1]]) for x in range(i, j)], pa.binary()), pa.array([int((out[cuts[x] : cuts[x + 1]] > 0).sum()) if part >= 1 << bits else 0 for x in range(i, j)], pa.int64())],
                 names=["bid", "part", "blob", "n_ctx"],
             )
 
@@ -209,8 +183,8 @@ def roles(table: DataFrame, bits: int, length: int, anchor: int, hot: int) -> Da
 def _told(r: Runs, parts: list[int], blobs: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each record: does its context occur again; is it to be compared; over how many buckets."""
     mine = sorted((p, x) for p, x in zip(parts, blobs, strict=True) if p >= 0)
-    one = np.concatenate([_spread(x, np.uint16) for p, x in mine if p < 1 << bits] or [np.zeros(0, np.uint16)])
-    two = np.concatenate([_spread(x, np.uint16) for p, x in mine if p >= 1 << bits] or [np.zeros(0, np.uint16)])
+    one = np.concatenate([spread(x, np.uint16) for p, x in mine if p < 1 << bits] or [np.zeros(0, np.uint16)])
+    two = np.concatenate([spread(x, np.uint16) for p, x in mine if p >= 1 << bits] or [np.zeros(0, np.uint16)])
     again, speak = np.zeros(len(r.at), bool), np.zeros(len(r.at), bool)
     if not len(r.at):
         return again, speak, np.zeros(0, np.int64)
@@ -342,6 +316,7 @@ def contexts(table: DataFrame, told: DataFrame, cuts: np.ndarray, bits: int, len
             salt = np.where(over[idx] > 1, (r.h[idx] >> U64(34)) * U64(65536) + sub + U64(1), U64(0)).astype(np.int64)
             for to, v in zip(rows, ((bucket.astype(np.int64) << 47 | salt & ((1 << 47) - 1)).tolist(), [bid] * len(idx), idx.tolist(), (over[idx] > 1).tolist(), [a - b for a, b in zip(at, hi, strict=True)], [a - b for a, b in zip(at, lo, strict=True)], [raw[b : c + length] for b, c in zip(lo, hi, strict=True)]), strict=True):
                 to.extend(v)
+        tidy()
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["bucket", "bid", "idx", "hot", "dmin", "dmax", "ctx"])
 
@@ -407,6 +382,7 @@ def cut(table: DataFrame, answers: DataFrame, bits: int, length: int, anchor: in
                 s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 for to, v in zip(rows, (k, int(b - a), int(x.sum()), len(s), hashlib.sha256(kept.tobytes()).hexdigest(), ",".join(f"{p}:{q}" for p, q in zip(s.tolist(), e.tolist(), strict=True))), strict=True):
                     to.append(v)
+        tidy()
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
 
@@ -416,9 +392,10 @@ def cut(table: DataFrame, answers: DataFrame, bits: int, length: int, anchor: in
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end, in bytes) for every row."""
     spark = docs.sparkSession
+    bounded(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.md5(text).alias("k"), text.alias("text"))
-    table = written(batched(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), batch_bytes), "texts")
+    table = written(batched(keyed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), batch_bytes), "texts")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     guess = max(1, 2 * int(size) // (length - anchor + 2))
     bits = max(math.ceil(math.log2(max(1, guess / PART_ANCHORS))), math.ceil(math.log2(max(1, partitions(spark)))))

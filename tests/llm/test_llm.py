@@ -439,3 +439,14 @@ def test_stages_keep_the_columns(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "secret_scan", "source_mixing", "byte_bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    from quarrymill.llm import shared
+
+    t = shared.written(spark.range(3).toDF("i"), "probe")
+    assert t.count() == 3 and os.path.isdir(f"{shared.shared_dir(spark)}/quarrymill")
+    shared.clear(spark)
+    assert not os.path.exists(f"{shared.shared_dir(spark)}/quarrymill")
