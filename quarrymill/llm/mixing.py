@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 PERIOD = 1000
 BLOCK_DOCS = 4
 #: Documents in a salted part, about.
-PART_DOCS = 4096
+PART_DOCS = 1024
 
 
 def shares(docs: DataFrame, weights: dict[str | None, float] | None, period: int) -> DataFrame:
@@ -86,7 +86,12 @@ def numbered(docs: DataFrame, n_parts: int) -> DataFrame:
     part = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n_parts)).cast("int")
     t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), "source", F.col("doc_id").alias("id_"), tie.alias("tie_"), part.alias("part_"))
     sizes = docs.select("source", part.alias("part_")).groupBy("source", "part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = sizes.select(F.col("source").alias("s_"), F.col("part_").alias("p_"), (F.sum("n_").over(Window.partitionBy("source").orderBy("part_")) - F.col("n_")).alias("before_"))
+    # sizes of the parts before a part: within its thousand, and of the thousands before it
+    sizes = sizes.withColumn("g_", F.floor(F.col("part_") / 1000)).withColumn("in_", F.sum("n_").over(Window.partitionBy("source", "g_").orderBy("part_")) - F.col("n_"))
+    groups = sizes.groupBy(F.col("source").alias("gs_"), F.col("g_").alias("gg_")).agg(F.sum("n_").alias("gn_"))
+    groups = groups.withColumn("up_", F.sum("gn_").over(Window.partitionBy("gs_").orderBy("gg_")) - F.col("gn_"))
+    before = sizes.join(groups, F.col("source").eqNullSafe(F.col("gs_")) & (F.col("g_") == F.col("gg_")))
+    before = before.select(F.col("source").alias("s_"), F.col("part_").alias("p_"), (F.col("in_") + F.col("up_")).alias("before_"))
     own = F.row_number().over(Window.partitionBy("source", "part_").orderBy(F.col("id_").asc_nulls_first(), "tie_")) - 1
     t = t.withColumn("own_", own)
     t = t.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("part_") == F.col("p_")))

@@ -38,7 +38,7 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, f1 AS fing
 FROM l
 """
 
-# 1000 slots, blocks of 4 documents, parts of 4096 documents, equal weights
+# 1000 slots, blocks of 4 documents, parts of 1024 documents, equal weights
 OP4 = """
 WITH RECURSIVE
 c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -55,7 +55,7 @@ e AS (
     FROM e WHERE slot < 1000)
 ),
 sched AS (SELECT slot - 1 AS slot, pick, before, before[pick] AS occ FROM e WHERE pick IS NOT NULL),
-d AS (SELECT doc_id, source, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(1, (SELECT (count(*) + 4095) // 4096 FROM documents))) AS part FROM documents),
+d AS (SELECT doc_id, source, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(1, (SELECT (count(*) + 1023) // 1024 FROM documents))) AS part FROM documents),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY part, doc_id NULLS FIRST) - 1 AS rn FROM d),
 q AS (SELECT r.*, rn // 4 AS block, s.a AS a, s.i AS i, (rn // 4) // s.a AS per, (rn // 4) % s.a AS o FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, source, block::BIGINT AS block, (per * 1000 + slot)::BIGINT AS slot, floor(block * 1000 / q.a)::BIGINT AS release, ceil((block + 1) * 1000 / q.a)::BIGINT AS deadline,
