@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import unpack
-from .flat import byte_table
-from .shared import partitions, written
+from .flat import byte_table, tidy
+from .shared import bounded, partitions, written
 from .texts import batched, spread, squeeze
 
-LEAST, MOST, BITS = 32, 128, 5
+LEAST, MOST, BITS = 16, 64, 4
 #: A removed run has at least so many bytes.
-SPAN = 96
-BATCH_BYTES = 3_000_000
+SPAN = 64
+BATCH_BYTES = 1_000_000
 #: Chunks of a part, about.
 PART_CHUNKS = 1_000_000
 
@@ -135,6 +135,7 @@ def decisions(table: DataFrame, bits: int) -> DataFrame:
                 cols = [[squeeze(v[i:j]) for i, j in zip(x, y, strict=True)] for v in (d[:, 0], d[:, 1], ids, tie)]
                 cols[0] = [squeeze(np.diff(d[i:j, 0], prepend=np.uint64(0))) for i, j in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([bid] * len(x), pa.int64()), pa.array(part[x], pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["bid", "part", "d0", "d1", "ids", "tie"])
+                tidy()
 
     def judge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bids, cols = [], [[], [], [], []]
@@ -194,6 +195,7 @@ def cut(table: DataFrame, late: DataFrame) -> DataFrame:
                 whole = b"".join([*kept, raw[last:]])
                 for to, v in zip(rows, (k, rep, copies[i], len(raw), int(y - x), len(g), len(raw) - len(whole), ",".join(f"{p}:{q}" for p, q in out), hashlib.sha256(whole).hexdigest(), whole.decode()), strict=True):
                     to.append(v)
+        tidy()
         kinds = [pa.string(), *[pa.int64()] * 6, *[pa.string()] * 3]
         return pa.table([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
 
@@ -203,6 +205,7 @@ def cut(table: DataFrame, late: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_repeated (chunks that occur earlier), n_removed (bytes), spans (start:end in bytes), kept_sha256, kept_text."""
+    bounded(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.md5(text).alias("k"), text.alias("text"))
     # min() skips null: a node with a null id takes null, the first of the order
