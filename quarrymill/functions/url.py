@@ -238,37 +238,51 @@ class MediaProfile:
     local_base: str = "media"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def identify_asset(raw: Column, profile: MediaProfile) -> Column:
     """struct(classification, key, local, namespace, path, host) of a reference; the rules apply in order."""
-    ref = F.trim(raw)
-    path = path_part(ref)
-    full = F.when(path.startswith("//"), F.concat(F.lit("https:"), path)).when(path.rlike("(?i)^https?://"), path)
-    host = host_key(F.regexp_extract(full, r"(?i)^https?://([^/]*)", 1))
-    inner = F.when(full.isNotNull(), F.regexp_replace(full, r"(?i)^https?://[^/]*", "")).otherwise(path)
     hosts = [h.lower().removeprefix("www.") for h in profile.hosts]
-    mine = host.isin(*hosts) if hosts else F.lit(False)
     spaces = [(profile.uploads, "SUPPORTED", "uploads"), *[(e, "CONFIGURED", "extra") for e in profile.extra], (profile.local_base, "SUPPORTED", "output")]
+    roots = [f"/{base.strip('/')}/" for base, _, _ in spaces]
+    none = F.lit(None).cast("string")
+
+    def pick(inner: Column, values: list, otherwise: Column) -> Column:
+        out = otherwise
+        for root, v in reversed(list(zip(roots, values, strict=True))):
+            out = F.when(inner.startswith(root), v).otherwise(out)
+        return out
+
+    def parts(s: Column) -> Column:
+        path = s["path"]
+        full = F.when(path.startswith("//"), F.concat(F.lit("https:"), path)).when(path.rlike("(?i)^https?://"), path)
+        refused = (s["ref"] == "") | s["ref"].startswith("#") | s["ref"].rlike(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:")
+        host = host_key(F.regexp_extract(full, r"(?i)^https?://([^/]*)", 1))
+        return F.struct(refused.alias("refused"), host.alias("host"), F.when(full.isNotNull(), F.regexp_replace(full, r"(?i)^https?://[^/]*", "")).otherwise(path).alias("inner"))
+
+    def placed(s: Column) -> Column:
+        inner, named = s["inner"], s["host"].isNotNull()
+        mine = ~named | (s["host"].isin(*hosts) if hosts else F.lit(False))
+        cls = pick(inner, [F.lit(c) for _, c, _ in spaces], none)
+        away = F.when(named, "EXTERNAL").otherwise("UNSUPPORTED")
+        rel = F.substring(inner, pick(inner, [F.lit(len(r) + 1) for r in roots], F.lit(1)), F.lit(1_000_000))
+        return F.struct(
+            F.when(s["refused"] | (~named & ~inner.startswith("/")), "UNSUPPORTED").when(~mine | cls.isNull(), away).otherwise(cls).alias("cls"),
+            pick(inner, [F.lit(n) for _, _, n in spaces], none).alias("space"), rel.alias("rel"), inner.alias("inner"), F.coalesce(s["host"], F.lit("")).alias("host"),
+        )
+
+    def answer(s: Column) -> Column:
+        bad = (s["rel"] == "") | s["rel"].endswith("/") | F.array_contains(F.split(s["rel"], "/", -1), "..")
+        own = s["cls"].isin("SUPPORTED", "CONFIGURED") & ~bad
+        keep = lambda v: F.when(own, v)
+        return F.struct(
+            F.when(s["cls"].isin("SUPPORTED", "CONFIGURED") & bad, "UNSUPPORTED").otherwise(s["cls"]).alias("classification"), keep(F.concat(F.lit("uploads:"), s["rel"])).alias("key"),
+            keep(F.concat(F.lit(f"/{profile.local_base.strip('/')}/"), s["rel"])).alias("local"), keep(s["space"]).alias("namespace"),
+            F.when(own | (s["cls"] == "EXTERNAL"), s["inner"]).alias("path"), F.when(own | (s["cls"] == "EXTERNAL"), s["host"]).alias("host"),
+        )
 
-    def answer(cls: str, key: Column | None = None, local: Column | None = None, ns: str | None = None, p: Column | None = None, h: Column | None = None) -> Column:
-        none = F.lit(None).cast("string")
-        return F.struct(F.lit(cls).alias("classification"), (none if key is None else key).alias("key"), (none if local is None else local).alias("local"), F.lit(ns).cast("string").alias("namespace"), (none if p is None else p).alias("path"), (none if h is None else h).alias("host"))
-
-    def owned(otherwise: Column, h: Column) -> Column:
-        out = None
-        for base, cls, ns in spaces:
-            root = f"/{base.strip('/')}/"
-            rel = F.substring(inner, len(root) + 1, 1_000_000)
-            bad = (rel == "") | rel.endswith("/") | F.array_contains(F.split(rel, "/", -1), "..")
-            value = F.when(bad, answer("UNSUPPORTED")).otherwise(answer(cls, F.concat(F.lit("uploads:"), rel), F.concat(F.lit(f"/{profile.local_base.strip('/')}/"), rel), ns, inner, h))
-            cond = inner.startswith(root)
-            out = F.when(cond, value) if out is None else out.when(cond, value)
-        return out.otherwise(otherwise)
-
-    refused = (ref == "") | ref.startswith("#") | ref.rlike(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:")
-    away = answer("EXTERNAL", p=inner, h=host)
-    return (
-        F.when(refused, answer("UNSUPPORTED"))
-        .when(full.isNotNull(), F.when(~mine, away).otherwise(owned(away, host)))
-        .when(path.startswith("/"), owned(answer("UNSUPPORTED"), F.lit("")))
-        .otherwise(answer("UNSUPPORTED"))
-    )
+    ref = F.trim(raw)
+    return _let(_let(_let(F.struct(ref.alias("ref"), path_part(ref).alias("path")), parts), placed), answer)

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
-def chains(df: DataFrame, depth: int = 32) -> DataFrame:
+
+def chains(df: DataFrame, depth: int = 1 << 20) -> DataFrame:
     """slug, chain (root first), state: ok, unknown-parent or cycle. df: slug, parent.
 
-    Pointer jumping: every round doubles the ancestors known, so a tree of depth d takes log2(d) joins on the slug; the walk ends
-    when no row has an ancestor left to fetch.
+    Pointer jumping: every round doubles the ancestors known, so a tree of depth d takes log2(d) joins on the slug, each cut off from
+    the last by a checkpoint; it ends when no row has an ancestor left to fetch.
     """
     base = df.select("slug", "parent").dropDuplicates(["slug"])
     known = base.select(F.col("slug").alias("p_"), F.lit(True).alias("known_"))
     t = base.join(known, base["parent"] == F.col("p_"), "left").select(
         "slug", F.array("slug").alias("chain"), F.when(F.col("known_"), F.col("parent")).alias("up"), (F.col("parent").isNotNull() & F.col("known_").isNull()).alias("lost"), F.lit(False).alias("loop")
     )
+    t = cut(t)
     for _ in range(max(1, depth).bit_length()):
+        if t.filter("up is not null").isEmpty():
+            break
         up = t.select(F.col("slug").alias("u_"), F.col("chain").alias("c_"), F.col("up").alias("n_"), F.col("lost").alias("l_"), F.col("loop").alias("o_"))
         j = t.join(up, t["up"] == F.col("u_"), "left")
         longer = F.when(F.col("u_").isNotNull(), F.concat("c_", "chain")).otherwise(F.col("chain"))
         loop = F.col("loop") | F.coalesce("o_", F.lit(False)) | (F.size(F.array_distinct(longer)) < F.size(longer))
-        t = j.select("slug", F.when(loop, F.col("chain")).otherwise(longer).alias("chain"), F.when(~loop, F.col("n_")).alias("up"), (F.col("lost") | F.coalesce("l_", F.lit(False))).alias("lost"), loop.alias("loop"))
+        t = cut(j.select("slug", F.when(loop, F.col("chain")).otherwise(longer).alias("chain"), F.when(~loop, F.col("n_")).alias("up"), (F.col("lost") | F.coalesce("l_", F.lit(False))).alias("lost"), loop.alias("loop")))
     return t.select("slug", F.when(F.col("loop"), None).otherwise(F.col("chain")).alias("chain"), F.when(F.col("loop"), "cycle").when(F.col("lost"), "unknown-parent").otherwise("ok").alias("state"))
 
 
@@ -53,9 +58,10 @@ def current_items(paths: DataFrame, menu: str, path: str, current: str) -> DataF
 def crawl_waves(links: DataFrame, seeds: DataFrame, waves: int) -> DataFrame:
     """url, wave: pages reached from the seeds in so many waves of links. links: source, target; seeds: url. A frontier is joined with the
     links and what was seen before is taken off; the number of waves is the crawl's bound."""
-    seen = seeds.select("url").distinct().withColumn("wave", F.lit(0))
+    seen = cut(seeds.select("url").distinct().withColumn("wave", F.lit(0)))
     frontier = seen
     for n in range(1, waves + 1):
         new = links.join(frontier.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("wave", F.lit(n))
+        new = cut(new)
         seen, frontier = seen.unionByName(new), new
     return seen
