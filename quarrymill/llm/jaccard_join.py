@@ -40,7 +40,8 @@ from .shared import bounded, partitions, written
 from .shingles import shingles
 from .texts import spread, squeeze
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
+PAIR_BYTES = 1_000_000
 #: Shingles of a counting part, about.
 PART_SHINGLES = 4_000_000
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
@@ -192,6 +193,22 @@ def _both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(text.select(F.col("k").alias("a"), F.col("z").alias("za"), F.col("often").alias("oa")), "a").join(text.select(F.col("k").alias("b"), F.col("z").alias("zb")), "b")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs of a batch, about PAIR_BYTES of texts at a time."""
+    import zstandard
+
+    size = zstandard.frame_content_size
+    first, total = 0, 0
+    for i, (x, y) in enumerate(zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist(), strict=True)):
+        total += size(x) + size(y)
+        if total >= PAIR_BYTES:
+            yield batch.slice(first, i + 1 - first)
+            tidy()
+            first, total = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def _judge(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, shingles of a, shingles of b, which of a's are in b) of a batch of pairs."""
     import zstandard
@@ -221,8 +238,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for b in _slices(batch):
                 keep = pa.array([_links(s, t, both) for _, s, t, both in _judge(b)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
@@ -236,8 +252,7 @@ def stars(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = U64(64 - BLOCKS.bit_length() + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for b in _slices(batch):
                 link, n, n_hub, lacks, extra = [], [], [], [], []
                 for (_, s, t, both), often in zip(_judge(b), b.column("oa").to_pylist(), strict=True):
                     mask = np.unpackbits(np.frombuffer(often, np.uint8), count=len(s)) > 0

@@ -45,7 +45,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts reach Python workers in Arrow batches of at most so many rows, so that a worker holds some megabytes at a time."""
+    """Rows reach Python workers in Arrow batches of at most so many rows and some megabytes, whatever the size of a text or packed row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
