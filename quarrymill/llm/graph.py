@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
+SALTS = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for each node of the edges (a, b) the smallest node it reaches.
@@ -21,8 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(lab.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = lab.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hop = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(step.join(hop, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        # labels that have a smaller label themselves: few, and each in SALTS parts, as all of a component may share a label
+        roots = step.select(F.col("node").alias("label"), F.col("label").alias("further")).filter("further <> label")
+        hop = roots.join(step.select("label").distinct(), "label", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = step.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS)))
+        new = written(salted.join(hop, ["label", "salt"], "left").select("node", "old", F.coalesce("further", "label").alias("label")), "labels")
         done = new.filter(F.col("old") != F.col("label")).isEmpty()
         lab = new.select("node", "label")
         if done:

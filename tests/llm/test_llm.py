@@ -450,3 +450,15 @@ def test_written_tables_can_be_cleared(spark):
     assert t.count() == 3 and os.path.isdir(f"{shared.shared_dir(spark)}/quarrymill")
     shared.clear(spark)
     assert not os.path.exists(f"{shared.shared_dir(spark)}/quarrymill")
+
+
+def test_components_of_chains_and_stars(spark):
+    from quarrymill.llm import graph
+
+    names = [f"n{i:03d}" for i in np.random.default_rng(8).permutation(120)]
+    chain = [(names[i], names[i + 1]) for i in range(59)]
+    star = [(names[60], names[i]) for i in range(61, 110)]
+    e = spark.createDataFrame([*chain, *star, (names[110], names[110]), (names[111], names[112])], "a string, b string")
+    got = {r["node"]: r["label"] for r in graph.components(e).collect()}
+    want = {n: min(g) for g in (names[:60], names[60:110], names[111:113]) for n in g}
+    assert got == want
