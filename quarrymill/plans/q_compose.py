@@ -74,7 +74,7 @@ def n05(spark, d):
     return a.unionByName(b).unionByName(c)
 
 
-@query("n01_json_ld", o("""SELECT doc_id, '{"@type":"BlogPosting","headline":' || to_json(title)::VARCHAR || ',"datePublished":"' || strftime(published, '%Y-%m-%d') || '"}' AS json FROM posts WHERE NOT contains(title, '/')"""))
+@query("n01_json_ld", o("""SELECT doc_id, '{"@type":"BlogPosting","headline":' || to_json(title)::VARCHAR || ',"datePublished":"' || strftime(published, '%Y-%m-%d') || '"}' AS json FROM posts"""))
 def n01(spark, d):
-    p = B.posts(spark, d).filter(~F.col("title").contains("/"))
+    p = B.posts(spark, d)
     return p.select("doc_id", F.to_json(F.struct(F.lit("BlogPosting").alias("@type"), F.col("title").alias("headline"), F.date_format("published", "yyyy-MM-dd").alias("datePublished"))).alias("json"))

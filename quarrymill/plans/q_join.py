@@ -61,11 +61,11 @@ def j02(spark, d):
 
 
 @query("j03_reconcile", o(r""", keys AS (SELECT w AS key FROM (VALUES ('the'), ('le'), ('tion'), ('thst'), ('der')) t(w)), rul AS (SELECT * FROM (VALUES ('en', 'tion', 'kept'), (NULL, 'le', 'reworded')) t(scope, key, ruling)),
-asked AS (SELECT doc_id::VARCHAR AS route, locale, key, lower(body) AS said FROM posts CROSS JOIN keys WHERE doc_id % 5 = 0),
+asked AS (SELECT doc_id::VARCHAR AS route, locale, key, lower(body) AS said FROM posts CROSS JOIN keys),
 hits AS (SELECT route, a.key, regexp_matches(said, '(^|[^\p{L}\p{N}\p{M}])' || a.key || '($|[^\p{L}\p{N}\p{M}])') AS hit, coalesce(r1.ruling, r2.ruling) AS ruling FROM asked a LEFT JOIN rul r1 ON r1.scope = a.route AND r1.key = a.key LEFT JOIN rul r2 ON r2.scope IS NULL AND r2.key = a.key)
 SELECT route, key, CASE WHEN hit AND ruling IS NOT NULL THEN 'contradicted' WHEN hit THEN 'matched' WHEN ruling IS NOT NULL THEN 'ruled' ELSE 'unpainted' END AS verdict FROM hits"""))
 def j03(spark, d):
-    p = B.posts(spark, d).filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("route"), F.lower("body").alias("said"))
+    p = B.posts(spark, d).select(F.col("doc_id").cast("string").alias("route"), F.lower("body").alias("said"))
     asked = p.select("route", F.explode(F.array(*[F.lit(w) for w in ("the", "le", "tion", "thst", "der")])).alias("key"))
     rul = spark.createDataFrame([("en", "tion", "kept"), (None, "le", "reworded")], "scope string, key string, ruling string")
     return V.reconcile(asked, p, rul)

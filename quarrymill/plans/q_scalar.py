@@ -347,9 +347,9 @@ def r04(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.regexp_replace(h, r"<img(?![^>]*\bloading=)", '<img loading="lazy" decoding="async"').alias("html"))
 
 
-@query("r06_srcset", o("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE '/i-' || least(p_size, 60) || '.png ' || least(p_size, 60) || 'w, /i-' || greatest(p_size, 60) || '.png ' || greatest(p_size, 60) || 'w' END AS srcset FROM part WHERE p_size <> 60"))
+@query("r06_srcset", o("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE '/i-' || least(p_size, 60) || '.png ' || least(p_size, 60) || 'w, /i-' || greatest(p_size, 60) || '.png ' || greatest(p_size, 60) || 'w' END AS srcset FROM part"))
 def r06(spark, d):
-    t = B.table(spark, d, "part").filter("p_size <> 60")
+    t = B.table(spark, d, "part")
     v = F.array_sort(F.array_compact(F.array(F.lit(60), F.when(F.col("p_size") % 3 != 0, F.col("p_size")))))
     set_ = F.array_join(F.transform(v, lambda w: F.concat(F.lit("/i-"), w.cast("string"), F.lit(".png "), w.cast("string"), F.lit("w"))), ", ")
     return t.select("p_partkey", F.when(F.size(v) >= 2, set_).alias("srcset"))
