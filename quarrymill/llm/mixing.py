@@ -81,20 +81,19 @@ def schedule(share: DataFrame, period: int) -> DataFrame:
 
 def numbered(docs: DataFrame, n_parts: int) -> DataFrame:
     """row_ (the whole row), source, rn_: the number (from 0) of each document in its source. The parts go by a digest of the id, which
-    also shuffles the source."""
+    also shuffles the source. The window and the join use one key without nulls, so rows move once."""
     tie = F.md5(F.coalesce(F.col("text"), F.lit(""))) if "text" in docs.columns else F.lit("")
     part = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n_parts)).cast("int")
-    t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), "source", F.col("doc_id").alias("id_"), tie.alias("tie_"), part.alias("part_"))
-    sizes = docs.select("source", part.alias("part_")).groupBy("source", "part_").agg(F.count(F.lit(1)).alias("n_"))
+    name = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source")))
+    t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), "source", name.alias("name_"), F.col("doc_id").alias("id_"), tie.alias("tie_"), part.alias("part_"))
+    sizes = docs.select(name.alias("name_"), part.alias("part_")).groupBy("name_", "part_").agg(F.count(F.lit(1)).alias("n_"))
     # sizes of the parts before a part: within its thousand, and of the thousands before it
-    sizes = sizes.withColumn("g_", F.floor(F.col("part_") / 1000)).withColumn("in_", F.sum("n_").over(Window.partitionBy("source", "g_").orderBy("part_")) - F.col("n_"))
-    groups = sizes.groupBy(F.col("source").alias("gs_"), F.col("g_").alias("gg_")).agg(F.sum("n_").alias("gn_"))
-    groups = groups.withColumn("up_", F.sum("gn_").over(Window.partitionBy("gs_").orderBy("gg_")) - F.col("gn_"))
-    before = sizes.join(groups, F.col("source").eqNullSafe(F.col("gs_")) & (F.col("g_") == F.col("gg_")))
-    before = before.select(F.col("source").alias("s_"), F.col("part_").alias("p_"), (F.col("in_") + F.col("up_")).alias("before_"))
-    own = F.row_number().over(Window.partitionBy("source", "part_").orderBy(F.col("id_").asc_nulls_first(), "tie_")) - 1
-    t = t.withColumn("own_", own)
-    t = t.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("part_") == F.col("p_")))
+    sizes = sizes.withColumn("g_", F.floor(F.col("part_") / 1000)).withColumn("in_", F.sum("n_").over(Window.partitionBy("name_", "g_").orderBy("part_")) - F.col("n_"))
+    groups = sizes.groupBy("name_", "g_").agg(F.sum("n_").alias("gn_"))
+    groups = groups.select("name_", "g_", (F.sum("gn_").over(Window.partitionBy("name_").orderBy("g_")) - F.col("gn_")).alias("up_"))
+    before = sizes.join(groups, ["name_", "g_"]).select("name_", "part_", (F.col("in_") + F.col("up_")).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("name_", "part_").orderBy(F.col("id_").asc_nulls_first(), "tie_")) - 1
+    t = t.withColumn("own_", own).join(before, ["name_", "part_"])
     return t.select("row_", "source", (F.col("own_") + F.col("before_")).alias("rn_"))
 
 
