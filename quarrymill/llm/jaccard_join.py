@@ -68,6 +68,7 @@ def batched(texts: DataFrame, batch_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, reps, held, size = [], [], [], 0
+        tidy()
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([ks[0]]), pa.array([ks]), pa.array([reps], pa.list_(pa.int64())), pa.array([pack(held)], pa.binary())], names=["bid", "ks", "reps", "z"])
@@ -78,6 +79,7 @@ def batched(texts: DataFrame, batch_bytes: int) -> DataFrame:
                 if held and (size + len(raw) > batch_bytes or len(held) >= 60_000):
                     yield close()
                     ks, reps, held, size = [], [], [], 0
+                    tidy()
                 ks.append(k)
                 reps.append(rep)
                 held.append(raw)

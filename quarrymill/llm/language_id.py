@@ -28,7 +28,7 @@ DIM = 1024
 SYMBOLS = 64
 #: At most about so many training documents of a language.
 SAMPLE = 3000
-_SLICE = 1_000_000  # characters worked on at once
+_SLICE = 250_000  # characters worked on at once
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
                     sums[langs[i]] += v
                 else:
                     sums[langs[i]] = v.astype(np.float64)
+            tidy()
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .byte_bpe import pack
+from .flat import tidy
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -37,6 +38,7 @@ def batched(nodes: DataFrame, batch_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, number, task = 0, 0, TaskContext.get().partitionId()
+        tidy()
 
         def close() -> pa.RecordBatch:
             ks, reps, copies, texts = (list(x) for x in zip(*held, strict=True))
@@ -51,6 +53,7 @@ def batched(nodes: DataFrame, batch_bytes: int) -> DataFrame:
                 if held and (size + len(raw) > batch_bytes or len(held) >= 60_000):
                     yield close()
                     held, size, number = [], 0, number + 1
+                    tidy()
                 held.append((k, rep, n, raw))
                 size += len(raw)
         if held:
