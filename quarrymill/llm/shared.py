@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_small(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written` for tables of a few numbers a document (edges, labels): a sixteenth of the session's partitions, as every file
+    that an executor creates on a local folder starts a process of its own."""
+    return written(df.coalesce(max(1, partitions(df.sparkSession) // 16)), name)
+
+
 def bounded(spark: SparkSession, rows: int = 1000) -> None:
     """Rows reach Python workers in Arrow batches of at most so many rows and some megabytes, whatever the size of a text or packed row."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
