@@ -39,7 +39,7 @@ from .texts import batched, spread, squeeze
 LENGTH = 400
 ANCHOR = 96
 LEAD = 16
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Bytes of the contexts in a bucket, about.
 BUCKET_BYTES = 16_000_000
 #: Contexts of one anchor in a bucket, at most about.
@@ -74,7 +74,8 @@ class Runs:
         self.lo, self.hi = np.flatnonzero(first), np.flatnonzero(last)
         self.at = at[self.lo]
         self.doc = np.searchsorted(offs, self.lo, side="right") - 1
-        self.h = roll.of(self.at, self.at + anchor)
+        # mixed once more: anchors have the least hashes of their strings, which would all go to the first parts
+        self.h = mix64(roll.of(self.at, self.at + anchor) + U64(0x9E3779B97F4A7C15))
         self.ch = mix64(roll.of(self.lo, self.hi + length) + (self.at - self.lo).astype(U64))
 
 
