@@ -123,8 +123,9 @@ def _cut(sorted_keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def roles(table: DataFrame, bits: int, length: int, anchor: int, hot: int) -> DataFrame:
-    """(bid, part, blob, n_ctx): part < 2^bits: for the batch's contexts, 1 if it occurs again, 2 if this batch compares it;
-    others: for its anchors, in how many buckets their contexts are compared (0: one context alone)."""
+    """(bid, part, blob, n_ctx, split): part < 2^bits: for the batch's contexts, 1 if it occurs again, 2 if this batch compares it;
+    others: for its anchors, in how many buckets their contexts are compared (0: one context alone). n_ctx: the batch's contexts of
+    anchors that are compared; split: is one of its anchors compared in several buckets."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,15 +171,18 @@ def roles(table: DataFrame, bits: int, length: int, anchor: int, hot: int) -> Da
             several = (np.maximum.reduceat(m[order], head) > 1) | (os[head] != os[head + size - 1])
             out[order] = np.repeat(np.where(several, np.minimum(65535, 1 + (total - 1) // hot), 0), size)
         cuts = np.cumsum([0, *map(len, keys)])
+        met = np.where(out > 0, m, 0) if part >= 1 << bits else np.zeros(len(k), np.int64)
+        split = (out > 1) & (part >= 1 << bits)
         for i in range(0, len(bids), 256):
             j = min(len(bids), i + 256)
+            own = [slice(cuts[x], cuts[x + 1]) for x in range(i, j)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bids[i:j], pa.int64()), pa.array([part] * (j - i), pa.int64()), pa.array([squeeze(out[cuts[x] : cuts[x + 1]]) for x in range(i, j)], pa.binary()), pa.array([int((out[cuts[x] : cuts[x + 1]] > 0).sum()) if part >= 1 << bits else 0 for x in range(i, j)], pa.int64())],
-                names=["bid", "part", "blob", "n_ctx"],
+                [pa.array(bids[i:j], pa.int64()), pa.array([part] * (j - i), pa.int64()), pa.array([squeeze(out[x]) for x in own], pa.binary()), pa.array([int(met[x].sum()) for x in own], pa.int64()), pa.array([bool(split[x].any()) for x in own], pa.bool_())],
+                names=["bid", "part", "blob", "n_ctx", "split"],
             )
 
     asked = table.select("bid", "z").mapInArrow(ask, "bid long, part long, keys binary, other binary, n binary")
-    return asked.groupBy("part").applyInArrow(count, "bid long, part long, blob binary, n_ctx long")
+    return asked.groupBy("part").applyInArrow(count, "bid long, part long, blob binary, n_ctx long, split boolean")
 
 
 def _told(r: Runs, parts: list[int], blobs: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -401,9 +405,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
     guess = max(1, 2 * int(size) // (length - anchor + 2))
     bits = max(math.ceil(math.log2(max(1, guess / PART_ANCHORS))), math.ceil(math.log2(max(1, partitions(spark)))))
     told = written(roles(table, bits, length, anchor, hot), "roles")
-    n_ctx = told.agg(F.sum("n_ctx")).first()[0] or 0
+    n_ctx, split = told.agg(F.coalesce(F.sum("n_ctx"), F.lit(0)), F.coalesce(F.max("split"), F.lit(False))).first()
     cuts = splitters(table, max(1, math.ceil(n_ctx * 1.5 * length / bucket_bytes)), length, anchor)
-    found = settled(contexts(table, told, cuts, bits, length, anchor), length, anchor, n_ctx > hot)
+    found = settled(contexts(table, told, cuts, bits, length, anchor), length, anchor, split)
     none = F.lit(None)
     answers = told.select("bid", "part", "blob", none.cast("int").alias("idx"), none.cast("int").alias("d0"), none.cast("int").alias("d1"))
     answers = answers.unionByName(found.select("bid", F.lit(-1).cast("long").alias("part"), none.cast("binary").alias("blob"), "idx", "d0", "d1"))

@@ -192,6 +192,18 @@ def test_repeated_strings(spark, how):
     assert order(tuple(r) for r in got) == removed_by_force(text_of(d), how.get("length", 400))
 
 
+def test_one_anchor_with_many_contexts_in_a_batch(spark):
+    rng = np.random.default_rng(6)
+    junk = lambda n: "".join(rng.choice(list("ijklmnop "), n))
+    line = "Licence: MIT. All rights are kept. "  # longer than an anchor, shorter than a string
+    data = [(i, junk(80) + line + junk(80)) for i in range(400)]
+    same = junk(30) + line + junk(30)
+    data += [(1000 + i, junk(60) + same + junk(60)) for i in range(2)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = suffix_dedup.dedup(d, length=60, anchor=20, hot=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert order(tuple(r) for r in got) == removed_by_force(text_of(d), 60)
+
+
 def test_multikey_order_is_the_sorted_order():
     rng = np.random.default_rng(1)
     w = rng.integers(0, 3, (500, 6)).astype(np.uint64)
