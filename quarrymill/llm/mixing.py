@@ -8,8 +8,10 @@ fold over its slots makes, repeats; a block's slot follows from its number alone
 and the others keep their proportions: no document is dropped or repeated.
 
 Documents are numbered within their source by salted parts (row numbers within a part, plus the sizes of the parts
-before it), so no task holds a whole source. What is broadcast is the period's table: period x sources integers; both
-are parameters of the mix, not of the data.
+before it), so no task holds a whole source. What is broadcast is the period's table, period x sources integers, and a row for each
+source. With more sources than slots, sources of equal weight share a class: the class is scheduled like one source and
+its members take its blocks in turns, which keeps each within its own bounds. The table is then period x classes
+integers (as many as there are distinct weights), and positions come from sums over ranges of slots.
 
 Defined cases: a null source is a source of its own; null doc_ids go first in their part; repeated rows each get a
 place; empty tables give empty results; null or empty texts are mixed like others.
@@ -24,10 +26,12 @@ PERIOD = 1000
 BLOCK_DOCS = 4
 #: Documents in a salted part, about.
 PART_DOCS = 1024
+#: Documents in a range of slots, about, where positions are summed by range.
+RANGE_DOCS = 100_000
 
 
-def shares(docs: DataFrame, weights: dict[str | None, float] | None, period: int) -> DataFrame:
-    """(source, n_docs, slots): slots of the period that each source gets. weights None: equal weights."""
+def weighted(docs: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """(source, n_docs, w): a row per source. weights None: equal weights; sources without one have weight 0."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:
         w = F.lit(1.0)
@@ -35,15 +39,27 @@ def shares(docs: DataFrame, weights: dict[str | None, float] | None, period: int
         w = F.lit(0.0)
         for k, v in weights.items():
             w = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(w)
+    return counts.withColumn("w", w)
+
+
+def shares(docs: DataFrame, weights: dict[str | None, float] | None, period: int) -> DataFrame:
+    """(source, n_docs, slots): slots of the period that each source gets, for at most so many sources as slots."""
+    return slotted(weighted(docs, weights), period)
+
+
+def slotted(t: DataFrame, period: int) -> DataFrame:
+    """(source, n_docs, slots) from (source, n_docs, w): at least one slot each, period slots in all."""
     whole = Window.partitionBy(F.lit(1))  # one row per source
-    t = counts.withColumn("w", w)
     t = t.withColumn("ideal", F.col("w") * period / F.sum("w").over(whole)).withColumn("low", F.greatest(F.lit(1), F.floor("ideal").cast("int")))
     t = t.withColumn("left", period - F.sum("low").over(whole))
     t = t.withColumn("rank", F.row_number().over(whole.orderBy((F.col("ideal") - F.col("low")).desc(), F.col("source").asc_nulls_first())))
-    # left below zero can only come from sources lifted to one slot; the largest then give back
-    t = t.withColumn("big", F.row_number().over(whole.orderBy(F.col("low").desc(), F.col("source").asc_nulls_first())))
-    slots = F.col("low") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0) - F.when(F.col("left") < 0, F.when(F.col("big") == 1, -F.col("left")).otherwise(0)).otherwise(0)
-    return t.select("source", "n_docs", slots.cast("int").alias("slots"))
+    # left below zero can only come from sources lifted to one slot; all then have one, and the others are dealt by what weights give beyond it
+    t = t.withColumn("more", F.greatest(F.lit(0.0), F.col("ideal") - 1)).withColumn("free", period - F.count(F.lit(1)).over(whole))
+    t = t.withColumn("more", F.when(F.col("left") < 0, F.col("more") * F.col("free") / F.nullif(F.sum("more").over(whole), F.lit(0.0))).otherwise(0.0)).withColumn("whole", F.floor("more").cast("int"))
+    t = t.withColumn("odd", F.col("free") - F.sum("whole").over(whole)).withColumn("odd_rank", F.row_number().over(whole.orderBy((F.col("more") - F.col("whole")).desc(), F.col("source").asc_nulls_first())))
+    ample = F.col("low") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)
+    scarce = 1 + F.col("whole") + F.when(F.col("odd_rank") <= F.col("odd"), 1).otherwise(0)
+    return t.select("source", "n_docs", F.when(F.col("left") < 0, scarce).otherwise(ample).cast("int").alias("slots"))
 
 
 def schedule(share: DataFrame, period: int) -> DataFrame:
@@ -99,7 +115,10 @@ def numbered(docs: DataFrame, n_parts: int) -> DataFrame:
 
 def placed(docs: DataFrame, weights: dict[str | None, float] | None, period: int, block_docs: int, part_docs: int) -> DataFrame:
     """row_ and its place: block, slot, release, deadline, position."""
-    n = docs.count()
+    held = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_")).agg(F.coalesce(F.sum("n_"), F.lit(0)), F.count(F.lit(1))).first()
+    n, n_sources = int(held[0]), int(held[1])
+    if n_sources > period:
+        return _placed_by_class(docs, weights, period, block_docs, part_docs, n)
     share = shares(docs, weights, period)
     table = F.broadcast(schedule(share, period).withColumnRenamed("source", "k_"))  # period rows of (3 x sources + 4) integers
     a_of = F.broadcast(share.select(F.col("source").alias("j_"), F.col("slots").alias("a_")))  # a row per source
@@ -114,6 +133,34 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None, period: int
     )
 
 
+def _placed_by_class(docs: DataFrame, weights: dict[str | None, float] | None, period: int, block_docs: int, part_docs: int, n: int) -> DataFrame:
+    """:func:`placed` for more sources than slots. Block b of a class's member r of m is the class's block b * m + r."""
+    period = max(period, 1 + len(weights or {}))  # a slot at least for each distinct weight
+    every = weighted(docs, weights)
+    classes = every.groupBy(F.col("w").cast("string").alias("source")).agg(F.sum("n_docs").alias("n_docs"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("m_"))
+    share = slotted(classes.drop("m_"), period)
+    table = F.broadcast(schedule(share, period).select(F.col("source").alias("k_"), "occ", "slot"))
+    member = every.select(F.col("source").alias("name_"), F.col("w").cast("string").alias("source"), (F.row_number().over(Window.partitionBy("w").orderBy(F.col("source").asc_nulls_first())) - 1).alias("r_"))
+    member = member.join(F.broadcast(classes.select("source", "m_").join(share, "source")), "source").select(F.col("name_").alias("j_"), F.col("source").alias("class_"), "r_", "m_", F.col("slots").alias("a_"))
+    t = numbered(docs, max(1, -(-n // part_docs))).withColumn("block", F.floor(F.col("rn_") / block_docs))
+    t = t.join(F.broadcast(member), F.col("source").eqNullSafe(F.col("j_"))).withColumn("of_", F.col("block") * F.col("m_") + F.col("r_"))
+    t = t.withColumn("q_", F.floor(F.col("of_") / F.col("a_"))).withColumn("occ_", F.col("of_") % F.col("a_"))
+    t = t.join(table, (F.col("class_") == F.col("k_")) & (F.col("occ_") == F.col("occ")))
+    turn = F.col("m_") * period
+    t = t.select(
+        "row_", F.col("block").cast("long").alias("block"), (F.col("q_") * period + F.col("slot")).cast("long").alias("slot"),
+        F.floor(F.col("block") * turn / F.col("a_")).cast("long").alias("release"), F.ceil((F.col("block") + 1) * turn / F.col("a_")).cast("long").alias("deadline"), "rn_",
+    )
+    # ranges of slots with about RANGE_DOCS documents: the documents before a range, and numbers within it
+    n_cuts = max(1, n // RANGE_DOCS)
+    cuts = t.agg(F.percentile_approx("slot", [i / n_cuts for i in range(1, n_cuts)] or [1.0], 10 * n_cuts + 1000)).first()[0]
+    t = t.withColumn("g_", F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("slot"))))
+    sizes = t.groupBy("g_").agg(F.count(F.lit(1)).alias("gn_"))
+    up = sizes.select("g_", (F.sum("gn_").over(Window.partitionBy(F.lit(1)).orderBy("g_")) - F.col("gn_")).alias("up_"))  # a row a range
+    t = t.withColumn("in_", F.row_number().over(Window.partitionBy("g_").orderBy("slot", "rn_")) - 1).join(F.broadcast(up), "g_")
+    return t.select("row_", "block", "slot", "release", "deadline", (F.col("in_") + F.col("up_")).cast("long").alias("position"))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, part_docs: int = PART_DOCS) -> DataFrame:
     """The rows of docs with block, slot, release, deadline and position, the place of each in the mixed order; columns of docs with
     one of these names give way."""

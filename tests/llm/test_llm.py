@@ -232,6 +232,31 @@ def test_mixing_keeps_all_rows(spark):
     assert mixing.in_order(d).columns == d.columns and mixing.in_order(d).count() == d.count()
 
 
+def test_mixing_of_more_sources_than_slots(spark):
+    d = spark.range(4500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1500 > 0, F.concat(F.lit("h"), F.col("id") % 1500)).alias("source"))
+    d = d.unionByName(spark.range(4500, 5500).select(F.col("id").alias("doc_id"), F.lit("h7").alias("source")))
+    for w in (None, {"h7": 0.5, "h8": 0.3, "h9": 0.1, None: 0.1}):
+        got = mixing.mix(d, w, block_docs=1).orderBy("position").collect()
+        assert [r["position"] for r in got] == list(range(5500)) and {r["doc_id"] for r in got} == set(range(5500))
+        slots = [r["slot"] for r in got]
+        assert slots == sorted(set(slots)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+        if w is None:
+            assert len({r["source"] for r in got[:1500]}) == 1500
+        else:
+            assert 490 <= sum(r["source"] == "h7" and r["slot"] < 1000 for r in got) <= 500
+    got = mixing.mix(d, block_docs=4, part_docs=100).collect()
+    assert sorted(r["position"] for r in got) == list(range(5500))
+
+
+def test_small_sources_take_slots_from_all_large_ones(spark):
+    n = {"a": 300, "b": 300, **{f"s{i}": 1 for i in range(60)}}
+    d = spark.createDataFrame([(i, k) for i, k in enumerate(k for k, m in n.items() for _ in range(m))], "doc_id long, source string")
+    w = {"a": 0.5, "b": 0.5}
+    slots = {r["source"]: r["slots"] for r in mixing.shares(d, w, 100).collect()}
+    assert slots == {"a": 20, "b": 20, **{f"s{i}": 1 for i in range(60)}}
+    assert sorted(r["position"] for r in mixing.mix(d, w, period=100).collect()) == list(range(660))
+
+
 # 5: quality
 
 
