@@ -18,7 +18,7 @@ document's component under links.
    between components is lost.
 5. Candidates are verified on their texts; the components of all links follow.
 
-Defined cases: null, empty and blank texts have no shingle, n 0, and are their own class; texts of fewer than five words have one
+Defined cases: null, empty and blank texts have no shingle, n 0, and link with nothing: each row is its own class, also among equal ones; texts of fewer than five words have one
 shingle; repeated rows and equal texts share a class; null doc_ids take part (a class of only null doc_ids has a null id);
 empty tables give empty results; further columns are ignored. Texts are used whole; nothing is capped or sampled.
 """
@@ -344,12 +344,16 @@ def classes(members: DataFrame, nodes: DataFrame) -> DataFrame:
     comp = nodes.select("k", "rep", "n").join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     ids = comp.groupBy("label").agg(F.min("rep").alias("component_id"))
     comp = comp.join(ids, "label").select("k", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return members.join(comp, "k").select("doc_id", "n_shingles", "component_id")
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return members.join(comp, "k").select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each class the row with the smallest doc_id stays. Classes without a doc_id stay whole."""
+    """The documents without near copies: of each class the row with the smallest doc_id stays. Classes without a doc_id and rows
+    without a word stay whole."""
+    word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    every, docs = docs, docs.filter(word)
     keep = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").withColumn("t_", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     named = named.dropDuplicates(["doc_id", "t_"]).drop("t_")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    return named.unionByName(every.filter(F.col("doc_id").isNull() | ~word)).select(*every.columns)

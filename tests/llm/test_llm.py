@@ -161,6 +161,16 @@ def test_one_of_each_class_stays(spark):
     assert 1 in ids and 15 not in ids and 9 not in ids and 8 in ids and 10 in ids
 
 
+def test_texts_without_words_link_with_nothing(spark):
+    data = [(1, ""), (2, ""), (2, ""), (3, None), (4, None), (5, " \t"), (6, " \t"), (None, ""), (7, "a b c"), (8, "a b c"), (8, ""), (9, "\u00a0"), (10, "\u00a0")]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_join.join(d).select("doc_id", "n_shingles", "component_id").collect()]
+    want = [(i, 0, i) for i, t in data if not (t or "").strip(" \t")] + [(7, 1, 7), (8, 1, 7), (9, 1, 9), (10, 1, 9)]
+    assert order(got) == order(want)
+    kept = [tuple(r) for r in jaccard_join.first_of_each(d).collect()]
+    assert order(kept) == order(x for x in data if x not in [(8, "a b c"), (10, "\u00a0")])
+
+
 # 3: repeated strings
 
 
