@@ -52,7 +52,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer(f" {joined} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     doc = np.cumsum(points == 0, dtype=np.uint32)
     s = symbols(points)
-    keep = (s > 0) | np.append(True, s[:-1] > 0)
+    keep = (s > 0) | np.append(True, (s[:-1] > 0) | (points[:-1] == 0))  # of gaps the first, and each document's own
     s, doc = s[keep].astype(np.uint32), doc[keep]
     if len(s) < 3:
         return (np.zeros(0, np.int64),) * 3

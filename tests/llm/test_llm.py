@@ -336,6 +336,14 @@ def test_language_without_letters(spark):
     assert kept.columns == d.columns and not {3, 4, 11} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_does_not_depend_on_the_place_in_a_batch():
+    texts = ["a", "word one", "b", "5 c", "", "5", "d e", " \x00 f", "a"]
+    alone = [dict(language_id.unit_vectors([t])).get(0) for t in texts]
+    together = dict(language_id.unit_vectors(texts))
+    assert set(together) == {0, 1, 2, 3, 6, 7, 8} and all((v is None) == (i not in together) for i, v in enumerate(alone))
+    assert all(np.allclose(alone[i], v) for i, v in together.items())
+
+
 # 8: tokens
 
 
