@@ -27,6 +27,8 @@ ASSIGN_LEAST = 12
 #: A value held by more owners than this is a copied example.
 MAX_OWNERS = 2
 MASK = "[SECRET]"
+#: What stands for a copied example.
+EXAMPLE = "[EXAMPLE]"
 
 _SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
@@ -109,21 +111,29 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with every span replaced; of overlapping spans one mask stays."""
+    """The text with every span replaced, by ``MASK`` or, where no live span takes part, by ``EXAMPLE``; of overlapping spans one mask stays."""
+    kind = "struct<start:int,end:int,live:boolean>"
+
+    def join(s: Column, x: Column) -> Column:
+        last = F.try_element_at(s, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), (last["live"] | x["live"]).alias("live"))
+        fresh = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["live"].alias("live"))
+        return F.when(F.size(s) == 0, F.array(fresh)).when(x["start"] < last["end"], F.concat(F.slice(s, 1, F.size(s) - 1), F.array(wider))).otherwise(F.concat(s, F.array(fresh))).cast(f"array<{kind}>")
+
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(MASK))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
+        mark = F.when(x["live"], F.lit(MASK)).otherwise(F.lit(EXAMPLE))
+        return F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), mark).alias("out"))
 
     def rest(s: Column) -> Column:
         return F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
 
-    return F.aggregate(spans, first, step, rest)
+    return F.aggregate(F.aggregate(spans, F.array().cast(f"array<{kind}>"), join), first, step, rest)
 
 
 def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """The documents with every reported span masked; columns as before, n_chars counted anew where a text changed.
+    """The documents with every reported span masked, live ones and copied examples by marks of their own; columns as before, n_chars counted anew where a text changed.
 
     The patterns run once; the decisions, a small share of the rows, are joined back by key.
     """

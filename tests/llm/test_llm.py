@@ -413,6 +413,15 @@ def test_redaction(spark):
     assert got.filter("doc_id = 1").first()["text"] == d.filter("doc_id = 1").first()["text"]
 
 
+def test_redaction_marks_copied_examples_apart(spark):
+    v, own = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    data = [(i, f"hash {v} end", f"s{i}", 1) for i in range(4)] + [(8, f"hash {own} end", "s1", 1), (9, f'token = "{v}+q" and {v}', "s2", 1)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in secret_scan.redact(d).collect()}
+    assert got[0]["text"] == "hash [EXAMPLE] end" and got[8]["text"] == "hash [SECRET] end" and got[9]["text"] == '[SECRET]" and [EXAMPLE]'
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 # 10: chunks
 
 
