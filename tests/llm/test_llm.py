@@ -174,21 +174,26 @@ def test_texts_without_words_link_with_nothing(spark):
 # 3: repeated strings
 
 
-def removed_by_force(docs, length):
-    texts = [t.encode() for _, t in docs]
+def covered_by_force(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    out = []
-    for (d, _), t in zip(docs, texts):
+    for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        yield gone
+
+
+def removed_by_force(docs, length, least):
+    texts = [t.encode() for _, t in docs]
+    out = []
+    for (d, _), t, gone, also in zip(docs, texts, covered_by_force(texts, length), covered_by_force(texts, least)):
         kept = bytes(c for c, g in zip(t, gone) if not g)
-        out.append((d, len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest(), sum(also)))
     return order(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"length": 60, "anchor": 20, "batch_bytes": 4000, "bucket_bytes": 4000}, {"length": 60, "anchor": 20, "hot": 2, "batch_bytes": 4000, "bucket_bytes": 4000}])
+@pytest.mark.parametrize("how", [{}, {"length": 60, "least": 60, "anchor": 20, "batch_bytes": 4000, "bucket_bytes": 4000}, {"length": 60, "least": 33, "anchor": 20, "hot": 2, "batch_bytes": 4000, "bucket_bytes": 4000, "ranges": 5}])
 def test_repeated_strings(spark, how):
     rng = np.random.default_rng(5)
     passage = "".join(rng.choice(list("abcdefgh "), 700))
@@ -198,8 +203,8 @@ def test_repeated_strings(spark, how):
         a = int(rng.integers(0, 300))
         data.append((100 + i, junk(50) + passage[a : a + int(rng.integers(30, 500))] + junk(40)))
     d = spark.createDataFrame(data, "doc_id long, text string")
-    got = suffix_dedup.dedup(d, **how).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert order(tuple(r) for r in got) == removed_by_force(text_of(d), how.get("length", 400))
+    got = suffix_dedup.dedup(d, **how).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated").collect()
+    assert order(tuple(r) for r in got) == removed_by_force(text_of(d), how.get("length", 400), how.get("least", 256))
 
 
 def test_one_anchor_with_many_contexts_in_a_batch(spark):
@@ -210,14 +215,16 @@ def test_one_anchor_with_many_contexts_in_a_batch(spark):
     same = junk(30) + line + junk(30)
     data += [(1000 + i, junk(60) + same + junk(60)) for i in range(2)]
     d = spark.createDataFrame(data, "doc_id long, text string")
-    got = suffix_dedup.dedup(d, length=60, anchor=20, hot=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert order(tuple(r) for r in got) == removed_by_force(text_of(d), 60)
+    got = suffix_dedup.dedup(d, length=60, least=40, anchor=20, hot=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated").collect()
+    assert order(tuple(r) for r in got) == removed_by_force(text_of(d), 60, 40)
 
 
 def test_multikey_order_is_the_sorted_order():
     rng = np.random.default_rng(1)
-    w = rng.integers(0, 3, (500, 6)).astype(np.uint64)
-    assert (w[suffix_dedup.multikey_order(w)] == np.array(sorted(w.tolist()), np.uint64)).all()
+    for n, kinds in ((500, 3), (3000, 2), (0, 2), (1, 2), (4000, 1 << 60)):
+        w = rng.integers(0, kinds, (n, 6)).astype(np.uint64)
+        for small in (1, 256):
+            assert (w[suffix_dedup.multikey_order(w, small)] == np.array(sorted(w.tolist()), np.uint64).reshape(n, 6)).all()
 
 
 # 4: mixing
