@@ -2,13 +2,14 @@
 
 A text is cut into sections (blank lines), paragraphs (lines) and pieces of ``PIECE`` code points. A piece's node is its
 MD5; a paragraph's node digests its pieces' nodes, a section's its paragraphs', the root its sections'. The fingerprint is
-``root:leaves`` with the leaves shortened to eight digits (``,`` between pieces, ``;`` between paragraphs, ``/`` between
-sections), so equal texts have equal fingerprints, equal roots mean equal texts, and branches that differ locate an edit.
-
-Defined cases: null text is the empty text, whose fingerprint has a root and no leaves; two empty texts are alike (1.0),
-an empty and another text are not (0.0); null doc_ids come before all others in the order of documents, repeated doc_ids
-are ordered by text, repeated rows each get a row; a single document is its own next one; an empty table gives an empty
-result; further columns are ignored. Texts are used whole.
+the tree with its nodes below the root shortened to eight digits: ``root:section=paragraph+piece,piece;paragraph+.../section=...``.
+Equal texts have equal fingerprints, equal roots mean equal texts, and :func:`differing` locates edits by descending from
+sections that differ to their paragraphs that differ. Likeness is the share of pieces that two trees have in common.
+
+Defined cases: null text is the empty text, whose fingerprint has no pieces; two empty texts are alike (1.0), an empty and
+another text are not (0.0); null doc_ids come before all others in the order of documents; rows of one doc_id are ordered by
+their text's MD5, repeated rows each get a row; a single document is its own next one; an empty table gives an empty result;
+further columns are ignored. doc_ids may be any integers, hashes too. Texts are used whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 PIECE = 32
 #: Rows of a bucket in the order of ids, about.
 BUCKET_ROWS = 1024
+#: Quantiles of the ids that reach the driver.
+QUANTILES = 1000
 
 
 def tree(text: Column) -> Column:
@@ -42,13 +45,16 @@ def root(t: Column) -> Column:
 
 def fingerprint(t: Column) -> Column:
     """The string form of a tree."""
-    short = lambda p: F.array_join(F.transform(p, lambda x: F.substring(x, 1, 8)), ",")
-    return F.concat(root(t), F.lit(":"), F.array_join(F.transform(t, lambda s: F.array_join(F.transform(s, short), ";")), "/"))
+    short = lambda x: F.substring(x, 1, 8)
+    paragraph = lambda p: F.concat(short(paragraph_node(p)), F.lit("+"), F.array_join(F.transform(p, short), ","))
+    section = lambda s: F.concat(short(section_node(s)), F.lit("="), F.array_join(F.transform(s, paragraph), ";"))
+    return F.concat(root(t), F.lit(":"), F.array_join(F.transform(t, section), "/"))
 
 
 def leaves(fp: Column) -> Column:
-    """Distinct leaves of a fingerprint."""
-    return F.array_distinct(F.filter(F.split(F.substring_index(fp, ":", -1), "[,;/]", -1), lambda x: x != ""))
+    """Distinct pieces of a fingerprint."""
+    pieces = F.transform(F.split(F.substring_index(fp, ":", -1), "[,;/]", -1), lambda x: F.substring_index(x, "+", -1))
+    return F.array_distinct(F.filter(pieces, lambda x: x != ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -58,56 +64,76 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Where two trees differ: (section, paragraph) numbers from 0, without descending into branches whose nodes are equal."""
-    at = lambda x, i: F.get(x, i)
-
-    def paragraphs(i: Column) -> Column:
-        sa, sb = F.coalesce(at(a, i), F.array().cast("array<array<string>>")), F.coalesce(at(b, i), F.array().cast("array<array<string>>"))
-        n = F.greatest(F.size(sa), F.size(sb))
-        off = F.filter(F.sequence(F.lit(0), n - 1), lambda j: ~at(sa, j).eqNullSafe(at(sb, j)))
-        return F.transform(off, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
-
-    n = F.greatest(F.size(a), F.size(b))
-    sections = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~section_node(at(a, i)).eqNullSafe(section_node(at(b, i))))
-    return F.flatten(F.transform(sections, paragraphs))
-
-
-def _successors(heads: DataFrame) -> DataFrame:
-    """(bucket, next_): the bucket that follows, null after the last. In two levels, so that no window holds all of them."""
-    w = Window.partitionBy("g_").orderBy("bucket")
-    t = heads.select("bucket").withColumn("g_", F.floor(F.col("bucket") / 4096))
-    inner = t.withColumn("next_", F.lead("bucket").over(w))
-    firsts = t.groupBy("g_").agg(F.min("bucket").alias("head_"))
-    firsts = firsts.select("g_", F.lead("head_").over(Window.partitionBy(F.floor(F.col("g_") / 1048576)).orderBy("g_")).alias("after_"))
+    """Where the trees of two fingerprints differ: (section, paragraph) numbers from 0. Sections with equal nodes are not entered."""
+    node = lambda x, i: F.substring(F.get(x, i), 1, 8)
+    apart = lambda x, y: F.filter(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1), lambda i: ~node(x, i).eqNullSafe(node(y, i)))
+    sections = lambda fp: F.split(F.substring_index(fp, ":", -1), "/", -1)
+    below = lambda x, i: F.coalesce(F.split(F.substring(F.get(x, i), 10, 1 << 30), ";", -1), F.array().cast("array<string>"))
+    sa, sb = sections(a), sections(b)
+    inside = lambda i: F.transform(apart(below(sa, i), below(sb, i)), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.flatten(F.transform(apart(sa, sb), inside)))
+
+
+def _successors(heads: DataFrame, last: int) -> DataFrame:
+    """(bucket, next_): the bucket that follows, after the last the first. In two levels, so that no window holds all of them."""
+    t = heads.select("bucket").withColumn("g_", F.floor(F.col("bucket") / F.lit(last // 4096 + 1)))
+    inner = t.withColumn("next_", F.lead("bucket").over(Window.partitionBy("g_").orderBy("bucket")))
+    firsts = t.groupBy("g_").agg(F.min("bucket").alias("head_"))  # 4096 rows at most
+    w = Window.partitionBy(F.lit(0)).orderBy("g_")
+    firsts = firsts.select("g_", F.coalesce(F.lead("head_").over(w), F.first("head_").over(w)).alias("after_"))
     return inner.join(firsts, "g_").select("bucket", F.coalesce("next_", "after_").alias("next_"))
 
 
+def bucket_of(doc_id: Column, digest: Column, cuts: list[int], n: int, bucket_rows: int) -> tuple[Column, int]:
+    """(bucket, greatest bucket possible): numbers that never fall in the order of (doc_id, digest), nulls first.
+
+    cuts are sorted quantiles of the ids. Between two of them buckets have equal widths (of ids as doubles: the order never turns
+    round). An id that is the value of several quantiles, and null, are divided by the digest.
+    """
+    b = max(1, -(-n // bucket_rows))
+    each = max(1, -(-b // max(1, len(cuts))))
+    kinds = sorted(set(cuts))
+    hot = [c for c in kinds if cuts.count(c) > 1]
+    by_digest = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * F.lit(b) / F.lit(1 << 32)).cast("long")
+    if not kinds:
+        return by_digest, b
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    rows = [kinds[i : i + 32] for i in range(0, len(kinds), 32)]
+    heads, table = longs([r[0] for r in rows]), F.array(*[longs(r) for r in rows])
+    at_most = lambda xs: F.size(F.filter(xs, lambda c: c <= doc_id))
+    row = F.greatest(at_most(heads) - 1, F.lit(0))
+    j = row * 32 + at_most(F.get(table, row))  # ranks from 0 (below all cuts) to the number of cuts
+    low = F.get(longs([kinds[0], *kinds]), j).cast("double")
+    width = F.get(F.array(*[F.lit(max(1.0, (float(y) - float(x)) / each)) for x, y in zip([kinds[0], *kinds], [*kinds, kinds[-1]], strict=True)]), j)
+    even = F.least(F.greatest(F.floor((doc_id.cast("double") - low) / width), F.lit(0)), F.lit(each - 1)).cast("long")
+    split = F.array_contains(longs(hot), doc_id) if hot else F.lit(False)
+    span = b + each
+    inside = F.when(split, by_digest).otherwise(F.lit(b) + even)
+    return F.when(doc_id.isNull(), by_digest).otherwise((j + 1).cast("long") * span + inside), (len(kinds) + 2) * span
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text, fp, next_text, next_fp) in ascending doc_id, after the last the first.
 
     Texts move once: by the bucket of their id. Within a bucket a window finds the next row; the last of a bucket takes
     the first of the bucket that follows, which is a join of one row a bucket.
     """
-    r = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count("doc_id")).first()
-    low, high, n = r[0] or 0, r[1] or 0, r[2]
-    head = 1 if r[3] == n else 0  # the first bucket of all; null ids have bucket 0
-    width = max(1, (high - low + 1) * bucket_rows // max(1, n))
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("fp", fingerprint(tree(F.col("text"))))
-    t = t.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - low) / width) + 1, F.lit(0)).cast("long"))
-    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    t = t.withColumn("next_", F.lead(F.struct("text", "fp")).over(w)).withColumn("rn_", F.row_number().over(w))
-    heads = t.filter(F.col("rn_") == 1).select("bucket", "doc_id", "text", "fp")
-    after = _successors(heads)
-    after = after.withColumn("next_", F.coalesce("next_", F.lit(head).cast("long")))
-    follow = after.join(heads.select(F.col("bucket").alias("next_"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp")), "next_").drop("next_")
+    r = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 4 * QUANTILES)).first()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("md", F.md5("text"))
+    bucket, last = bucket_of(F.col("doc_id"), F.col("md"), [int(x) for x in r[1] or []], r[0], bucket_rows)
+    d = d.withColumn("bucket", bucket)
+    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "md")
+    heads = d.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").select("bucket", "text")
+    after = _successors(heads, last)
+    follow = after.join(heads.select(F.col("bucket").alias("next_"), F.col("text").alias("next_text"), fingerprint(tree(F.col("text"))).alias("next_fp")), "next_").drop("next_")
+    t = d.withColumn("fp", fingerprint(tree(F.col("text")))).withColumn("next_", F.lead(F.struct("text", "fp")).over(w))
     inside = t.filter(F.col("next_").isNotNull()).select("doc_id", "text", "fp", F.col("next_.text").alias("next_text"), F.col("next_.fp").alias("next_fp"))
     ends = t.filter(F.col("next_").isNull()).select("bucket", "doc_id", "text", "fp").join(follow, "bucket").drop("bucket")
     return inside.unionByName(ends)
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and how alike they are."""
+    """Fingerprints of each text and of its edited text, how alike they are, and how many paragraphs the edit touches by the trees."""
     t = with_next(docs)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
@@ -118,4 +144,5 @@ def edit_report(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("l_"), leaves(F.col("edited_fingerprint"))).alias("near_edited"),
         likeness(F.col("l_"), leaves(F.col("next_fp"))).alias("near_next"),
+        F.size(differing(F.col("fingerprint"), F.col("edited_fingerprint"))).cast("long").alias("n_differing"),
     )

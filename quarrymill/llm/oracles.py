@@ -11,13 +11,24 @@ def _join(x: str, sep: str) -> str:
 def _fp(tree: str) -> str:
     para = "md5(" + _join("p", "") + ")"
     sec = f"md5({_join(f'list_transform(s, lambda p: {para})', '')})"
-    short = _join("list_transform(p, lambda x: x[1:8])", ",")
-    leaf = _join(f"list_transform({tree}, lambda s: {_join(f'list_transform(s, lambda p: {short})', ';')})", "/")
-    return f"md5({_join(f'list_transform({tree}, lambda s: {sec})', '')}) || ':' || {leaf}"
+    para_said = f"{para}[1:8] || '+' || " + _join("list_transform(p, lambda x: x[1:8])", ",")
+    sec_said = f"{sec}[1:8] || '=' || " + _join(f"list_transform(s, lambda p: {para_said})", ";")
+    return f"md5({_join(f'list_transform({tree}, lambda s: {sec})', '')}) || ':' || {_join(f'list_transform({tree}, lambda s: {sec_said})', '/')}"
 
 
 def _leaves(fp: str) -> str:
-    return f"list_distinct(list_filter(regexp_split_to_array(split_part({fp}, ':', 2), '[,;/]'), lambda x: x <> ''))"
+    return f"list_distinct(list_filter(list_transform(regexp_split_to_array(split_part({fp}, ':', 2), '[,;/]'), lambda x: string_split(x, '+')[-1]), lambda x: x <> ''))"
+
+
+def _apart(a: str, b: str, node: str) -> str:
+    """Places from 1 where the nodes of two lists differ."""
+    return f"list_filter(range(1, greatest(len({a}), len({b})) + 1), lambda {node}: {a}[{node}][1:8] IS DISTINCT FROM {b}[{node}][1:8])"
+
+
+def _differing(a: str, b: str) -> str:
+    sa, sb = (f"string_split(split_part({x}, ':', 2), '/')" for x in (a, b))
+    pa, pb = (f"coalesce(string_split({x}[i][10:], ';'), [])" for x in (sa, sb))
+    return f"coalesce(list_sum(list_transform({_apart(sa, sb, 'i')}, lambda i: len({_apart(pa, pb, 'j')}))), 0)"
 
 
 def _near(a: str, b: str) -> str:
@@ -27,14 +38,14 @@ def _near(a: str, b: str) -> str:
 
 OP1 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-o AS (SELECT *, lead(text) OVER w AS n1, first_value(text) OVER w AS n0 FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+o AS (SELECT *, lead(text) OVER w AS n1, first_value(text) OVER w AS n0 FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT doc_id, text, coalesce(n1, n0) AS nxt, length(text) AS n FROM o),
 x AS (SELECT *, substr(text, 1, n - n // 2) || substr(nxt, 1, n // 2) AS edited FROM e),
 t AS (SELECT *, {_tree('text')} AS t1, {_tree('edited')} AS t2, {_tree('nxt')} AS t3 FROM x),
 f AS (SELECT doc_id, n, edited, {_fp('t1')} AS f1, {_fp('t2')} AS f2, {_fp('t3')} AS f3 FROM t),
 l AS (SELECT *, {_leaves('f1')} AS l1, {_leaves('f2')} AS l2, {_leaves('f3')} AS l3 FROM f)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, f1 AS fingerprint, f2 AS edited_fingerprint,
-       {_near('l1', 'l2')} AS near_edited, {_near('l1', 'l3')} AS near_next
+       {_near('l1', 'l2')} AS near_edited, {_near('l1', 'l3')} AS near_next, {_differing('f1', 'f2')}::BIGINT AS n_differing
 FROM l
 """
 

@@ -84,14 +84,33 @@ def test_fingerprints_of_equal_texts_and_located_edits(spark):
     r = merkle.edit_report(hostile(spark)).toPandas()
     one = r[r.doc_id.isin([8, 9])]
     assert one.fingerprint.nunique() == 1 and r.near_edited.between(0, 1).all() and r.near_next.between(0, 1).all()
-    t = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX")], "x string, y string").select(merkle.tree(F.col("x")).alias("x"), merkle.tree(F.col("y")).alias("y"))
+    t = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX")], "x string, y string").select(merkle.fingerprint(merkle.tree(F.col("x"))).alias("x"), merkle.fingerprint(merkle.tree(F.col("y"))).alias("y"))
     assert [tuple(d) for d in t.select(merkle.differing(F.col("x"), F.col("y")).alias("d")).first()["d"]] == [(1, 1)]
+    assert t.select(merkle.differing(F.col("x"), F.col("x")).alias("d")).first()["d"] == []
+
+
+def next_by_force(data):
+    r = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()))
+    return Counter((i, t, r[(k + 1) % len(r)][1]) for k, (i, t) in enumerate(r))
+
+
+@pytest.mark.parametrize("ids", ["hashed", "outlier", "null", "hot", "one"])
+def test_next_document_of_any_ids(spark, ids):
+    n = 3000
+    at = {"hashed": lambda i: (i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63), "outlier": lambda i: i if i else 9 * 10**18, "null": lambda i: i if i % 3 else None, "hot": lambda i: i if i % 3 else 77, "one": lambda i: -9 * 10**18}[ids]
+    data = [(at(i), f"text {i % 2900}") for i in range(n)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = merkle.with_next(d, bucket_rows=64).select("doc_id", "text", "next_text")
+    assert Counter(tuple(r) for r in got.collect()) == next_by_force(data)
+    r = d.agg(F.percentile_approx("doc_id", [i / 1000 for i in range(1001)], 4000)).first()[0]
+    most = d.groupBy(merkle.bucket_of(F.col("doc_id"), F.md5("text"), r or [], n, 64)[0].alias("b")).count().agg(F.max("count")).first()[0]
+    assert most < 400
 
 
 def test_next_document_with_null_and_gaps(spark):
-    d = spark.createDataFrame([(None, "nnnn"), (10, "aaaa"), (10**12, "bbbb"), (7, "cccc")], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(d, bucket_rows=1).collect()}
-    assert got == {None: "cccc", 7: "aaaa", 10: "bbbb", 10**12: "nnnn"}
+    data = [(None, "nnnn"), (10, "aaaa"), (10**12, "bbbb"), (7, "cccc")]
+    got = merkle.with_next(spark.createDataFrame(data, "doc_id long, text string"), bucket_rows=1).select("doc_id", "text", "next_text")
+    assert Counter(tuple(r) for r in got.collect()) == next_by_force(data)
 
 
 # 2: Jaccard join
