@@ -72,3 +72,14 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Names for further columns that none of these columns has, in either case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
