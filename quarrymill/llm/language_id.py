@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import mix64, tidy
-from .shared import bounded
+from .shared import bounded, spare
 
 DIM = 1024
 SYMBOLS = 64
@@ -95,33 +95,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 4 != 2))
     counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n_"))
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample / F.col("n_")
-    picked = pool.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").filter(pick).select("lang", "text").coalesce(16)
+    picked = pool.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").filter(pick).select("lang", "text").repartition(16)  # the scan keeps its tasks; the bounded sample moves
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             langs = b.column("lang").to_pylist()
             for i, v in unit_vectors(_lists(b, "text")):
-                if langs[i] in sums:
-                    sums[langs[i]] += v
-                else:
-                    sums[langs[i]] = v.astype(np.float64)
+                whole = np.rint(v * (1 << 20)).astype(np.int64)  # sums of integers are the same in any order
+                sums[langs[i]] = sums[langs[i]] + whole if langs[i] in sums else whole
             tidy()
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     total: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(bundle, "lang string, v array<double>").collect():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"])
+    for r in picked.mapInArrow(bundle, "lang string, v array<long>").collect():
+        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"], np.int64)
     names = sorted(total)
     if not names:
         return [], np.zeros((0, DIM), np.float32)
-    m = np.stack([total[k] for k in names])
+    m = np.stack([total[k] for k in names]).astype(np.float64)
     return names, (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; keep: adds lang_pred and score to the columns of docs instead."""
+    """doc_id, held_out, lang_pred, score for every row; keep: adds lang_pred and score, or like names that are free, to the columns of docs instead."""
     names, protos = model
     bounded(docs.sparkSession)
 
@@ -135,15 +133,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: bool = F
         return said, score
 
     if keep:
+        extra = spare(docs.columns, "lang_pred", "score")
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 said, score = judge(_lists(b, "text"))
                 tidy()
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said), pa.array(score)], names=[*b.schema.names, "lang_pred_", "score_"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said), pa.array(score)], names=[*b.schema.names, *extra])
 
         spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(add, f"{spec}, lang_pred_ string, score_ double")
+        return docs.mapInArrow(add, f"{spec}, {extra[0]} string, {extra[1]} double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,4 +157,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: bool = F
 def kept(docs: DataFrame) -> DataFrame:
     """The documents in a learned language. Those without a letter (``und``) go; short texts stay, however low their cosine."""
     judged = predict(docs, fit(docs), keep=True)
-    return judged.filter(F.col("lang_pred_") != "und").select(*docs.columns)
+    return judged.filter(F.col(spare(docs.columns, "lang_pred")[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
