@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import pack, unpack
 from .flat import U64, flat, tidy
 from .graph import components
-from .shared import bounded, partitions, written
+from .shared import bounded, partitions, spare, written
 from .shingles import shingles
 from .texts import spread, squeeze
 
@@ -354,6 +354,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     every, docs = docs, docs.filter(word)
     keep = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("t_", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    named = named.dropDuplicates(["doc_id", "t_"]).drop("t_")
-    return named.unionByName(every.filter(F.col("doc_id").isNull() | ~word)).select(*every.columns)
+    digest = spare(docs.columns, "digest")[0]
+    named = docs.join(keep, "doc_id", "left_semi").withColumn(digest, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    named = named.dropDuplicates(["doc_id", digest]).drop(digest)
+    return named.unionByName(every.filter(F.col("doc_id").isNull() | ~word)).select(*[F.col(f"`{c}`") for c in every.columns])
