@@ -252,13 +252,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids array<int>) to (doc_id, bytes): ids with their positions are joined with the token-byte table, then put together again.
 
-    Rows are told apart by doc_id and ids; the table's size is the vocabulary's, so it is broadcast. Ids without a token are dropped.
+    Rows are told apart by doc_id and ids; the table's size is the vocabulary's, so it is broadcast. A row with an id (or null) that has
+    no token has null bytes.
     """
     spark = coded.sparkSession
     table = spark.createDataFrame([(v, bytearray(k)) for k, v in ranks.items()], "id int, token binary")
     rows = coded.select("doc_id", "ids").distinct().withColumn("row_", F.xxhash64("doc_id", "ids"))
-    each = rows.select("doc_id", "row_", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
+    each = rows.select("doc_id", "row_", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
     whole = each.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("token").alias("h")))).alias("t"))
-    whole = whole.select("row_", F.unhex(F.array_join(F.transform("t", lambda x: x["h"]), "")).alias("bytes"))
-    keyed = coded.select("doc_id", F.xxhash64("doc_id", "ids").alias("row_"))
-    return keyed.join(whole, "row_", "left").select("doc_id", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    known = ~F.exists("t", lambda x: x["h"].isNull())
+    whole = whole.select("row_", F.when(known, F.unhex(F.array_join(F.transform("t", lambda x: x["h"]), ""))).alias("bytes"))
+    keyed = coded.select("doc_id", "ids", F.xxhash64("doc_id", "ids").alias("row_"))
+    return keyed.join(whole, "row_", "left").select("doc_id", F.when(F.coalesce(F.size("ids"), F.lit(0)) > 0, F.col("bytes")).otherwise(F.lit(b"")).alias("bytes"))
