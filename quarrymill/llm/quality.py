@@ -1,9 +1,11 @@
 """Quality classifier by positive-unlabelled learning.
 
 A linear score over style features (shares of byte classes and of their pairs, repetition of words and lines, lengths) is
-fitted by minimising the non-negative unbiased risk: trusted positives stand for the good class, a sample of all training
-documents for the unlabelled web, and the class prior is estimated from the training folds' labels. A logistic curve
-fitted on the training folds' labels then turns the score into a probability.
+fitted by minimising the non-negative unbiased risk: trusted positives (label 1) stand for the good class, a sample of all
+training documents for the unlabelled web. The class prior is estimated from scores alone: for classifiers of positives
+against the web, trained on one half, it is the least ratio of the web's and the positives' masses above a cut, on the other
+half. So the weights come from positives and unlabelled texts only. Last, a logistic curve of two parameters, fitted on the
+training folds' labels of both kinds, turns the score into a probability; without labels 0 the score's own curve stays.
 
 The fit takes at most ``SAMPLE`` positives, ``SAMPLE`` labelled negatives (for the curve alone) and ``SAMPLE`` unlabelled
 documents, picked by a digest of the id, from rows whose crc32(doc_id as text) mod 5 is not 0; this bound is a parameter.
@@ -87,6 +89,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     at = _K * _K + _K
     for k, x in enumerate((wd / np.maximum(w, 1), ld / np.maximum(li, 1), np.log1p(w), np.log1p(li), size / np.maximum(w, 1) / 16, w / np.maximum(li, 1) / 64, (w == 0))):
         out[:, at + k] = x
+    out[size == 0] = 0  # alike in any company
     return out
 
 
@@ -110,25 +113,34 @@ class Model:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.02, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Linear weights that minimise the non-negative risk prior*E_p[l(f)] + max(0, E_u[l(-f)] - prior*E_p[l(-f)]), logistic loss, Adam.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    Where the bracket falls below 0 the step follows its negative, as the method's authors do against overfitting.
-    """
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two terms of the unbiased risk under logistic loss: of positives, and of negatives as the web without its positives."""
+    soft = lambda z: np.logaddexp(0, z)
+    return float(prior * soft(-fp).mean()), float(soft(fu).mean() - prior * soft(fp).mean())
+
+
+def gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+    """Of the non-negative risk: where the negatives' term falls below 0 the step follows its negative, as the method's authors do
+    against overfitting."""
+    fp, fu = p @ w + b, u @ w + b
+    gp, gu = _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
+    neg = np.append(u.T @ gu - prior * (p.T @ gp), gu.sum() - prior * gp.sum())
+    if risk(fp, fu, prior)[1] < 0:
+        return -neg
+    gpos = -_sigmoid(-fp) / len(fp)
+    return prior * np.append(p.T @ gpos, gpos.sum()) + neg
+
+
+def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.02, decay: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Linear weights that minimise the non-negative risk prior*E_p[l(f)] + max(0, E_u[l(-f)] - prior*E_p[l(-f)]), logistic loss, Adam."""
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    soft = lambda z: np.logaddexp(0, z)
     for t in range(1, steps + 1):
-        fp, fu = p @ w + b, u @ w + b
-        bracket = soft(fu).mean() - prior * soft(fp).mean()
-        gp, gu = sig(fp) / len(fp), sig(fu) / len(fu)  # of l(-f)
-        neg = np.append(u.T @ gu - prior * (p.T @ gp), gu.sum() - prior * gp.sum())
-        if bracket < 0:
-            g = -neg
-        else:
-            gpos = -sig(-fp) / len(fp)
-            g = prior * np.append(p.T @ gpos, gpos.sum()) + neg
+        g = gradient(p, u, w, b, prior)
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -136,12 +148,33 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: flo
     return w, float(b)
 
 
+def mass_ratio(fp: np.ndarray, fu: np.ndarray, least: float = 0.5) -> float:
+    """The least ratio of the masses of the web and of the positives above a cut that keeps a share of the positives."""
+    fp, fu = np.sort(fp), np.sort(fu)
+    cuts = fp[: int(len(fp) * (1 - least)) + 1 : max(1, len(fp) // 200)]
+    above = lambda x: (len(x) - np.searchsorted(x, cuts)) / len(x)
+    return float((above(fu) / above(fp)).min())
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, splits: int = 4, steps: int = 100) -> float:
+    """Share of the good class in the web: the median over alternating halves."""
+    out = []
+    for k in range(splits):
+        half = lambda x: (np.arange(len(x)) >> (k // 2)) % 2 == k % 2  # noqa: E731, B023
+        hp, hu = half(p), half(u)
+        if not hp.any() or hp.all() or not hu.any() or hu.all():
+            continue
+        w, b = nnpu(p[hp], u[hu], 0.5, steps)
+        out.append(mass_ratio(p[~hp] @ w + b, u[~hu] @ w + b))
+    return float(np.clip(np.median(out), 0.02, 0.98)) if out else 0.5
+
+
 def curve(f: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """Logistic curve of labels over scores, by Newton steps with a small ridge."""
     x = np.stack([f, np.ones_like(f)], 1)
     t = np.zeros(2)
     for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        q = _sigmoid(x @ t)
         h = (x * (q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
         t = t - np.clip(np.linalg.solve(h, x.T @ (q - y) + 1e-3 * t), -2, 2)
     return float(t[0]), float(t[1])
@@ -151,8 +184,9 @@ def _fold(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def _pick(df: DataFrame, n: int, most: int) -> DataFrame:
-    return df if n <= most else df.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30)) < int((1 << 30) * most / n))
+def _pick(df: DataFrame, n: int, most: int, salt: str) -> DataFrame:
+    """About so many rows by a digest of the id; with salts of their own, samples do not hold the same documents."""
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -164,9 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n_pos, n_neg = count.get(1, 0), count.get(0, 0)
     if not n_pos:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
-    prior = min(0.98, n_pos / (n_pos + n_neg))
-    ids = _pick(known.filter("y_ = 1"), n_pos, sample).unionByName(_pick(known.filter("y_ = 0"), n_neg, sample))
-    web = _pick(train, train.count(), sample).select(F.lit(-1).alias("y_"), "text")
+    ids = _pick(known.filter("y_ = 1"), n_pos, sample, "positives").unionByName(_pick(known.filter("y_ = 0"), n_neg, sample, "negatives"))
+    web = _pick(train, train.count(), sample, "web").select(F.lit(-1).alias("y_"), "text")
     rows = train.join(F.broadcast(ids), "doc_id").select("y_", "text").unionByName(web)  # ids: at most about 2 x sample rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     del got, web_x
     model = Model(mean, scale, np.zeros(N_FEATURES), 0.0)
     z = np.clip((x - mean) / scale, -6, 6)
-    model.w, model.b = nnpu(z[y == 1], z[y == -1], prior)
-    del z
-    if n_neg:
-        told = y >= 0
-        weight_fix = np.log(max(n_pos, 1) / max(n_neg, 1)) - np.log(max((y == 1).sum(), 1) / max((y == 0).sum(), 1))
+    pos, web = z[y == 1], z[y == -1]
+    if not len(pos):  # labels of no document
+        return model
+    model.w, model.b = nnpu(pos, web, class_prior(pos, web))
+    del z, pos, web
+    told = y >= 0
+    if (y == 0).any():
+        weight_fix = np.log(n_pos / n_neg) - np.log((y == 1).sum() / (y == 0).sum())
         a, c = curve(model.raw(x[told]), y[told])
         model.curve = (a, c + float(weight_fix))
     return model

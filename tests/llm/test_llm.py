@@ -305,6 +305,53 @@ def test_quality_on_held_out_labels(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for h, i in zip(r.held_out, r.doc_id))
 
 
+def test_quality_risk_and_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (40, 5)), rng.normal(0, 1, (60, 5))
+    for scale, prior in ((0.3, 0.4), (3.0, 0.9)):
+        w, b = rng.normal(0, scale, 5), 0.2
+
+        def value(x):
+            loss = lambda z: np.log1p(np.exp(-z))
+            pos = sum(loss(r @ x[:5] + x[5]) for r in p) / len(p)
+            neg = sum(loss(-(r @ x[:5] + x[5])) for r in u) / len(u) - prior * sum(loss(-(r @ x[:5] + x[5])) for r in p) / len(p)
+            return (prior * pos + neg) if neg >= 0 else -neg
+
+        x = np.append(w, b)
+        slope = [(value(x + e) - value(x - e)) / 2e-5 for e in 1e-5 * np.eye(6)]
+        assert np.allclose(quality.gradient(p, u, w, b, prior), slope, atol=1e-6)
+
+
+def test_quality_features_by_force():
+    texts = ["Aa b\n\n1 a, a!", "", "é é\tzz", "same\nsame\nsame"]
+    raw = [t.encode() for t in texts]
+    got = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    k = len(quality.CLASSES) + 2
+    kind = lambda c: k - 2 if c >= 128 else next((i for i, s in enumerate(quality.CLASSES) if chr(c) in s), k - 1)
+    for g, r in zip(got, raw):
+        want = np.zeros(quality.N_FEATURES)
+        for a, b in zip(r, r[1:]):
+            want[kind(a) * k + kind(b)] += 1 / len(r)
+        for c in r:
+            want[k * k + kind(c)] += 1 / len(r)
+        words, lines = [x for x in re.split(rb"[ \n\t\r]+", r) if x], [x for x in r.split(b"\n") if x]
+        n, m = max(1, len(words)), max(1, len(lines))
+        want[k * k + k : -1] = [len(set(words)) / n, len(set(lines)) / m, np.log1p(len(words)), np.log1p(len(lines)), len(r) / n / 16, len(words) / m / 64, not words][: len(want) - k * k - k - 1]
+        want[-1] = np.log1p(len(r))
+        if r:
+            assert np.allclose(g, want, atol=1e-5)
+        else:
+            assert not g.any()
+
+
+def test_class_prior_of_a_known_mixture():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.8):
+        good = lambda n: rng.normal(2, 1, (n, 3))
+        web = np.where(rng.random(4000)[:, None] < share, good(4000), rng.normal(-2, 1, (4000, 3)))
+        assert abs(quality.class_prior(good(2000), web) - share) < 0.06
+
+
 def test_quality_on_hostile_rows(spark):
     d = hostile(spark)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (11, 0, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
@@ -354,6 +401,20 @@ def test_language_on_held_out_documents(spark):
     assert (r.lang == r.lang_pred).mean() > 0.98
 
 
+def test_language_vectors_by_force():
+    table = language_id.letters().astype(int)
+    texts = ["Abc, dé", "x", "12 é zz", "same same"]
+    got = dict(language_id.unit_vectors(texts))
+    for i, t in enumerate(texts):
+        s = [int(language_id.symbols(np.array([ord(c)], np.uint32))[0]) for c in f" {t.lower()} "]
+        s = [c for k, c in enumerate(s) if c or not k or s[k - 1]]
+        v = np.zeros(language_id.DIM)
+        for a, b, c in zip(s, s[1:], s[2:]):
+            if b:
+                v += np.roll(table[a], 2) * np.roll(table[b], 1) * table[c]
+        assert np.allclose(got[i], v / np.linalg.norm(v), atol=1e-5)
+
+
 def test_language_without_letters(spark):
     d = hostile(spark)
     got = {r["doc_id"]: r for r in language_id.predict(d, language_id.fit(d)).filter("doc_id is not null").collect()}
