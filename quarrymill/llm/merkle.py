@@ -35,20 +35,24 @@ def paragraph_node(p: Column) -> Column:
     return F.md5(F.array_join(p, ""))
 
 
-def section_node(s: Column) -> Column:
-    return F.md5(F.array_join(F.transform(s, paragraph_node), ""))
-
-
-def root(t: Column) -> Column:
-    return F.md5(F.array_join(F.transform(t, section_node), ""))
+def let(x: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f)[0]
 
 
 def fingerprint(t: Column) -> Column:
-    """The string form of a tree."""
+    """The string form of a tree; every node is digested once."""
     short = lambda x: F.substring(x, 1, 8)
-    paragraph = lambda p: F.concat(short(paragraph_node(p)), F.lit("+"), F.array_join(F.transform(p, short), ","))
-    section = lambda s: F.concat(short(section_node(s)), F.lit("="), F.array_join(F.transform(s, paragraph), ";"))
-    return F.concat(root(t), F.lit(":"), F.array_join(F.transform(t, section), "/"))
+
+    def section(s: Column) -> Column:
+        def said(nodes: Column) -> Column:
+            paragraphs = F.zip_with(s, nodes, lambda p, n: F.concat(short(n), F.lit("+"), F.array_join(F.transform(p, short), ",")))
+            return F.struct(F.md5(F.array_join(nodes, "")).alias("node"), F.array_join(paragraphs, ";").alias("said"))
+
+        return let(F.transform(s, paragraph_node), said)
+
+    root = lambda x: F.md5(F.array_join(F.transform(x, lambda y: y["node"]), ""))
+    return let(F.transform(t, section), lambda x: F.concat(root(x), F.lit(":"), F.array_join(F.transform(x, lambda y: F.concat(short(y["node"]), F.lit("="), y["said"])), "/")))
 
 
 def leaves(fp: Column) -> Column:
@@ -67,11 +71,15 @@ def differing(a: Column, b: Column) -> Column:
     """Where the trees of two fingerprints differ: (section, paragraph) numbers from 0. Sections with equal nodes are not entered."""
     node = lambda x, i: F.substring(F.get(x, i), 1, 8)
     apart = lambda x, y: F.filter(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1), lambda i: ~node(x, i).eqNullSafe(node(y, i)))
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
     sections = lambda fp: F.split(F.substring_index(fp, ":", -1), "/", -1)
     below = lambda x, i: F.coalesce(F.split(F.substring(F.get(x, i), 10, 1 << 30), ";", -1), F.array().cast("array<string>"))
-    sa, sb = sections(a), sections(b)
-    inside = lambda i: F.transform(apart(below(sa, i), below(sb, i)), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.flatten(F.transform(apart(sa, sb), inside)))
+
+    def inside(p: Column, i: Column) -> Column:
+        return F.transform(let(pair(below(p["a"], i), below(p["b"], i)), lambda q: apart(q["a"], q["b"])), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+
+    places = let(pair(sections(a), sections(b)), lambda p: F.flatten(F.transform(apart(p["a"], p["b"]), lambda i: inside(p, i))))
+    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(places)
 
 
 def _successors(heads: DataFrame, last: int) -> DataFrame:
@@ -100,16 +108,16 @@ def bucket_of(doc_id: Column, digest: Column, cuts: list[int], n: int, bucket_ro
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     rows = [kinds[i : i + 32] for i in range(0, len(kinds), 32)]
     heads, table = longs([r[0] for r in rows]), F.array(*[longs(r) for r in rows])
+    span = b + each
+    lows = longs([kinds[0], *kinds])
+    widths = F.array(*[F.lit(max(1.0, (float(y) - float(x)) / each)) for x, y in zip([kinds[0], *kinds], [*kinds, kinds[-1]], strict=True)])
     at_most = lambda xs: F.size(F.filter(xs, lambda c: c <= doc_id))
-    row = F.greatest(at_most(heads) - 1, F.lit(0))
-    j = row * 32 + at_most(F.get(table, row))  # ranks from 0 (below all cuts) to the number of cuts
-    low = F.get(longs([kinds[0], *kinds]), j).cast("double")
-    width = F.get(F.array(*[F.lit(max(1.0, (float(y) - float(x)) / each)) for x, y in zip([kinds[0], *kinds], [*kinds, kinds[-1]], strict=True)]), j)
-    even = F.least(F.greatest(F.floor((doc_id.cast("double") - low) / width), F.lit(0)), F.lit(each - 1)).cast("long")
+    rank = let(F.greatest(at_most(heads) - 1, F.lit(0)), lambda row: row * 32 + at_most(F.get(table, row)))  # from 0, below all cuts
+    even = lambda j: F.least(F.greatest(F.floor((doc_id.cast("double") - F.get(lows, j).cast("double")) / F.get(widths, j)), F.lit(0)), F.lit(each - 1)).cast("long")
     split = F.array_contains(longs(hot), doc_id) if hot else F.lit(False)
-    span = b + each
-    inside = F.when(split, by_digest).otherwise(F.lit(b) + even)
-    return F.when(doc_id.isNull(), by_digest).otherwise((j + 1).cast("long") * span + inside), (len(kinds) + 2) * span
+    known = let(rank, lambda j: (j + 1).cast("long") * span + F.when(split, by_digest).otherwise(F.lit(b) + even(j)))
+    # never null: a filter for that would part plans that share an exchange
+    return F.coalesce(F.when(doc_id.isNull(), by_digest).otherwise(known), F.lit(0).cast("long")), (len(kinds) + 2) * span
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -119,12 +127,14 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     the first of the bucket that follows, which is a join of one row a bucket.
     """
     r = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 4 * QUANTILES)).first()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("md", F.md5("text"))
+    # no alias where none is needed: it would part plans that share an exchange
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    d = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text")).withColumn("md", F.md5("text"))
     bucket, last = bucket_of(F.col("doc_id"), F.col("md"), [int(x) for x in r[1] or []], r[0], bucket_rows)
     d = d.withColumn("bucket", bucket)
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "md")
     heads = d.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").select("bucket", "text")
-    after = _successors(heads, last)
+    after = _successors(d.select("bucket").distinct(), last)
     follow = after.join(heads.select(F.col("bucket").alias("next_"), F.col("text").alias("next_text"), fingerprint(tree(F.col("text"))).alias("next_fp")), "next_").drop("next_")
     t = d.withColumn("fp", fingerprint(tree(F.col("text")))).withColumn("next_", F.lead(F.struct("text", "fp")).over(w))
     inside = t.filter(F.col("next_").isNotNull()).select("doc_id", "text", "fp", F.col("next_.text").alias("next_text"), F.col("next_.fp").alias("next_fp"))
