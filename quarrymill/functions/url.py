@@ -34,23 +34,30 @@ class Permalinks:
     languages: tuple[str, ...] = field(default=())
 
 
+def _pieces(pattern: str) -> tuple[list[str], list[str]]:
+    """(literals, tokens) of a permalink pattern: percent signs stand around each token, so the pieces between them take turns."""
+    pieces = pattern.split("%")
+    return pieces[::2], pieces[1::2]
+
+
 def pattern_regex(pattern: str) -> str:
     """A permalink pattern as an anchored Java regex, trailing slash optional."""
     import re
 
-    out, last = "", 0
-    for m in re.finditer("%([a-z_]+)%", pattern):
-        out += re.escape(pattern[last : m.start()]) + TOKEN_CLASS.get(m[1], "[^/]+")
-        last = m.end()
-    out += re.escape(pattern[last:])
-    return f"^{out.removesuffix('/')}/?$"
+    literals, tokens = _pieces(pattern.removesuffix("/"))
+    classes = [TOKEN_CLASS.get(t, "[^/]+") for t in tokens] + [""]
+    return "^" + "".join(re.escape(a) + b for a, b in zip(literals, classes, strict=True)) + "/?$"
 
 
 def specificity(pattern: str) -> int:
     """Literal characters of a pattern."""
-    import re
+    return sum(map(len, _pieces(pattern)[0]))
+
 
-    return len(re.sub("%[a-z_]+%", "", pattern))
+def template_family(file: Column, pagination: str = "page") -> Column:
+    """The template of a built file: its first folder, listings' further pages apart; files less than two folders deep are top-level."""
+    parts = F.split(file, "/", -1)
+    return F.when(F.size(parts) < 3, "top-level").when(F.array_contains(parts, pagination), F.concat(parts[0], F.lit("-pagination"))).otherwise(parts[0])
 
 
 def host_of(url: Column) -> Column:

@@ -5,26 +5,55 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPELLINGS
+
 # Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose text a page asks a reader to read as a unit.
 ASKING = frozenset("h1 h2 h3 h4 h5 h6 a button label summary option".split())
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+class _Outline(HTMLParser):
+    """Elements of a page with their places; open ones are kept on a stack."""
 
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.stack: list[dict] = []
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.feed(html)
+        self.close()
 
-def blanked(html: str) -> str:
-    """Bodies of scripts and styles replaced by blanks of the same length, so that offsets hold."""
-    return re.sub(r"(?is)(<(script|style)\b[^>]*>)(.*?)(</\2>)", lambda m: m[1] + " " * len(m[3]) + m[4], html)
+    def place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
 
+    def begin(self, name: str, given: list[tuple[str, str | None]], empty: bool) -> None:
+        after = self.place() + len(self.get_starttag_text())
+        first: dict[str, str] = {}
+        for k, v in reversed(given):
+            first[k] = v or ""
+        item = {"name": name, "depth": len(self.stack), "start": after, "end": after if empty else -1, "attributes": first}
+        self.found.append(item)
+        if not empty:
+            self.stack.append(item)
 
-def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in re.finditer(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>=`]+)))?""", text)}
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.begin(tag, attrs, tag in VOID)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.begin(tag, attrs, True)
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(x["name"] == tag for x in self.stack):
+            while (last := self.stack.pop())["name"] != tag:
+                pass
+            last["end"] = self.place()
 
 
 def walk(html: str) -> list[tuple[int, str, int, int, int, dict[str, str]]]:
@@ -33,24 +62,16 @@ def walk(html: str) -> list[tuple[int, str, int, int, int, dict[str, str]]]:
     A closing tag closes the last open element of its name and all within; others without a match are ignored; void and self-closed
     elements hold nothing; elements never closed have no end.
     """
-    out: list[list] = []
-    open_: list[int] = []
-    for m in _TAG.finditer(blanked(html)):
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            for i in range(len(open_) - 1, -1, -1):
-                if out[open_[i]][1] == name:
-                    out[open_[i]][4] = m.start()
-                    del open_[i:]
-                    break
-            continue
-        single = name in VOID or m[3].rstrip().endswith("/")
-        out.append([len(out), name, len(open_), m.end(), m.end() if single else -1, attributes(m[3])])
-        if not single:
-            open_.append(len(out) - 1)
-    return [tuple(x) for x in out]
+    return [(n, x["name"], x["depth"], x["start"], x["end"], x["attributes"]) for n, x in enumerate(_Outline(html).found)]
+
+
+def blanked(html: str) -> str:
+    """Bodies of scripts and styles replaced by blanks of the same length, so that offsets hold."""
+    out = list(html)
+    for _, name, _, start, end, _ in walk(html):
+        if name in ("script", "style") and end > start:
+            out[start:end] = " " * (end - start)
+    return "".join(out)
 
 
 def elements(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -108,10 +129,10 @@ def surface(html: str, dropped: tuple[str, ...] = ()) -> tuple[list[tuple[str, s
 
 def key_of(s: str) -> str:
     """The comparison key of a text (as functions.text.comparison_text), composed."""
-    s = re.sub(r"<[^>]*>", " ", s)
-    for pat, to in ((r"&nbsp;|&#160;", " "), (r"&amp;|&#38;", "&"), (r"&#8217;|&rsquo;|&#39;|&apos;|’|‘", "'"), (r"&#8220;|&#8221;|“|”", '"'), (r"&#8211;|&ndash;|–|&#8212;|&mdash;|—", "-"), ("&lt;", "<"), ("&gt;", ">"), (r"\s+", " "), (r"\s*/\s*", "/")):
-        s = re.sub(pat, to, s)
-    return composed(s.strip().lower())
+    s = re.sub("<[^>]*>", " ", s)
+    for spelled, plain in SPELLINGS.items():
+        s = s.replace(spelled, plain)
+    return composed(re.sub(" ?/ ?", "/", " ".join(s.split())).strip().lower())
 
 
 def surfaces(pages: DataFrame, key: str, html: str, dropped: tuple[str, ...] = ()) -> DataFrame:

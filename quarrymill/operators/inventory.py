@@ -11,33 +11,41 @@ from ..functions import url as U
 CLASSES = ("MATCH", "REDIRECT", "RETIRED", "INFRASTRUCTURE", "GAP", "LOCAL_ONLY")
 
 
-def diff(live: DataFrame, local: DataFrame, rules: DataFrame, splats: tuple[tuple[str, int], ...], retired: tuple[str, ...]) -> DataFrame:
-    """key, family, classification, redirect_target. live: key, family; local: key, redirect; rules: from_path, to_path.
-
-    One full outer join on the key, one left join on the trimmed path, one on the target; the splats are configuration and
-    become a literal ladder, first match first, by plain string prefix.
+def _rules(rules: DataFrame, published: DataFrame) -> DataFrame:
+    """path_, to_path, there_: one rule a source path, the last by ord (or by place); does this build publish its target?"""
+    place = F.col("ord") if "ord" in rules.columns else F.monotonically_increasing_id()
+    r = rules.select(U.trim_slashes(U.path_part(F.col("from_path"))).alias("path_"), "to_path", place.alias("o_"))
+    r = r.groupBy("path_").agg(F.max_by("to_path", "o_").alias("to_path"))
+    spelled = F.array(F.col("to_path"), F.concat(U.trim_slashes(U.path_part(F.col("to_path"))), F.lit("/")))
+    found = r.select("path_", F.explode(F.array_distinct(spelled)).alias("p_")).join(published, "p_", "left_semi").select("path_").distinct()
+    r = r.join(found.withColumn("f_", F.lit(True)), "path_", "left")
+    return r.select("path_", "to_path", (~F.col("to_path").startswith("/") | F.col("f_").isNotNull()).alias("there_"))
+
+
+def diff(live: DataFrame, local: DataFrame, rules: DataFrame, splats: tuple[tuple[str, int], ...], retired: tuple[str, ...], links: U.Permalinks = U.Permalinks()) -> DataFrame:
+    """key, family, classification, redirect_target: a row for every key of either side but local redirects.
+
+    live: key, family; local: key, redirect; rules: from_path, to_path and perhaps ord. Rules meet their targets first, then the
+    crawl joins the build by key and the rules by trimmed path; the splats are configuration and become a literal ladder, first
+    match first, by plain string prefix.
     """
     published = local.filter(~F.col("redirect")).select(F.col("key").alias("p_"))
-    t = live.withColumn("path_", U.trim_slashes(U.path_part(F.col("key")))).withColumn("raw_", U.path_part(F.col("key")))
-    t = t.join(local.select("key", F.col("redirect").alias("stub_")), "key", "left")
-    t = t.join(rules.select(F.col("from_path").alias("path_"), "to_path"), "path_", "left")
-    t = t.join(published, t["to_path"] == F.col("p_"), "left")
-    splat = F.lit(None).cast("string")
-    for prefix, _ in sorted(splats, key=lambda s: -s[1]):
-        splat = F.when(F.col("raw_").startswith(prefix), prefix).otherwise(splat)
-    outside = F.col("to_path").rlike("^[a-z]+://")
+    t = live.withColumn("path_", U.trim_slashes(U.path_part(F.col("key"))))
+    t = t.join(local.select("key", F.col("redirect").alias("stub_")), "key", "left").join(_rules(rules, published), "path_", "left")
+    splat = F.lit(False)
+    for prefix, _ in splats:
+        splat = splat | F.col("path_").startswith(prefix.rstrip("/") or "/")
     cls = (
         F.when(~F.col("stub_"), "MATCH")
-        .when(F.col("to_path").isNotNull(), F.when(outside | F.col("p_").isNotNull(), "REDIRECT").otherwise("GAP"))
-        .when(splat.isNotNull(), "REDIRECT")
+        .when(F.col("to_path").isNotNull(), F.when(F.col("there_"), "REDIRECT").otherwise("GAP"))
+        .when(splat, "REDIRECT")
         .when(F.col("family").isin(*retired), "RETIRED")
         .when(F.col("family").isin(*U.INFRASTRUCTURE), "INFRASTRUCTURE")
         .otherwise("GAP")
     )
-    target = F.when(~F.col("stub_"), None).otherwise(F.coalesce("to_path", splat))
-    rows = t.select("key", "family", cls.alias("classification"), target.alias("redirect_target"))
+    rows = t.select("key", "family", cls.alias("classification"), F.when(F.coalesce(F.col("stub_"), F.lit(True)), F.col("to_path")).alias("redirect_target"))
     only = local.filter(~F.col("redirect")).join(live.select("key"), "key", "left_anti")
-    return rows.unionByName(only.select("key", F.lit(None).cast("string").alias("family"), F.lit("LOCAL_ONLY").alias("classification"), F.lit(None).cast("string").alias("redirect_target")))
+    return rows.unionByName(only.select("key", U.classify_family(F.col("key"), links).alias("family"), F.lit("LOCAL_ONLY").alias("classification"), F.lit(None).cast("string").alias("redirect_target")))
 
 
 def counts(spark, rows: DataFrame) -> DataFrame:

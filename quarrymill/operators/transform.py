@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import url as U
 
 # Reasons of exclusion in the order they are asked.
-LADDER = ("not-published", "protected", "no-slug", "no-date", "no-title", "no-author", "no-categories", "duplicate-slug")
+LADDER = ("not-published", "password-protected", "incomplete", "unrepresentable-slug", "duplicate-slug")
 
 
 def resolve(rows: DataFrame, ids: str, registry: DataFrame, into: str, key: str = "id") -> DataFrame:
@@ -19,20 +20,25 @@ def resolve(rows: DataFrame, ids: str, registry: DataFrame, into: str, key: str
 
 
 def ladder(rows: DataFrame) -> DataFrame:
-    """Adds reason: the first rule that excludes a row, or null. rows: id, status, protected, slug, date, title, author, categories, pos.
-
-    Of rows that pass the rest and share a slug the first by position stays."""
-    asked = (
-        F.when(F.col("status") != "publish", "not-published")
-        .when(F.col("protected"), "protected")
-        .when(F.col("slug").isNull() | ~U.is_slug(F.col("slug")), "no-slug")
-        .when(F.to_date("date").isNull(), "no-date")
-        .when(F.trim(F.coalesce("title", F.lit(""))) == "", "no-title")
-        .when(F.col("author").isNull(), "no-author")
-        .when(F.size("categories") == 0, "no-categories")
-    )
-    t = rows.withColumn("reason", asked)
-    n = F.row_number().over(Window.partitionBy("slug", F.col("reason").isNull()).orderBy("pos"))
+    """Adds reason, why a row is excluded, or null, and lacks, what an incomplete row does not have.
+
+    rows: id, kind (post or page), status (null: published), protected, body, slug, date, modified, title, author, categories, pos.
+    Pages need no date of publication, author or category. Of rows of a kind that pass the rest and share a slug the first by
+    position stays.
+    """
+    blank = lambda c: T.squash_ends(F.coalesce(c, F.lit(""))) == ""
+    post, day = F.col("kind") == "post", lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1)
+    steps = [
+        (F.col("status") != "publish", "not-published", None), (F.col("protected"), "password-protected", None), (F.coalesce("body", F.lit("")) == "", "incomplete", "body"),
+        (F.col("slug").isNull() | ~U.is_slug(F.col("slug")), "unrepresentable-slug", None), ((day(F.col("modified")) == "") & (day(F.col("date")) == ""), "incomplete", "date"),
+        (blank(T.decode_entities(F.coalesce("title", F.lit("")))), "incomplete", "title"), (post & (day(F.col("date")) == ""), "incomplete", "publication date"),
+        (post & F.col("author").isNull(), "incomplete", "author"), (post & (F.coalesce(F.size("categories"), F.lit(0)) <= 0), "incomplete", "categories"),
+    ]
+    reason = lacks = F.lit(None).cast("string")
+    for when, code, what in reversed(steps):
+        reason, lacks = F.when(when, code).otherwise(reason), F.when(when, F.lit(what).cast("string")).otherwise(lacks)
+    t = rows.withColumn("reason", reason).withColumn("lacks", lacks)
+    n = F.row_number().over(Window.partitionBy("kind", "slug", F.col("reason").isNull()).orderBy("pos"))
     return t.withColumn("reason", F.when(F.col("reason").isNull() & (n > 1), "duplicate-slug").otherwise(F.col("reason")))
 
 

@@ -103,6 +103,16 @@ MEDIA = U.MediaProfile(hosts=("site.example",), extra=("files",))
 
 _KEY = r"""CASE WHEN regexp_matches({p}, '\.[A-Za-z0-9]{{1,5}}$') OR {p} LIKE '%/' THEN {p} ELSE {p} || '/' END"""
 
+_FAMILY = r"""CASE
+  WHEN query <> '' AND regexp_matches(query, '(^|&)s(=|&|$)') THEN 'search' WHEN query <> '' THEN 'query-variant'
+  WHEN seg[1] IN ('de', 'fr') THEN 'translated' WHEN len(seg) = 0 THEN 'front-page'
+  WHEN seg[1] IN ('wp-admin', 'wp-json', 'wp-login.php', 'xmlrpc.php') THEN 'wp-internal' WHEN seg[1] IN ('wp-content', 'wp-includes') THEN 'media'
+  WHEN path LIKE '%.xml' AND regexp_matches(path, '(?i)sitemap') THEN 'sitemap' WHEN seg[len(seg)] = 'feed' THEN 'feed'
+  WHEN regexp_matches(path, '\.[A-Za-z0-9]{1,5}$') THEN 'media' WHEN regexp_matches(path, '/page/\d+/?$') THEN 'pagination'
+  WHEN regexp_matches(dated, '^/\d{4}(/\d{2}(/\d{2})?)?/?$') THEN 'date-archive' WHEN path = '/blog/' THEN 'posts-index'
+  WHEN regexp_matches(path, '^/category/[^/]+/?$') THEN 'category' WHEN regexp_matches(path, '^/author/[^/]+/?$') THEN 'author' WHEN regexp_matches(path, '^/tag/[^/]+/?$') THEN 'tag'
+  WHEN len(seg) = 1 THEN 'entry' ELSE 'page' END"""
+
 #: SQL for the same relations, as common table expressions.
 SQL = rf"""
 u_ AS (SELECT page_id, url, html, regexp_replace(url, '^https?://[^/?#]*', '') AS rest FROM pages),
@@ -112,18 +122,13 @@ k_ AS (SELECT page_id, url, {_KEY.format(p="path")} || query AS key, path, query
 f_ AS (SELECT arg_min(url, page_id) AS url, min(page_id) AS page_id, key FROM k_ GROUP BY key),
 g_ AS (SELECT *, regexp_extract(key, '^([^?#]*)', 1) AS path, regexp_extract(key, '\?([^#]*)', 1) AS query FROM f_),
 h_ AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, CASE WHEN starts_with(path, '/blog/') THEN substr(path, 6) ELSE path END AS dated FROM g_),
-live AS (SELECT page_id, url, key, path, CASE
-  WHEN query <> '' AND regexp_matches(query, '(^|&)s(=|&|$)') THEN 'search' WHEN query <> '' THEN 'query-variant'
-  WHEN seg[1] IN ('de', 'fr') THEN 'translated' WHEN len(seg) = 0 THEN 'front-page'
-  WHEN seg[1] IN ('wp-admin', 'wp-json', 'wp-login.php', 'xmlrpc.php') THEN 'wp-internal' WHEN seg[1] IN ('wp-content', 'wp-includes') THEN 'media'
-  WHEN path LIKE '%.xml' AND regexp_matches(path, '(?i)sitemap') THEN 'sitemap' WHEN seg[len(seg)] = 'feed' THEN 'feed'
-  WHEN regexp_matches(path, '\.[A-Za-z0-9]{{1,5}}$') THEN 'media' WHEN regexp_matches(path, '/page/\d+/?$') THEN 'pagination'
-  WHEN regexp_matches(dated, '^/\d{{4}}(/\d{{2}}(/\d{{2}})?)?/?$') THEN 'date-archive' WHEN path = '/blog/' THEN 'posts-index'
-  WHEN regexp_matches(path, '^/category/[^/]+/?$') THEN 'category' WHEN regexp_matches(path, '^/author/[^/]+/?$') THEN 'author' WHEN regexp_matches(path, '^/tag/[^/]+/?$') THEN 'tag'
-  WHEN len(seg) = 1 THEN 'entry' ELSE 'page' END AS family FROM h_),
+live AS (SELECT page_id, url, key, path, {_FAMILY} AS family FROM h_),
 l_ AS (SELECT key, page_id % 11 = 0 AS redirect FROM live WHERE page_id % 3 <> 0 UNION ALL SELECT path || 'extra/', page_id % 2 = 0 FROM live WHERE page_id % 13 = 0),
 local AS (SELECT key, redirect, CASE WHEN t = '' THEN 'index.html' WHEN t = '404' THEN '404.html' ELSE t || '/index.html' END AS file FROM
   (SELECT key, min(redirect) AS redirect, trim(regexp_extract(key, '^([^?#]*)', 1), '/') AS t FROM l_ GROUP BY key)),
+lf_ AS (SELECT *, regexp_extract(key, '^([^?#]*)', 1) AS path, regexp_extract(key, '\?([^#]*)', 1) AS query FROM local),
+lh_ AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, CASE WHEN starts_with(path, '/blog/') THEN substr(path, 6) ELSE path END AS dated FROM lf_),
+local_family AS (SELECT key, redirect, {_FAMILY} AS family FROM lh_),
 r_ AS (SELECT CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END AS from_path, CASE WHEN page_id % 5 = 0 THEN 'https://elsewhere.example/' ELSE '/en/' || (page_id % 50) || '/' END AS to_path, page_id AS ord FROM live WHERE page_id % 7 = 0),
 rules AS (SELECT from_path, arg_min(to_path, ord) AS to_path, min(ord) AS ord FROM r_ GROUP BY from_path),
 splats AS (SELECT * FROM (VALUES ('/de', 1), ('/fr', 2)) t(prefix, ord)),

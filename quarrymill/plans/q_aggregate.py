@@ -154,17 +154,18 @@ def a19(spark, d):
     return B.table(spark, d, "documents").select(T.builder_of(m).alias("builder")).filter("builder is not null").groupBy("builder").agg(number())
 
 
-_CAP = """cap AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN 'draft' ELSE 'publish' END AS status, doc_id % 13 = 0 AS protected, CASE WHEN doc_id % 17 = 0 THEN 'Bad Slug' ELSE 'doc-' || doc_id % 400 END AS slug,
-  CASE WHEN doc_id % 19 <> 0 THEN '2024-01-02' END AS date, CASE WHEN doc_id % 23 <> 0 THEN 'T' ELSE ' ' END AS title, CASE WHEN doc_id % 29 <> 0 THEN source END AS author, doc_id % 31 = 0 AS nocat FROM documents),
-c1 AS (SELECT *, CASE WHEN status <> 'publish' THEN 'not-published' WHEN protected THEN 'protected' WHEN slug = 'Bad Slug' THEN 'no-slug' WHEN date IS NULL THEN 'no-date' WHEN trim(title) = '' THEN 'no-title' WHEN author IS NULL THEN 'no-author' WHEN nocat THEN 'no-categories' END AS r FROM cap),
-ladder AS (SELECT id, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY slug, r IS NULL ORDER BY id) > 1 THEN 'duplicate-slug' ELSE r END AS reason FROM c1)"""
+_CAP = """cap AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 9 THEN 'page' ELSE 'post' END AS kind, CASE WHEN doc_id % 8 = 0 THEN 'draft' ELSE 'publish' END AS status, doc_id % 13 = 0 AS protected, text AS body, CASE WHEN doc_id % 17 = 0 THEN 'Bad Slug' ELSE 'doc-' || doc_id % 400 END AS slug,
+  CASE WHEN doc_id % 19 <> 0 THEN '2024-01-02T10:00:00' END AS date, CASE WHEN doc_id % 38 = 0 THEN '2024-02-03' END AS modified, CASE WHEN doc_id % 23 <> 0 THEN string_split(text, chr(10))[1] ELSE ' &nbsp; ' END AS title, CASE WHEN doc_id % 29 <> 0 THEN source END AS author, doc_id % 31 = 0 AS nocat FROM documents),
+c1 AS (SELECT *, CASE WHEN status <> 'publish' THEN 'not-published' WHEN protected THEN 'password-protected' WHEN coalesce(body, '') = '' THEN 'incomplete' WHEN slug = 'Bad Slug' THEN 'unrepresentable-slug' WHEN date IS NULL AND modified IS NULL THEN 'incomplete'
+  WHEN trim(regexp_replace(replace(title, '&nbsp;', ' '), '[\\s\\p{Z}]+', ' ', 'g')) = '' THEN 'incomplete' WHEN kind = 'post' AND (date IS NULL OR author IS NULL OR nocat) THEN 'incomplete' END AS r FROM cap),
+ladder AS (SELECT id, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY kind, slug, r IS NULL ORDER BY id) > 1 THEN 'duplicate-slug' ELSE r END AS reason FROM c1)"""
 
 
 def captured(spark, d):
     i = F.col("doc_id")
     return B.table(spark, d, "documents").select(
-        i.alias("id"), F.when(i % 8 == 0, "draft").otherwise("publish").alias("status"), (i % 13 == 0).alias("protected"), F.when(i % 17 == 0, "Bad Slug").otherwise(F.concat(F.lit("doc-"), i % 400)).alias("slug"),
-        F.when(i % 19 != 0, "2024-01-02").alias("date"), F.when(i % 23 != 0, "T").otherwise(" ").alias("title"), F.when(i % 29 != 0, F.col("source")).alias("author"), F.when(i % 31 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("c"))).alias("categories"), i.alias("pos"),
+        i.alias("id"), F.when(i % 10 == 9, "page").otherwise("post").alias("kind"), F.when(i % 8 == 0, "draft").otherwise("publish").alias("status"), (i % 13 == 0).alias("protected"), F.col("text").alias("body"), F.when(i % 17 == 0, "Bad Slug").otherwise(F.concat(F.lit("doc-"), i % 400)).alias("slug"),
+        F.when(i % 19 != 0, "2024-01-02T10:00:00").alias("date"), F.when(i % 38 == 0, "2024-02-03").alias("modified"), F.when(i % 23 != 0, F.split("text", "\n", 2)[0]).otherwise(" &nbsp; ").alias("title"), F.when(i % 29 != 0, F.col("source")).alias("author"), F.when(i % 31 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("c"))).alias("categories"), i.alias("pos"),
     )
 
 

@@ -30,16 +30,16 @@ def g01(spark, d):
     return posts.unionByName(authors).unionByName(cats).unionByName(tags).unionByName(lists).groupBy("kind", "path").agg(F.count(F.lit(1)).alias("claims"))
 
 
-_TERMS = "list_distinct(list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+_TERMS = "list_distinct(list_filter(string_split(regexp_replace(lower(strip_accents({x})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
 _HIT = "CASE WHEN len(list_filter(ft, lambda x: starts_with(x, '{w}'))) > 0 THEN 4 WHEN len(list_filter(fc, lambda x: starts_with(x, '{w}'))) > 0 THEN 3 WHEN len(list_filter(fg, lambda x: starts_with(x, '{w}'))) > 0 THEN 2 WHEN len(list_filter(fs, lambda x: starts_with(x, '{w}'))) > 0 THEN 1 ELSE 0 END"
 _ANY = "len(list_filter({f}, lambda x: starts_with(x, 'the') OR starts_with(x, 't1'))) > 0"
 
 
-@query("g02_search", o(f""", dx AS (SELECT slug AS id, published, {_TERMS.format(x='title')} AS ft, categories AS fc, tags AS fg, {_TERMS.format(x='substr(body, 1, 200)')} AS fs FROM posts WHERE locale = 'en'),
+@query("g02_search", o(f""", dx AS (SELECT slug AS id, published, {_TERMS.format(x='title')} AS ft, categories AS fc, tags AS fg, {_TERMS.format(x='body')} AS fs FROM posts WHERE locale = 'en'),
 sx AS (SELECT id, published, {_HIT.format(w='the')} AS s1, {_HIT.format(w='t1')} AS s2, array_to_string(list_filter([CASE WHEN {_ANY.format(f='ft')} THEN 'title' END, CASE WHEN {_ANY.format(f='fc')} THEN 'categories' END, CASE WHEN {_ANY.format(f='fg')} THEN 'tags' END, CASE WHEN {_ANY.format(f='fs')} THEN 'summary' END], lambda x: x IS NOT NULL), ',') AS matched FROM dx)
 SELECT id, s1 + s2 AS score, matched, row_number() OVER (ORDER BY s1 + s2 DESC, published DESC, id) AS rank FROM sx WHERE s1 > 0 AND s2 > 0 ORDER BY rank LIMIT 50"""))
 def g02(spark, d):
-    p = B.posts(spark, d).select(F.col("slug").alias("id"), "title", F.substring("body", 1, 200).alias("summary"), "categories", "tags", "locale", F.col("published").alias("date"))
+    p = B.posts(spark, d).select(F.col("slug").alias("id"), "title", F.col("body").alias("summary"), "categories", "tags", "locale", F.col("published").alias("date"))
     return S.search(p, "the t1", "en", 50)
 
 

@@ -15,18 +15,19 @@ from .registry import query
 
 o = B.oracle
 
-_DIFF = """, pub AS (SELECT key FROM local WHERE NOT redirect),
-d1 AS (SELECT l.*, CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END AS tp FROM live l),
-d2 AS (SELECT d1.key, d1.family, d1.path, lo.redirect AS stub, r.to_path, p.key IS NOT NULL AS target_ok, (SELECT arg_min(prefix, ord) FROM splats WHERE starts_with(d1.path, prefix)) AS splat
-  FROM d1 LEFT JOIN local lo ON lo.key = d1.key LEFT JOIN rules r ON r.from_path = d1.tp LEFT JOIN pub p ON p.key = r.to_path),
-diff AS (SELECT key, family, CASE WHEN stub = false THEN 'MATCH' WHEN to_path IS NOT NULL THEN CASE WHEN regexp_matches(to_path, '^[a-z]+://') OR target_ok THEN 'REDIRECT' ELSE 'GAP' END WHEN splat IS NOT NULL THEN 'REDIRECT'
+_TRIM = "CASE WHEN rtrim({x}, '/') = '' THEN '/' ELSE rtrim({x}, '/') END"
+_DIFF = f""", pub AS (SELECT key FROM local WHERE NOT redirect),
+goal AS (SELECT from_path, to_path, NOT starts_with(to_path, '/') OR to_path IN (SELECT key FROM pub) OR ({_TRIM.format(x="regexp_extract(to_path, '^([^?#]*)', 1)")}) || '/' IN (SELECT key FROM pub) AS there FROM rules),
+d1 AS (SELECT l.*, {_TRIM.format(x="path")} AS tp FROM live l),
+d2 AS (SELECT d1.key, d1.family, lo.redirect AS stub, g.to_path, g.there, starts_with(tp, '/de') OR starts_with(tp, '/fr') AS splat FROM d1 LEFT JOIN local lo ON lo.key = d1.key LEFT JOIN goal g ON g.from_path = d1.tp),
+diff AS (SELECT key, family, CASE WHEN stub = false THEN 'MATCH' WHEN to_path IS NOT NULL THEN CASE WHEN there THEN 'REDIRECT' ELSE 'GAP' END WHEN splat THEN 'REDIRECT'
     WHEN family IN ('media') THEN 'RETIRED' WHEN family IN ('wp-internal', 'media', 'feed', 'sitemap', 'query-variant', 'search') THEN 'INFRASTRUCTURE' ELSE 'GAP' END AS classification,
-    CASE WHEN stub = false THEN NULL ELSE coalesce(to_path, splat) END AS redirect_target FROM d2
-  UNION ALL SELECT key, NULL, 'LOCAL_ONLY', NULL FROM local WHERE NOT redirect AND key NOT IN (SELECT key FROM live))"""
+    CASE WHEN stub = false THEN NULL ELSE to_path END AS redirect_target FROM d2
+  UNION ALL SELECT key, family, 'LOCAL_ONLY', NULL FROM local_family WHERE NOT redirect AND key NOT IN (SELECT key FROM live))"""
 
 
 def diffed(spark, d):
-    return V.diff(B.live(spark, d), B.local(spark, d), B.rules(spark, d), B.SPLATS, B.RETIRED)
+    return V.diff(B.live(spark, d), B.local(spark, d), B.rules(spark, d), B.SPLATS, B.RETIRED, B.LINKS)
 
 
 @query("j01_inventory_diff", o(_DIFF + " SELECT key, family, classification, redirect_target FROM diff"))

@@ -9,6 +9,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
 from . import bridge as B
+from ..operators.discovery import folded
 from .registry import query
 
 o = B.oracle
@@ -153,16 +154,27 @@ def f26(spark, d):
     return B.pages(spark, d).select("page_id", lang.alias("lang"), T.same_language(lang, F.when(F.col("page_id") % 4 != 0, "EN-us")).alias("same"))
 
 
-_ENT = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#8217;', '’'), '&#8216;', '‘'), '&#8220;', '“'), '&#8221;', '”'), '&nbsp;', ' '), '&#160;', ' '), '&amp;', '&')"
-_SQUASH = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+_REF = "'&(#?[A-Za-z0-9]+);'"
+_NAMED = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.ENTITIES.items()) + "}"
+_CODE = "(CASE WHEN regexp_matches({n}, '^#[0-9]{{1,8}}$') THEN try_cast({n}[2:] AS INT) WHEN regexp_matches({n}, '^#[xX][0-9A-Fa-f]{{1,7}}$') THEN try_cast('0x' || {n}[3:] AS INT) END)"
+_ONE = "coalesce({m}[{n}], {m}[lower({n})], CASE WHEN " + _CODE + " BETWEEN 1 AND 55295 OR " + _CODE + " BETWEEN 57344 AND 1114111 THEN chr(" + _CODE + ") END, '&' || {n} || ';')"
 
 
-@query("f30_decode_entities", o("SELECT page_id, " + _ENT.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + " AS title FROM pages"))
+def _ent(x: str) -> str:
+    """Named and numbered references decoded: what stands between them and what they mean, in turns."""
+    gaps, names = f"regexp_split_to_array({x}, {_REF})", f"regexp_extract_all({x}, {_REF}, 1)"
+    return f"(SELECT list_aggregate(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(n) THEN {_ONE.format(n='n[i]', m=_NAMED)} ELSE '' END), 'string_agg', '') FROM (SELECT {gaps} AS g, {names} AS n))"
+
+
+_SQUASH = "trim(regexp_replace({x}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+@query("f30_decode_entities", o("SELECT page_id, " + _ent("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + " AS title FROM pages"))
 def f30(spark, d):
     return B.pages(spark, d).select("page_id", T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
 
 
-@query("f31_bare_text", o("SELECT page_id, md5(" + _SQUASH.format(x=_ENT.format(x="regexp_replace(html, '<[^>]+>', '', 'g')")) + ") AS digest FROM pages"))
+@query("f31_bare_text", o("SELECT page_id, md5(" + _SQUASH.format(x=_ent("regexp_replace(html, '<[^>]+>', '', 'g')")) + ") AS digest FROM pages"))
 def f31(spark, d):
     return B.pages(spark, d).select("page_id", F.md5(T.bare_text(F.col("html"))).alias("digest"))
 
@@ -189,9 +201,9 @@ def f33(spark, d):
     return B.pages(spark, d).select("page_id", T.comparison_text(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)).alias("key"))
 
 
-@query("f35_search_terms", o(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}\p{M}]+', ' ', 'g'), ' '), lambda w: w <> ''))), ' ') AS terms FROM posts"))
+@query("f35_search_terms", o(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(strip_accents(title)), '[^\p{L}\p{N}\p{M}]+', ' ', 'g'), ' '), lambda w: w <> ''))), ' ') AS terms FROM posts"))
 def f35(spark, d):
-    return B.posts(spark, d).select("doc_id", F.array_join(F.array_sort(T.search_terms(F.col("title"))), " ").alias("terms"))
+    return B.posts(spark, d).select("doc_id", folded(F.col("title")).alias("t")).select("doc_id", F.array_join(F.array_sort(T.search_terms(F.col("t"))), " ").alias("terms"))
 
 
 @query("f36_reading_time", o(f", w AS (SELECT page_id, len(list_filter(string_split({_VIS}, ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')))::BIGINT AS words FROM pages) SELECT page_id, words, CASE WHEN words = 0 THEN 0 ELSE greatest(1, floor(words / 200 + 0.5)) END::BIGINT AS minutes FROM w"))
@@ -208,7 +220,8 @@ def f40(spark, d):
     return B.posts(spark, d).select("doc_id", T.truncate_at_word(F.col("title"), 60).alias("short"))
 
 
-_PROSE = "coalesce(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|[-*+] |\\d+\\. |>|\\||!\\[|```|<)'))[1], '')"
+_LINE = "coalesce(list_filter(regexp_split_to_array(body, '\\r?\\n'), lambda x: regexp_matches(x, '\\S') AND NOT regexp_matches(x, '(?i)^\\s*(?:" + "|".join(T.NO_PROSE) + "|<(?:" + T.NO_PROSE_TAGS.replace(" ", "|") + ")\\b)'))[1], '')"
+_PROSE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _LINE + ", '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`]+', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
 
 
 @query("f41_first_prose", o(f"SELECT doc_id, {_PROSE} AS prose FROM posts"))
@@ -229,9 +242,19 @@ def f43(spark, d):
     return B.table(spark, d, "documents").select("doc_id", T.builder_of(m).alias("builder"))
 
 
-@query("f44_archive_description", o("SELECT slug, CASE WHEN length(name) >= 12 THEN name ELSE 'Everything filed under ' || name || ' on this site.' END AS description FROM terms"))
+_TAIL = ", newest first — the full archive."
+
+
+@query("f44_archive_description", o(f"""SELECT slug, kind, CASE WHEN kind = 'term' AND length(own) >= 50 THEN own WHEN kind = 'term' THEN 'Everything filed under the region ' || name || ' on Site{_TAIL}' WHEN kind = 'posts' THEN 'Every post published on Site{_TAIL}'
+  WHEN kind = 'author' THEN 'Every post written by ' || name || ' on Site{_TAIL}' WHEN kind = 'tag' THEN 'Every post tagged ' || name || ' on Site{_TAIL}' ELSE 'Every post filed under ' || name || ' on Site{_TAIL}' END AS description
+  FROM (SELECT terms.slug, name, regexp_replace(coalesce(title, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS own, unnest(['posts', 'author', 'tag', 'term', 'category']) AS kind FROM terms LEFT JOIN posts ON 'n' || doc_id = terms.slug)"""))
 def f44(spark, d):
-    return B.terms(spark, d).select("slug", F.when(F.length("name") >= 12, F.col("name")).otherwise(F.concat(F.lit("Everything filed under "), F.col("name"), F.lit(" on this site."))).alias("description"))
+    own = B.posts(spark, d).select(F.concat(F.lit("n"), F.col("doc_id")).alias("slug"), F.col("title").alias("own"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("posts", "author", "tag", "term", "category")]))
+    t = B.terms(spark, d).join(own, "slug", "left").withColumn("kind", kinds)
+    site, label = F.lit("Site"), F.lit("region")
+    said = F.when(F.col("kind") == "term", T.term_description(F.col("own"), F.col("name"), site, label)).otherwise(T.archive_description(F.col("kind"), F.col("name"), site, label))
+    return t.select("slug", "kind", said.alias("description"))
 
 
 @query("f45_anchor", o(r"SELECT doc_id, replace(regexp_replace(lower(trim(title)), '[^\p{L}\p{N}\p{M}_ -]', '', 'g'), ' ', '-') AS anchor FROM posts"))
@@ -239,10 +262,10 @@ def f45(spark, d):
     return B.posts(spark, d).select("doc_id", T.anchor_of(F.col("title")).alias("anchor"))
 
 
-@query("f46_template_family", o(r"SELECT page_id, CASE WHEN regexp_matches(path, '/page/\d+/?$') THEN 'pagination' WHEN len(list_filter(string_split(path, '/'), lambda s: s <> '')) < 2 THEN 'top-level' ELSE string_split(path, '/')[2] END AS template FROM live"))
+@query("f46_template_family", o(r"""SELECT page_id, CASE WHEN len(p) < 3 THEN 'top-level' WHEN list_contains(p, 'page') THEN p[1] || '-pagination' ELSE p[1] END AS template
+  FROM (SELECT page_id, string_split(CASE WHEN t = '' THEN 'index.html' WHEN t = '404' THEN '404.html' ELSE t || '/index.html' END, '/') AS p FROM (SELECT page_id, trim(path, '/') AS t FROM live))"""))
 def f46(spark, d):
-    p = U.path_part(F.col("key"))
-    return B.live(spark, d).select("page_id", F.when(p.rlike(r"/page/\d+/?$"), "pagination").when(F.size(U.segments(p)) < 2, "top-level").otherwise(U.segments(p)[0]).alias("template"))
+    return B.live(spark, d).select("page_id", U.template_family(U.page_file(U.path_part(F.col("key")))).alias("template"))
 
 
 @query("f50_script_minimum", o(r"SELECT doc_id, CASE WHEN regexp_matches(title, '^[\p{Latin}\p{Cyrillic}\p{Greek}\p{N}\p{P}\p{S}\p{Z}]*$') THEN 3 ELSE 2 END AS least FROM posts"))
@@ -295,7 +318,9 @@ def f74(spark, d):
     return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.round_half_up(F.col("l_extendedprice") / 100 - 500).cast("long").alias("r"))
 
 
-@query("x01_find_references", o(r"""SELECT page_id, regexp_extract(a, '(?i)=["''](.*)["'']$', 1) AS url, lower(regexp_extract(a, '^([A-Za-z-]+)', 1)) AS kind FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\b(?:src|srcset|href|poster|data-src|data-srcset|data-lazy-src|data-lazy-srcset)=(?:"[^"'']*"|''[^"'']*'')')) AS a FROM pages)"""))
+@query("x01_find_references", o(r"""SELECT page_id, unnest(CASE WHEN kind = 'srcset' THEN list_transform(list_filter(string_split(v, ','), lambda c: trim(c) <> ''), lambda c: regexp_extract(trim(c), '^(\S*)', 1)) ELSE [v] END) AS url, kind FROM
+  (SELECT page_id, regexp_extract(a, '(?i)=["''](.*)["'']$', 1) AS v, CASE WHEN lower(a) SIMILAR TO '[a-z-]*srcset=.*' THEN 'srcset' WHEN starts_with(lower(a), 'data-') THEN 'lazy' ELSE lower(regexp_extract(a, '^([A-Za-z-]+)', 1)) END AS kind
+   FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\b(?:src|srcset|href|poster|data-src|data-srcset|data-lazy-src|data-lazy-srcset)=(?:"[^"'']*"|''[^"'']*'')')) AS a FROM pages)) WHERE v <> ''"""))
 def x01(spark, d):
     return B.pages(spark, d).select("page_id", F.explode(H.references(F.col("html"))).alias("r")).select("page_id", "r.url", "r.kind")
 

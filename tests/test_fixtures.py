@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import html as H
 from quarrymill.functions import text as T
 from quarrymill.functions import url as U
-from quarrymill.operators import dom, hierarchy, identity, inventory, ordering
+from quarrymill.operators import discovery, dom, hierarchy, identity, inventory, ordering
 from quarrymill.operators import rules as R
 from quarrymill.operators import transform as X
 from quarrymill.sources import files, sinks, structured
@@ -53,6 +53,18 @@ def test_splat_is_a_string_prefix_and_not_migrated_is_by_segment(spark):
     assert got == {"/france/": "REDIRECT", "/fr/": "REDIRECT", "/x/": "GAP", "/nowhere/": "LOCAL_ONLY"}
 
 
+def test_rules_meet_normalised_targets_and_the_last_wins(spark):
+    live = spark.createDataFrame([(f"/{c}/", "page") for c in "abcdef"], "key string, family string")
+    local = spark.createDataFrame([("/about/", False), ("/stub/", True), ("/tag/x/", False)], "key string, redirect boolean")
+    rules = [("/a/", "/about"), ("/b", "/about/?x=1"), ("/c", "/stub/"), ("/d", "mailto:x@y"), ("/e", "/nowhere/"), ("/e/", "/about/")]
+    rules = spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "from_path string, to_path string, ord int")
+    rows = inventory.diff(live, local, rules, (), ()).collect()
+    got = {r["key"]: (r["classification"], r["redirect_target"]) for r in rows}
+    assert len(rows) == 8 and got["/a/"] == ("REDIRECT", "/about") and got["/b/"] == ("REDIRECT", "/about/?x=1") and got["/c/"] == ("GAP", "/stub/")
+    assert got["/d/"] == ("REDIRECT", "mailto:x@y") and got["/e/"] == ("REDIRECT", "/about/") and got["/f/"] == ("GAP", None)
+    assert [(r["classification"], r["family"]) for r in rows if r["key"] == "/tag/x/"] == [("LOCAL_ONLY", "tag")]
+
+
 def test_redirect_stub_without_rule_is_a_gap_and_never_local_only(spark):
     live = spark.createDataFrame([("/a/", "page")], "key string, family string")
     local = spark.createDataFrame([("/a/", True), ("/b/", True)], "key string, redirect boolean")
@@ -89,10 +101,64 @@ def test_text(spark):
     assert many(spark, T.builder_of, ['<div class="et_pb_row vc_row">', "plain"]) == ["divi", None]
 
 
+def test_entities_are_decoded_once(spark):
+    got = many(spark, T.decode_entities, ["&#65;&#x42;&#X1F600; &amp;lt; &AMP; &nbsp;|&hellip;&mdash;", "&unknown; & &#xD800; &#1114112;", "plain", "", "&#039;a&quot;"])
+    assert got == ["AB😀 &lt; &  |…—", "&unknown; & &#xD800; &#1114112;", "plain", "", "'a\""]
+
+
+def test_first_prose(spark):
+    bodies = ["# T\n\n::: note\n---\n- a\n1) b\n#hashtag **bold** [link](/x) ![i](/y)`c`\nmore", "<h2>x</h2><p class=a>One <b>two</b></p>", "a<p></p>\nline", "<div>x</div>\n  <img src=x>\nlast", "> q\r\n  text  here ", "# only", ""]
+    assert many(spark, T.first_prose, bodies) == ["#hashtag bold link c", "One two", "", "last", "text here", "", ""]
+
+
+def test_archives_say_what_they_list(spark):
+    one_of = lambda k: one(spark, T.archive_description(F.lit(k), F.col("h"), F.lit("Site"), F.lit("topic")), h="T")
+    assert one_of("posts") == "Every post published on Site, newest first — the full archive."
+    assert one_of("term") == "Everything filed under the topic T on Site, newest first — the full archive."
+    own = lambda c: T.term_description(c, F.lit("T"), F.lit("Site"), F.lit("topic"))
+    assert many(spark, own, ["x" * 49, " " + "x" * 50 + " "]) == [one_of("term"), "x" * 50]
+
+
+def test_template_families(spark):
+    assert many(spark, U.template_family, ["index.html", "about/index.html", "blog/a/index.html", "blog/page/2/index.html"]) == ["top-level", "top-level", "blog", "blog-pagination"]
+
+
+def test_search_folds_marks(spark):
+    s = "id string, title string, summary string, categories array<string>, tags array<string>, locale string, date string"
+    t = spark.createDataFrame([("a", "Dvořák", None, ["Señor Tag"], None, "en", "1"), ("b", "other", "x dvorak", [], [], "en", "2")], s)
+    assert [(r["id"], r["score"], r["matched"]) for r in discovery.search(t, "dvorak", "en").orderBy("rank").collect()] == [("a", 4, "title"), ("b", 1, "summary")]
+    assert [r["id"] for r in discovery.search(t, "Dvořák senor", "en").collect()] == ["a"]
+
+
+def test_related_by_force(spark):
+    import random
+
+    r = random.Random(7)
+    some = lambda names, most: [r.choice(names) for _ in range(r.randint(0, most))]
+    data = [(i, r.choice("ab"), r.randint(0, 9), some("pqr", 3), some("uvwxyz", 11 if i % 9 == 0 else 4)) for i in range(120)]
+    t = spark.createDataFrame(data, "id int, locale string, date int, categories array<string>, tags array<string>")
+    want = set()
+    for i, loc, _, cats, tags in data:
+        score = {}
+        for j, loc2, date, cats2, tags2 in data:
+            n = sum(2 for c in cats if c in cats2) + sum(1 for c in tags if c in tags2)
+            if i != j and loc == loc2 and n:
+                score[j] = (-n, -date, j)
+        want |= {(i, j, -score[j][0], k + 1) for k, j in enumerate(sorted(score, key=score.get)[:3])}
+    for few in (8, 2):
+        old, discovery.FEW = discovery.FEW, few
+        try:
+            assert {tuple(x) for x in discovery.related(t).collect()} == want
+        finally:
+            discovery.FEW = old
+
+
 def test_references(spark):
     html = """<img src="/a.png" srcset="/b.png 1x, /c.png 2x"><div style="background:url(&quot;/d.png&quot;)"></div>![x](/e.png "t")"""
     got = one(spark, H.references(F.col("h")), h=html)
     assert [(r["url"], r["kind"]) for r in got] == [("/a.png", "src"), ("/b.png", "srcset"), ("/c.png", "srcset"), ("/d.png", "css"), ("/e.png", "markdown")]
+    got = one(spark, H.references(F.col("h")), h="""<img src="" data-srcset='/b.png 1x,, /c.png' data-src=/no><i style="background: url( '/d.png' )"></i>url()""")
+    assert [(r["url"], r["kind"]) for r in got] == [("/b.png", "srcset"), ("/c.png", "srcset"), ("/d.png", "css")]
     links = one(spark, H.link_references(F.col("h")), h="<a href=/x>1</a><a href=''>2</a><link href='/s.css'>")
     assert [(r["tag"], r["raw"]) for r in links] == [("a", "/x"), ("link", "/s.css")]
 
@@ -174,10 +240,17 @@ def test_short_bodies_need_eight(spark):
 
 
 def test_ladder_conserves(spark):
-    s = "id int, status string, protected boolean, slug string, date string, title string, author string, categories array<string>, pos int"
-    t = spark.createDataFrame([(1, "publish", False, "a", "2024-01-01", "T", "x", ["c"], 1), (2, "publish", False, "a", "2024-01-01", "T", "x", ["c"], 2), (3, "draft", False, "a", None, "", None, [], 0)], s)
+    s = "id int, kind string, status string, protected boolean, body string, slug string, date string, modified string, title string, author string, categories array<string>, pos int"
+    good = ("publish", False, "b", "a", "2024-01-01T09:30:00", None, "T", "x", ["c"])
+    change = lambda **k: tuple(k.get(n, v) for n, v in zip(("status", "protected", "body", "slug", "date", "modified", "title", "author", "categories"), good))
+    rows = [
+        ("post", good, None), ("post", good, "duplicate-slug"), ("page", good, None), ("post", change(status="draft", title=""), "not-published"), ("post", change(status=None, slug="n"), None), ("post", change(protected=True), "password-protected"),
+        ("post", change(body=""), "incomplete"), ("post", change(slug="A b"), "unrepresentable-slug"), ("post", change(date=None), "incomplete"), ("post", change(date=None, modified="2024-05-05"), "incomplete"), ("page", change(date=None, modified="2024-05-05", slug="p", author=None, categories=None), None),
+        ("post", change(title=" &#160;&nbsp; "), "incomplete"), ("post", change(author=None), "incomplete"), ("post", change(categories=[]), "incomplete"),
+    ]
+    t = spark.createDataFrame([(i, k, *v, i) for i, (k, v, _) in enumerate(rows)], s)
     got = {r["id"]: r["reason"] for r in X.ladder(t).collect()}
-    assert got == {1: None, 2: "duplicate-slug", 3: "not-published"}
+    assert got == {i: r for i, (_, _, r) in enumerate(rows)}
     assert X.conservation(t, X.ladder(t)).first()["sound"]
 
 
