@@ -109,6 +109,61 @@ def reconcile(asked: DataFrame, said: DataFrame, rulings: DataFrame) -> DataFram
     return t.select("route", "key", verdict.alias("verdict"))
 
 
+def _ruled(asked: DataFrame, rulings: DataFrame) -> DataFrame:
+    """asked with used (the ruling found: scope and key) or null; a ruling for the route precedes a general one."""
+    named = F.struct("scope", "key")
+    own = rulings.filter("scope is not null").select(F.col("scope").alias("route"), "key", named.alias("u1"))
+    general = rulings.filter("scope is null").select("key", named.alias("u2"))
+    return asked.join(own, ["route", "key"], "left").join(general, "key", "left").withColumn("used", F.coalesce("u1", "u2")).drop("u1", "u2")
+
+
+def account(live: DataFrame, ours: DataFrame, rulings: DataFrame) -> DataFrame:
+    """route, key, side (live, ours), state: what each page of a pair asks against what the other says.
+
+    live, ours: route, asked (array of keys), said; rulings: scope (route or null), key. A key is matched, contradicted (matched
+    and ruled on), ruled, or else unpainted (live) or invented (ours). Texts stay with their route: only keys are exploded.
+    """
+    from ..functions.text import says
+
+    pair = live.select("route", F.col("asked").alias("a1"), F.col("said").alias("s1")).join(ours.select("route", F.col("asked").alias("a2"), F.col("said").alias("s2")), "route")
+    judged = lambda keys, said, side: F.transform(F.array_distinct(F.col(keys)), lambda k: F.struct(k.alias("key"), F.lit(side).alias("side"), says(F.col(said), k).alias("hit")))
+    each = pair.select("route", F.explode(F.concat(judged("a1", "s2", "live"), judged("a2", "s1", "ours"))).alias("x")).select("route", "x.*")
+    found = F.col("used").isNotNull()
+    state = F.when(F.col("hit") & found, "contradicted").when(F.col("hit"), "matched").when(found, "ruled").when(F.col("side") == "live", "unpainted").otherwise("invented")
+    return _ruled(each, rulings).select("route", "key", "side", state.alias("state"), "used")
+
+
+def reconcile_problems(accounts: DataFrame, rulings: DataFrame) -> DataFrame:
+    """kind, route, key: what :func:`account` could not settle, contradictions once a route and key, and rulings that no page asked for."""
+    open_ = accounts.filter(F.col("state").isin("unpainted", "invented")).select(F.col("state").alias("kind"), "route", "key")
+    both = accounts.filter("state = 'contradicted'").select(F.col("state").alias("kind"), "route", "key").distinct()
+    used = accounts.filter("used is not null").select("used.*").distinct()
+    stale = rulings.alias("r").join(used.alias("u"), F.col("r.scope").eqNullSafe(F.col("u.scope")) & (F.col("r.key") == F.col("u.key")), "left_anti")
+    return open_.unionByName(both).unionByName(stale.select(F.lit("stale").alias("kind"), F.lit(None).cast("string").alias("route"), "key"))
+
+
+def reconcile_routes(accounts: DataFrame) -> DataFrame:
+    """route, live_asked, ours_asked, matched, ruled, ours_ruled: one row a reconciled route that asks anything."""
+    n = lambda c, a: F.count_if(c).alias(a)
+    live, hit = F.col("side") == "live", F.col("state").isin("matched", "contradicted")
+    return accounts.groupBy("route").agg(n(live, "live_asked"), n(~live, "ours_asked"), n(live & hit, "matched"), n(live & (F.col("state") == "ruled"), "ruled"), n(~live & (F.col("state") == "ruled"), "ours_ruled"))
+
+
+def provenance_findings(intended: DataFrame, claims: DataFrame) -> DataFrame:
+    """code, id. intended: id, origin (null: not said), has_source, derived_by; claims: key of a source entity, by (a claiming id).
+
+    An identity that several entries have is contested; an entry says its origin, carries no source entity in public, and names
+    what derives it if and only if it is derived; a source entity with several claims is contested.
+    """
+    say = lambda d, code, c="id": d.select(F.lit(code).alias("code"), F.col(c).alias("id"))
+    shared = intended.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    derived = F.col("origin") == "derived"
+    faults = F.when(F.col("origin").isNull(), 1).otherwise(F.col("has_source").cast("int") + (derived & (F.coalesce("derived_by", F.lit("")) == "")).cast("int") + (~derived & F.col("derived_by").isNotNull()).cast("int"))
+    missing = intended.select("id", F.explode(F.array_repeat(F.lit(1), faults)).alias("one"))
+    contested = claims.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return say(shared, "IDENTITY_CONTESTED").unionByName(say(missing, "PROVENANCE_MISSING")).unionByName(say(contested, "PROVENANCE_CONTESTED", "key"))
+
+
 def lineage(intended: DataFrame, claims: DataFrame) -> DataFrame:
     """id, n_routes, routes, withheld: intended (id), claims (id, route)."""
     c = claims.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("route")), ",").alias("routes"), F.countDistinct("route").alias("n"))

@@ -106,3 +106,16 @@ def bag_difference(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     """cols, side, n: rows of one bag that the other lacks, with their number: one aggregate over both."""
     t = a.select(*cols, F.lit(1).alias("d")).unionByName(b.select(*cols, F.lit(-1).alias("d")))
     return t.groupBy(*cols).agg(F.sum("d").alias("n")).filter("n <> 0").select(*cols, F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), F.abs("n").cast("long").alias("n"))
+
+
+def report_lines(rows: DataFrame, group: str, line: str, most: int) -> DataFrame:
+    """group, pos, line: a report's first lines of each group in order, and then how many more there are.
+
+    The cut is the feature: counts come from an aggregate over all rows, and lines are kept in two steps, so that no task sorts all
+    rows of a hot group."""
+    t = rows.select(group, line)
+    for by in ([group, F.pmod(F.xxhash64(line), F.lit(64))], [group]):
+        t = t.select(group, line).withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(line))).filter(F.col("pos") <= most)
+    more = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > most)
+    more = more.select(group, F.lit(most + 1).alias("pos"), F.concat(F.lit("… and "), (F.col("n_") - most).cast("string"), F.lit(" more")).alias(line))
+    return t.select(group, "pos", line).unionByName(more)

@@ -45,3 +45,14 @@ def manifest_json(routes: DataFrame) -> DataFrame:
     """
     r = routes.agg(F.array_sort(F.collect_list(F.struct("path", "file", "kind", "origin"))).alias("routes"), F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("d"))
     return r.select(F.to_json(F.struct("routes")).alias("json"), (F.col("n") - F.col("d")).alias("repeated"))
+
+
+def search_index(docs: DataFrame) -> DataFrame:
+    """locale, id, json: an entry of a locale's search index; a writer orders by locale and id. docs: id, locale, title, summary, url."""
+    entry = F.to_json(F.struct("id", "title", "summary", "url"), {"ignoreNullFields": "false"})
+    return docs.select("locale", "id", entry.alias("json"))
+
+
+def digest_text(lines: Column) -> Column:
+    """A digest file's text: its lines, each with a line's end."""
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))

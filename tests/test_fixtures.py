@@ -101,6 +101,32 @@ def test_text(spark):
     assert many(spark, T.builder_of, ['<div class="et_pb_row vc_row">', "plain"]) == ["divi", None]
 
 
+def test_reconcile_both_ways(spark):
+    page = "route string, asked array<string>, said string"
+    live = spark.createDataFrame([("/a/", ["buy now", "gone", "kept", "both"], "buy now gone kept both")], page)
+    ours = spark.createDataFrame([("/a/", ["new", "both", "fresh"], "buy now both new fresh")], page)
+    rulings = spark.createDataFrame([("/a/", "kept"), (None, "kept"), (None, "both"), (None, "fresh"), (None, "old")], "scope string, key string")
+    got = inventory.account(live, ours, rulings)
+    assert {(r["kind"], r["route"], r["key"]) for r in inventory.reconcile_problems(got, rulings).collect()} == {("unpainted", "/a/", "gone"), ("invented", "/a/", "new"), ("contradicted", "/a/", "both"), ("stale", None, "kept"), ("stale", None, "old")}
+    assert inventory.reconcile_problems(got, rulings).count() == 5
+    assert tuple(inventory.reconcile_routes(got).first()) == ("/a/", 4, 3, 2, 1, 1)
+
+
+def test_provenance_findings(spark):
+    own = [("a", None, False, None), ("b", "wordpress", True, "x"), ("c", "derived", False, ""), ("d", "derived", False, "y"), ("d", "sample", False, None)]
+    t = spark.createDataFrame(own, "id string, origin string, has_source boolean, derived_by string")
+    claims = spark.createDataFrame([("k", "a"), ("k", "b"), ("l", "c")], "key string, by string")
+    got = sorted(tuple(r) for r in inventory.provenance_findings(t, claims).collect())
+    assert got == [("IDENTITY_CONTESTED", "d"), ("PROVENANCE_CONTESTED", "k"), ("PROVENANCE_MISSING", "a"), ("PROVENANCE_MISSING", "b"), ("PROVENANCE_MISSING", "b"), ("PROVENANCE_MISSING", "c")]
+
+
+def test_form_settings(spark):
+    from quarrymill.functions import routes as N
+
+    assert many(spark, N.endpoint_variable, ["contact-us"]) == ["WPK_FORM_ENDPOINT_CONTACT_US"]
+    assert many(spark, N.transport_of, [None, " ", "https://a.example/x", "http://a.example", "https://a b"]) == ["undecided", "undecided", "http-post", "refused", "refused"]
+
+
 def test_entities_are_decoded_once(spark):
     got = many(spark, T.decode_entities, ["&#65;&#x42;&#X1F600; &amp;lt; &AMP; &nbsp;|&hellip;&mdash;", "&unknown; & &#xD800; &#1114112;", "plain", "", "&#039;a&quot;"])
     assert got == ["AB😀 &lt; &  |…—", "&unknown; & &#xD800; &#1114112;", "plain", "", "'a\""]
