@@ -12,6 +12,7 @@ from ..operators import inventory as V
 from ..operators import ordering as W
 from ..operators import transform as X
 from . import bridge as B
+from .q_scalar import _BUILDER, _MARKED, marked
 from .q_join import _DIFF, diffed
 from .q_scalar import _ASSET
 from .registry import query
@@ -148,10 +149,9 @@ def a18(spark, d):
     return diffed(spark, d).filter("classification = 'GAP'").groupBy("family").agg(number())
 
 
-@query("a19_builder_histogram", o("SELECT CASE doc_id % 3 WHEN 0 THEN 'elementor' ELSE 'divi' END AS builder, count(*)::BIGINT AS n FROM documents WHERE doc_id % 3 < 2 GROUP BY 1"))
+@query("a19_builder_histogram", o(f"SELECT builder, count(*)::BIGINT AS n FROM (SELECT {_BUILDER} AS builder FROM {_MARKED}) WHERE builder IS NOT NULL GROUP BY 1"))
 def a19(spark, d):
-    m = F.array(F.lit("elementor-widget"), F.lit("et_pb_row"), F.lit("none"))[(F.col("doc_id") % 3).cast("int")]
-    return B.table(spark, d, "documents").select(T.builder_of(m).alias("builder")).filter("builder is not null").groupBy("builder").agg(number())
+    return marked(spark, d).select(T.builder_of(F.col("m")).alias("builder")).filter("builder is not null").groupBy("builder").agg(number())
 
 
 _CAP = """cap AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 9 THEN 'page' ELSE 'post' END AS kind, CASE WHEN doc_id % 8 = 0 THEN 'draft' ELSE 'publish' END AS status, doc_id % 13 = 0 AS protected, text AS body, CASE WHEN doc_id % 17 = 0 THEN 'Bad Slug' ELSE 'doc-' || doc_id % 400 END AS slug,

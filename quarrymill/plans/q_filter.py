@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import rules as R
 from . import bridge as B
+from .q_scalar import _ASSET
 from .registry import query
 
 o = B.oracle
@@ -94,7 +95,7 @@ def p14(spark, d):
     return t.filter(~F.col("id").startswith("@"))
 
 
-@query("p15_is_migrated", o("SELECT doc_id FROM assets WHERE doc_id % 11 IN (0, 1, 2, 4, 8)"))
+@query("p15_is_migrated", o(_ASSET + " SELECT doc_id FROM asset_ids WHERE classification IN ('SUPPORTED', 'CONFIGURED')"))
 def p15(spark, d):
     return B.assets(spark, d).filter(U.identify_asset(F.col("raw"), B.MEDIA)["classification"].isin("SUPPORTED", "CONFIGURED")).select("doc_id")
 

@@ -141,7 +141,7 @@ def f23(spark, d):
     return t.select("doc_id", F.coalesce(*[F.when(flag(n), F.lit(v)) for n, v in ((5, "redirect"), (3, "content"), (2, "module"))], F.lit("none")).alias("claim"))
 
 
-@query("f24_dates", o("SELECT doc_id, CASE WHEN doc_id % 40 BETWEEN 1 AND 28 THEN true ELSE doc_id % 40 = 29 END AS real, s[1:10] AS day FROM (SELECT doc_id, '2024-02-' || lpad((doc_id % 40)::VARCHAR, 2, '0') || 'T01:00:00' AS s FROM documents)"))
+@query("f24_dates", o("SELECT doc_id, try_cast(s[1:10] AS DATE) IS NOT NULL AS real, s[1:10] AS day FROM (SELECT doc_id, '2024-02-' || lpad((doc_id % 40)::VARCHAR, 2, '0') || 'T01:00:00' AS s FROM documents)"))
 def f24(spark, d):
     s = F.concat(F.lit("2024-02-"), F.lpad((F.col("doc_id") % 40).cast("string"), 2, "0"), F.lit("T01:00:00"))
     day = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1)
@@ -235,11 +235,20 @@ def f42(spark, d):
     return p.select("doc_id", T.summary(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<p>Excerpt "), F.col("doc_id"), F.lit("</p>"))), F.col("body")).alias("summary"))
 
 
-@query("f43_builder", o("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'elementor' WHEN 1 THEN 'divi' WHEN 2 THEN 'wpbakery' WHEN 3 THEN 'beaver-builder' WHEN 4 THEN 'gutenberg-reusable' WHEN 5 THEN 'elementor' END AS builder FROM documents"))
+_MARKED = "(SELECT doc_id, coalesce(text, '') || ' ' || ['<i class=\"elementor-section x\">', '<i class=\"et_pb_row\">', 'vc_row', '<b class=\"fl-module\">', '<!-- wp:block {', 'vc_row elementor-widget', 'fl-modules et_pb_rows'][length(coalesce(text, '')) % 7 + 1] AS m FROM documents)"
+_BUILDER = """CASE WHEN regexp_matches(m, 'elementor-(section|widget|element|container)\\b') THEN 'elementor' WHEN regexp_matches(m, '\\bet_pb_(section|row|module)\\b') THEN 'divi' WHEN regexp_matches(m, '\\b(vc_row|wpb_wrapper|vc_column)\\b') THEN 'wpbakery'
+  WHEN regexp_matches(m, '\\bfl-(builder-content|row|module)\\b') THEN 'beaver-builder' WHEN regexp_matches(m, '<!--\\s*wp:block\\s') THEN 'gutenberg-reusable' END"""
+
+
+def marked(spark, d):
+    marks = ['<i class="elementor-section x">', '<i class="et_pb_row">', "vc_row", '<b class="fl-module">', "<!-- wp:block {", "vc_row elementor-widget", "fl-modules et_pb_rows"]
+    text = F.coalesce("text", F.lit(""))
+    return B.table(spark, d, "documents").select("doc_id", F.concat(text, F.lit(" "), F.array(*[F.lit(x) for x in marks])[F.length(text) % 7]).alias("m"))
+
+
+@query("f43_builder", o(f"SELECT doc_id, {_BUILDER} AS builder FROM {_MARKED}"))
 def f43(spark, d):
-    marks = ["elementor-section x", " et_pb_row ", "vc_row", "fl-module", "<!-- wp:block {", "vc_row elementor-widget", "plain"]
-    m = F.array(*[F.lit(x) for x in marks])[(F.col("doc_id") % 7).cast("int")]
-    return B.table(spark, d, "documents").select("doc_id", T.builder_of(m).alias("builder"))
+    return marked(spark, d).select("doc_id", T.builder_of(F.col("m")).alias("builder"))
 
 
 _TAIL = ", newest first — the full archive."
