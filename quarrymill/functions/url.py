@@ -126,7 +126,7 @@ def classify_family(key: Column, links: Permalinks = Permalinks()) -> Column:
     seg = segments(path)
     first, last = F.get(seg, F.lit(0)), F.element_at(F.when(F.size(seg) > 0, seg), -1)
     index = links.posts_index
-    dated = F.when(path.startswith(index), F.substring(path, len(index), 1_000_000)).otherwise(path)
+    dated = F.when(path.startswith(index), F.substring(path, F.lit(len(index)), F.length(path))).otherwise(path)
     shapes = [(n, p) for n, p in (("post", links.post), ("page", links.page), ("category", links.category), ("tag", links.tag), ("author", links.author))]
     out = (
         F.when((query != "") & query.rlike(r"(^|&)s(=|&|$)"), "search")
@@ -275,7 +275,7 @@ def identify_asset(raw: Column, profile: MediaProfile) -> Column:
         mine = ~named | (s["host"].isin(*hosts) if hosts else F.lit(False))
         cls = pick(inner, [F.lit(c) for _, c, _ in spaces], none)
         away = F.when(named, "EXTERNAL").otherwise("UNSUPPORTED")
-        rel = F.substring(inner, pick(inner, [F.lit(len(r) + 1) for r in roots], F.lit(1)), F.lit(1_000_000))
+        rel = F.substring(inner, pick(inner, [F.lit(len(r) + 1) for r in roots], F.lit(1)), F.length(inner))
         return F.struct(
             F.when(s["refused"] | (~named & ~inner.startswith("/")), "UNSUPPORTED").when(~mine | cls.isNull(), away).otherwise(cls).alias("cls"),
             pick(inner, [F.lit(n) for _, _, n in spaces], none).alias("space"), rel.alias("rel"), inner.alias("inner"), F.coalesce(s["host"], F.lit("")).alias("host"),

@@ -145,7 +145,7 @@ def metadata(lines: DataFrame) -> DataFrame:
 
     plain = lines.filter(~F.col("fenced")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("x")))).alias("l"))
     said = F.filter(F.transform("l", lambda s: s["x"]), lambda x: x != "")
-    first, rest = F.get(said, F.lit(0)), F.slice(said, 2, 1000)
+    first, rest = F.get(said, F.lit(0)), F.slice(said, F.lit(2), F.greatest(F.size(said), F.lit(0)))
     pat = r"^\*\*([^*:]+):\*\*\s*(.*)$"
     # the run of fields directly after the title
     run = F.aggregate(rest, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("f")), lambda s, x: F.struct((s["on"] & x.rlike(pat)).alias("on"), F.when(s["on"] & x.rlike(pat), F.concat(s["f"], F.array(x))).otherwise(s["f"]).alias("f")), lambda s: s["f"])
