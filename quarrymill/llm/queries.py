@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, jaccard_join, language_id, media, merkle, mixing, oracles, quality, secret_scan, suffix_dedup
+from . import byte_bpe, chunk_dedup, jaccard_join, language_id, manifest, media, merkle, mixing, oracles, quality, secret_scan, suffix_dedup
 from .shared import docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,16 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup(docs_of(spark, sf_dir))
 
 
+def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(docs_of(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_ngram_jaccard_join, op3_suffix_dedup, op4_source_mixing, op5_quality_classifier, op6_media_columns, op7_language_id, op8_byte_bpe, op9_secret_scan, op10_chunk_dedup)}
+    numbered = (
+        op1_document_fingerprints, op2_ngram_jaccard_join, op3_suffix_dedup, op4_source_mixing, op5_quality_classifier, op6_media_columns, op7_language_id, op8_byte_bpe, op9_secret_scan, op10_chunk_dedup,
+        op11_dataset_manifest,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
