@@ -106,14 +106,18 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN f USING (rid)
 """
 
 
+def _crc(x: str) -> str:
+    """The CRC-32 of a number's decimal digits."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
 def _manifest(depth: int = 20, top_depth: int = 20) -> str:
     """Levels of 3 up to 3^20 leaves; a level of one node stays as it is."""
     piece = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
     leaf = lambda text: "sha256(" + " || ".join(piece(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
-    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
     out = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce('=' || source, '') AS s, lang, n_chars, text,
-  CASE WHEN xor({crc}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+  CASE WHEN {_crc('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
 f AS MATERIALIZED (SELECT rid, doc_id, source, s, {leaf("text")} AS leaf, {leaf("other")} AS changed FROM d),
 p0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, '' AS proof, changed AS back FROM f),
 n0 AS MATERIALIZED (SELECT s, i, leaf AS d, count(*) OVER (PARTITION BY s) AS w FROM p0)"""
@@ -143,4 +147,19 @@ SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, back AS
 
 OP11 = _manifest()
 
-SQL = {"op1_document_fingerprints": OP1, "op4_source_mixing": OP4, "op9_secret_scan": OP9, "op11_dataset_manifest": OP11}
+OP13 = f"""
+WITH t AS MATERIALIZED (SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+l AS (SELECT c, count(*) AS m, {_crc('c')} % 6 AS h, c - c % 100 AS b FROM t GROUP BY c),
+cs AS MATERIALIZED (SELECT l.c, l.h, l.b, least(l.h, coalesce(x.m, 0)) AS kept FROM l LEFT JOIN l x ON x.c = l.b),
+r AS (SELECT cs.c, o.pos, k, n FROM cs JOIN o ON o.c = cs.b WHERE o.pos <= cs.h UNION ALL SELECT cs.c, o.pos - h + kept, k, n FROM cs JOIN o ON o.c = cs.c WHERE o.pos > h),
+p AS MATERIALIZED (SELECT c, pos AS depth, n, string_agg(k, '') OVER (PARTITION BY c ORDER BY pos) AS prefix, pos = count(*) OVER (PARTITION BY c) AS ends FROM r
+  UNION ALL SELECT c, 0, 0, '', NOT EXISTS (SELECT 1 FROM r WHERE r.c = cs.c) FROM cs),
+g AS MATERIALIZED (SELECT depth, prefix, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS own, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY depth, prefix),
+x AS MATERIALIZED (SELECT g.*, q.conv_id AS parent_conv_id, (SELECT count(*) FROM g y WHERE y.depth > 0 AND y.prefix[1:length(y.prefix) - 32] = g.prefix) AS n_children FROM g LEFT JOIN g q ON g.depth = q.depth + 1 AND g.prefix[1:length(g.prefix) - 32] = q.prefix),
+s AS (SELECT prefix[1:32 * unnest(range(0, depth + 1))] AS prefix, own, n_children = 0 AS leaf FROM x),
+z AS (SELECT prefix, count(*) FILTER (leaf) AS n_leaves, sum(own) AS saved FROM s GROUP BY prefix)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM x JOIN z USING (prefix)
+"""
+
+SQL = {"op1_document_fingerprints": OP1, "op4_source_mixing": OP4, "op9_secret_scan": OP9, "op11_dataset_manifest": OP11, "op13_conversation_trie": OP13}
