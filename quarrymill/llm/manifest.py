@@ -297,7 +297,7 @@ def _built(docs: DataFrame, fields: tuple[str, ...], tampered: dict[str, Column]
     bounded(docs.sparkSession, 10_000)
     rows, parts = placed(written(leaves(docs, fields, tampered), "manifest-leaves"), part_rows)
     at, n = bearings(rows)
-    rounds = tree_reduce(written_small(fragments(rows, parts, at, n), "manifest-nodes"), parts, n) if n else []
+    rounds = tree_reduce(written(fragments(rows, parts, at, n), "manifest-nodes"), parts, n) if n else []
     return rows, parts, at, n, rounds
 
 
