@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, jaccard_join, language_id, manifest, media, merkle, mixing, oracles, prefix_trie, quality, secret_scan, suffix_dedup
+from . import byte_bpe, chunk_dedup, jaccard_join, language_id, manifest, media, merkle, mixing, oracles, page_text, prefix_trie, quality, secret_scan, suffix_dedup
 from .shared import docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(docs_of(spark, sf_dir))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return prefix_trie.build(*prefix_trie.spliced(prefix_trie.turns(conversations)))
@@ -68,7 +72,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     numbered = (
         op1_document_fingerprints, op2_ngram_jaccard_join, op3_suffix_dedup, op4_source_mixing, op5_quality_classifier, op6_media_columns, op7_language_id, op8_byte_bpe, op9_secret_scan, op10_chunk_dedup,
-        op11_dataset_manifest, op13_conversation_trie,
+        op11_dataset_manifest, op12_page_text, op13_conversation_trie,
     )
     return {f.__name__: f for f in numbered}
 
