@@ -9,13 +9,8 @@ from .url import MediaProfile, identify_asset
 
 # Attributes that name a file.
 FILE_ATTRIBUTES = ("src", "srcset", "href", "poster", "data-src", "data-srcset", "data-lazy-src", "data-lazy-srcset")
-# An attribute as the HTML grammar has it: a name, an equals sign, a value in quotes of either kind; here without any quote inside.
-_NAMED = rf"(?i)(?<!\w)({'|'.join(FILE_ATTRIBUTES)})="
-_QUOTED = r"""(?:"([^"']*)"|'([^"']*)')"""
-# Quotes as themselves or as references to them.
-_QUOTE = "(?:[\"']|&quot;|&apos;|&#0?3[49];)"
-# A link or an image as Markdown has it: text in brackets, a destination, perhaps a title.
-_MARKDOWN = r"\[[^\]]*\]\(" + r"([^\s)]+)" + r'(?:\s+"[^"]*")?' + r"\)"
+# How a quote is spelled around a reference in a style.
+QUOTES = ('"', "'", "&quot;", "&apos;", "&#34;", "&#39;", "&#034;", "&#039;")
 # Tags whose reference names a file.
 ASSET_TAGS = ("img", "script", "source", "video", "audio", "track", "embed", "object", "iframe", "link")
 
@@ -62,22 +57,79 @@ def landmarks(html: Column) -> Column:
     return F.transform(all_of(html, r"(?i)<(header|nav|main|footer)\b"), lambda x: F.lower(x))
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def after_each(s: Column, mark: str, of) -> Column:
+    """of(what stands before a mark since the last one, what follows it up to the next) for every place of a literal mark."""
+    return F.when(s.contains(mark), let(F.split(s, f"\\Q{mark}\\E", -1), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: of(p[i - 1], p[i])))).otherwise(F.array())
+
+
+def quoted_values(html: Column) -> Column:
+    """array of struct(name, value): attributes with a quoted value that holds no quote. The text is cut at every equals sign before a quote:
+    the name ends the piece before it, the value begins the piece after it."""
+
+    def of(before: Column, after: Column) -> Column:
+        quote = F.substring(after, 1, 1)
+        rest = F.substring(after, 2, 1 << 30)
+        value = F.when(quote == '"', F.substring_index(rest, '"', 1)).otherwise(F.substring_index(rest, "'", 1))
+        closed = (F.length(value) + 2 <= F.length(after)) & ~value.contains('"') & ~value.contains("'")
+        return F.struct(F.lower(F.regexp_extract(F.right(before, F.lit(40)), "([A-Za-z0-9_-]+)$", 1)).alias("name"), F.when(closed, value).alias("value"))
+
+    pieces = F.split(html, "=(?=[\"'])", -1)
+    every = let(pieces, lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: of(p[i - 1], p[i]))).otherwise(F.array()))
+    return F.filter(every, lambda a: a["value"].isNotNull())
+
+
+def file_attribute(name: Column) -> Column:
+    """The attribute of the table that a name is or ends with, behind a hyphen; the longest; null for none."""
+    out = F.lit(None).cast("string")
+    for a in sorted(FILE_ATTRIBUTES, key=len):
+        out = F.when((name == a) | name.endswith(f"-{a}"), a).otherwise(out)
+    return out
+
+
+def _unquoted(s: Column) -> Column:
+    """Without one quote at each end, in any spelling."""
+    s = F.trim(s)
+    head = F.coalesce(*[F.when(s.startswith(q), F.substring(s, len(q) + 1, 1 << 30)) for q in QUOTES], s)
+    return let(head, lambda h: F.coalesce(*[F.when(h.endswith(q), F.left(h, F.length(h) - len(q))) for q in QUOTES], h))
+
+
+def style_references(html: Column) -> Column:
+    """What url() names, without quotes."""
+    named = F.filter(F.transform(F.regexp_extract_all(html, F.lit("(?i)url[(]([^)]*)[)]"), 1), _unquoted), lambda u: (u != "") & ~u.contains('"') & ~u.contains("'"))
+    return F.when(F.lower(html).contains("url("), named).otherwise(F.array())
+
+
+def markdown_references(text: Column) -> Column:
+    """Destinations of inline links and images: an open bracket before, a destination without blanks, perhaps a title in quotes, and the end."""
+
+    def of(before: Column, after: Column) -> Column:
+        opened = F.substring_index(before, "]", -1).contains("[")
+        to = F.regexp_extract(after, "^[^ \\t\\r\\n\\f)]+", 0)
+        rest = F.substring(after, F.length(to) + 1, F.lit(1 << 30))
+        ends = rest.startswith(")") | (rest.rlike("^\\s") & F.ltrim(F.regexp_replace(rest, "^\\s+", "")).rlike('^"[^"]*"[)]'))
+        return F.when(opened & ends & (to != ""), to)
+
+    return F.array_compact(after_each(text, "](", of))
+
+
 def references(html: Column) -> Column:
     """array of struct(url, kind): attributes, then CSS url(), then Markdown links; srcset split to its URLs; empty values are skipped."""
-    hits = F.arrays_zip(all_of(html, _NAMED + _QUOTED, 1).alias("a"), all_of(html, _NAMED + _QUOTED, 2).alias("p"), all_of(html, _NAMED + _QUOTED, 3).alias("q"))
 
     def of(x: Column) -> Column:
-        name, value = F.lower(x["a"]), F.concat(x["p"], x["q"])
-        sets = name.endswith("srcset")
-        many = F.transform(F.filter(F.split(value, ",", -1), lambda c: F.trim(c) != ""), lambda c: F.split(F.trim(c), r"[ \t\r\n\f\x0B]+", -1)[0])
-        urls = F.when(value == "", F.array().cast("array<string>")).when(sets, many).otherwise(F.array(value))
-        kind = F.when(sets, "srcset").when(name.startswith("data-"), "lazy").otherwise(name)
+        sets = x["name"].endswith("srcset")
+        many = F.transform(F.filter(F.split(x["value"], ",", -1), lambda c: F.trim(c) != ""), lambda c: F.split(F.trim(c), "\\s+", -1)[0])
+        urls = F.when(x["value"] == "", F.array().cast("array<string>")).when(sets, many).otherwise(F.array(x["value"]))
+        kind = F.when(sets, "srcset").when(x["name"].startswith("data-"), "lazy").otherwise(x["name"])
         return F.transform(urls, lambda u: F.struct(u.alias("url"), kind.alias("kind")))
 
-    bare = F.transform(all_of(html, r"(?i)url\(([^)]*)\)"), lambda v: F.regexp_replace(F.trim(v), f"^{_QUOTE}|{_QUOTE}$", ""))
-    css = F.filter(bare, lambda u: (u != "") & ~u.rlike("[\"']"))
+    known = F.transform(quoted_values(html), lambda a: F.struct(file_attribute(a["name"]).alias("name"), a["value"].alias("value")))
     named = lambda urls, kind: F.transform(urls, lambda u: F.struct(u.alias("url"), F.lit(kind).alias("kind")))
-    return F.concat(F.flatten(F.transform(hits, of)), named(css, "css"), named(all_of(html, _MARKDOWN), "markdown"))
+    return F.concat(F.flatten(F.transform(F.filter(known, lambda a: a["name"].isNotNull()), of)), named(style_references(html), "css"), named(markdown_references(html), "markdown"))
 
 
 def asset_references(html: Column, profile: MediaProfile) -> Column:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import FILE_ATTRIBUTES, QUOTES
 from ..functions.text import SPELLINGS
 
 # Elements without content.
@@ -130,8 +131,9 @@ def surface(html: str, dropped: tuple[str, ...] = ()) -> tuple[list[tuple[str, s
 def key_of(s: str) -> str:
     """The comparison key of a text (as functions.text.comparison_text), composed."""
     s = re.sub("<[^>]*>", " ", s)
-    for spelled, plain in SPELLINGS.items():
-        s = s.replace(spelled, plain)
+    for plain, spellings in SPELLINGS.items():
+        for spelled in spellings:
+            s = s.replace(spelled, plain)
     return composed(re.sub(" ?/ ?", "/", " ".join(s.split())).strip().lower())
 
 
@@ -147,6 +149,30 @@ def surfaces(pages: DataFrame, key: str, html: str, dropped: tuple[str, ...] = (
     return pages.select(key, html).mapInPandas(run, f"key {kind}, asked array<struct<key:string,kind:string>>, said string")
 
 
+def quoted_values(html: str) -> Iterator[tuple[str, int, int]]:
+    """(name, start, end) of every attribute value in quotes that holds no quote, in order: a scan from one equals sign to the next."""
+    at = html.find("=")
+    while at >= 0:
+        quote, stop = html[at + 1 : at + 2], -1
+        if quote in ("'", '"') and quote:
+            stop = html.find(quote, at + 2)
+        if stop >= 0 and ("'" if quote == '"' else '"') not in html[at + 2 : stop]:
+            first = at
+            while first and (html[first - 1].isalnum() or html[first - 1] in "-_"):
+                first -= 1
+            yield html[first:at].lower(), at + 2, stop
+        at = html.find("=", at + 1)
+
+
+def replaced(html: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with spans, which come in order and do not overlap, replaced."""
+    out, at = [], 0
+    for start, end, new in spans:
+        out += html[at:start], new
+        at = end
+    return "".join(out) + html[at:]
+
+
 def internalised(html: str, hosts: tuple[str, ...], away: tuple[str, ...]) -> str:
     """Links to the site's own hosts become root-relative, unless they name a file or a system path; root-relative links to paths that
     are not migrated become absolute on the first host."""
@@ -155,18 +181,25 @@ def internalised(html: str, hosts: tuple[str, ...], away: tuple[str, ...]) -> st
     def kept_out(path: str) -> bool:
         return any(path.rstrip("/") == a or path.startswith(a + "/") for a in away)
 
-    def one(m: re.Match) -> str:
-        url = m[3]
-        parts = re.match(r"(?i)^https?://([^/?#]*)([^?#]*)(.*)$", url)
-        if parts:
-            path = parts[2] or "/"
-            if parts[1].lower().removeprefix("www.") in own and not re.search(r"\.[A-Za-z0-9]{1,5}$", path) and not re.match(r"/wp-", path) and not kept_out(path):
-                url = path + parts[3]
-        elif url.startswith("/") and not url.startswith("//") and kept_out(re.split(r"[?#]", url)[0]):
-            url = f"https://{hosts[0]}{url}"
-        return f"{m[1]}{m[2]}{url}{m[2]}"
-
-    return re.sub(r"""(?i)(<a\b[^>]*?\bhref=)(["'])([^"']*)\2""", one, html)
+    def moved(url: str) -> str:
+        path = re.split("[?#]", url, maxsplit=1)[0]
+        scheme, _, rest = path.partition("://")
+        if scheme.lower() in ("http", "https") and rest:
+            host, slash, inner = rest.partition("/")
+            inner = slash + inner or "/"
+            file = "." in inner.rsplit("/", 1)[-1] and re.fullmatch("[A-Za-z0-9]{1,5}", inner.rsplit(".", 1)[-1])
+            if host.lower().removeprefix("www.") in own and not file and not inner.startswith("/wp-") and not kept_out(inner):
+                return inner + url[len(path) :]
+        elif url.startswith("/") and not url.startswith("//") and kept_out(path):
+            return f"https://{hosts[0]}{url}"
+        return url
+
+    spans = []
+    for name, start, end in quoted_values(html):
+        opened = html.rfind("<", 0, start)
+        if name == "href" and html[opened + 1 : opened + 2] in ("a", "A") and opened >= 0 and not (html[opened + 2 : opened + 3].isalnum()) and ">" not in html[opened:start]:
+            spans.append((start, end, moved(html[start:end])))
+    return replaced(html, spans)
 
 
 def rewritten(html: str, to_local: Callable[[str], str | None]) -> str:
@@ -175,16 +208,45 @@ def rewritten(html: str, to_local: Callable[[str], str | None]) -> str:
     def swap(u: str) -> str:
         return to_local(u) or u
 
-    def attr(m: re.Match) -> str:
-        if m[1].lower().endswith("srcset"):
-            v = ", ".join(" ".join([swap(c.split()[0]), *c.split()[1:]]) for c in m[3].split(",") if c.strip())
-        else:
-            v = swap(m[3])
-        return f"{m[1]}={m[2]}{v}{m[2]}"
-
-    html = re.sub(r"""(?i)\b(src|srcset|href|poster|data-src|data-srcset)=(["'])([^"']*)\2""", attr, html)
-    html = re.sub(r"""(?i)url\(\s*(["']|&quot;|&#0?39;)?([^)"']*?)(["']|&quot;|&#0?39;)?\s*\)""", lambda m: f"url({m[1] or ''}{swap(m[2])}{m[3] or ''})", html)
-    return re.sub(r"(!?\[[^\]]*\]\()([^)\s]+)", lambda m: m[1] + swap(m[2]), html)
+    def of_set(value: str) -> str:
+        """URLs of a srcset replaced, each with what follows it."""
+        return ", ".join(" ".join([swap(c.split()[0]), *c.split()[1:]]) for c in value.split(",") if c.strip())
+
+    def named(name: str) -> str:
+        return max((a for a in FILE_ATTRIBUTES if name == a or name.endswith(f"-{a}")), key=len, default="")
+
+    spans = []
+    for name, start, end in quoted_values(html):
+        known = named(name)
+        if known:
+            spans.append((start, end, (of_set if known.endswith("srcset") else swap)(html[start:end])))
+    html = replaced(html, spans)
+
+    spans, at = [], html.lower().find("url(")
+    while at >= 0:
+        start, end = at + 4, html.find(")", at)
+        if end < 0:
+            break
+        start += len(html[start:end]) - len(html[start:end].lstrip())
+        stop = start + len(html[start:end].rstrip())
+        for q in QUOTES:
+            start += len(q) if html.startswith(q, start, stop) else 0
+        for q in QUOTES:
+            stop -= len(q) if html.endswith(q, start, stop) else 0
+        if stop > start and not set("\"'") & set(html[start:stop]):
+            spans.append((start, stop, swap(html[start:stop])))
+        at = html.lower().find("url(", end)
+    html = replaced(html, spans)
+
+    spans, at = [], html.find("](")
+    while at >= 0:
+        start, stop = at + 2, at + 2
+        while stop < len(html) and html[stop] != ")" and not html[stop].isspace():
+            stop += 1
+        if stop > start and html.rfind("[", 0, at) > html.rfind("]", 0, at):
+            spans.append((start, stop, swap(html[start:stop])))
+        at = html.find("](", stop)
+    return replaced(html, spans)
 
 
 def map_text(df: DataFrame, column: str, change: Callable[[str], str]) -> DataFrame:

@@ -146,11 +146,14 @@ def metadata(lines: DataFrame) -> DataFrame:
     plain = lines.filter(~F.col("fenced")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("x")))).alias("l"))
     said = F.filter(F.transform("l", lambda s: s["x"]), lambda x: x != "")
     first, rest = F.get(said, F.lit(0)), F.slice(said, F.lit(2), F.greatest(F.size(said), F.lit(0)))
-    pat = r"^\*\*([^*:]+):\*\*\s*(.*)$"
+    # a field is bold up to its colon: **Name:** value
+    name = lambda x: F.substring_index(F.substring(x, 3, 1 << 30), ":**", 1)
+    held = lambda x: F.ltrim(F.substring(x, F.length(name(x)) + 6, F.lit(1 << 30)))
+    is_field = lambda x: x.startswith("**") & x.contains(":**") & (name(x) != "") & ~name(x).contains("*") & ~name(x).contains(":")
     # the run of fields directly after the title
-    run = F.aggregate(rest, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("f")), lambda s, x: F.struct((s["on"] & x.rlike(pat)).alias("on"), F.when(s["on"] & x.rlike(pat), F.concat(s["f"], F.array(x))).otherwise(s["f"]).alias("f")), lambda s: s["f"])
+    run = F.aggregate(rest, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("f")), lambda s, x: F.struct((s["on"] & is_field(x)).alias("on"), F.when(s["on"] & is_field(x), F.concat(s["f"], F.array(x))).otherwise(s["f"]).alias("f")), lambda s: s["f"])
     t = plain.select("file", first.alias("title"), run.alias("f"))
-    value = lambda n: F.get(F.transform(F.filter("f", lambda x: F.regexp_extract(x, pat, 1) == n), lambda x: F.regexp_extract(x, pat, 2)), F.lit(0))
+    value = lambda n: F.get(F.transform(F.filter("f", lambda x: name(x) == n), held), F.lit(0))
     t = t.select("file", "title", F.size("f").alias("n"), *[value(n).alias(a) for n, a in (("Status", "status"), ("Owner", "owner"), ("Last updated", "updated"), ("Phase", "phase"))])
     has = F.col("n") > 0
     return findings(t, "file", [

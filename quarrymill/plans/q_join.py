@@ -243,13 +243,6 @@ def j28(spark, d):
     return I.missing(p.select("p_brand").distinct(), p.filter("p_size > 48").select("p_brand").distinct(), "p_brand").select(F.concat(F.lit("content/"), F.col("p_brand"), F.lit(".json")).alias("file"))
 
 
-@query("j29_build_audit", o(f", {_FOUND}, pg AS (SELECT page_id, path, page_id || '/index.html' AS file, page_id % 8 = 0 AS noindex FROM live) SELECT page_id, CASE WHEN noindex THEN 'indexed-noindex' ELSE 'ok' END AS code FROM pg WHERE file IN (SELECT file FROM found WHERE bytes > 0)"))
-def j29(spark, d):
-    _, found = _promised(spark, d)
-    t = B.live(spark, d).select("page_id", F.concat(F.col("page_id").cast("string"), F.lit("/index.html")).alias("file"))
-    return t.join(found.filter("bytes > 0"), "file", "left_semi").select("page_id", F.when(F.col("page_id") % 8 == 0, "indexed-noindex").otherwise("ok").alias("code"))
-
-
 @query("j30_palette_pairs", o(f", {_PAL} SELECT p.p_partkey, CASE WHEN q.a IS NULL THEN 'missing-token' ELSE 'known' END AS state FROM pal p LEFT JOIN (SELECT p_partkey, a FROM pal WHERE p_partkey % 3 = 0) q ON q.p_partkey = p.p_partkey - 1"))
 def j30(spark, d):
     p = B.table(spark, d, "part").select("p_partkey")

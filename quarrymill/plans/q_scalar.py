@@ -220,7 +220,11 @@ def f40(spark, d):
     return B.posts(spark, d).select("doc_id", T.truncate_at_word(F.col("title"), 60).alias("short"))
 
 
-_LINE = "coalesce(list_filter(regexp_split_to_array(body, '\\r?\\n'), lambda x: regexp_matches(x, '\\S') AND NOT regexp_matches(x, '(?i)^\\s*(?:" + "|".join(T.NO_PROSE) + "|<(?:" + T.NO_PROSE_TAGS.replace(" ", "|") + ")\\b)'))[1], '')"
+_TAGS = ", ".join(f"'{t}'" for t in sorted(T.STRUCTURAL))
+_H, _W = r"regexp_replace(x, '^\s+', '')", r"regexp_extract(x, '^\s*(\S+)', 1)"
+_IS_PROSE = rf"""({_H} <> '' AND NOT ({_H} <> {_W} AND (regexp_matches({_W}, '^#{{1,6}}$') OR {_W} IN ('-', '*', '+') OR regexp_matches({_W}, '^[0-9]+[.)]$')))
+  AND NOT (left({_W}, 1) IN ('>', '|') OR starts_with({_W}, ':::') OR regexp_replace({_H}, '\s+$', '') = '---') AND lower(regexp_extract({_H}, '^<([A-Za-z0-9]+)', 1)) NOT IN ({_TAGS}))"""
+_LINE = f"coalesce(list_filter(regexp_split_to_array(body, '\\r?\\n'), lambda x: {_IS_PROSE})[1], '')"
 _PROSE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _LINE + ", '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`]+', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
 
 

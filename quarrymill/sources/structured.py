@@ -110,24 +110,40 @@ def front_matter(entries: DataFrame) -> DataFrame:
     return t.select("file", F.map_from_entries("fields").alias("fields"), "problem")
 
 
+def _fence(line: str) -> str:
+    """The run of three or more backticks or tildes that begins a line, at most three blanks in."""
+    bare = line.lstrip()
+    mark = bare[:1]
+    if mark not in ("`", "~") or not mark or len(line) - len(bare) > 3:
+        return ""
+    run = bare[: len(bare) - len(bare.lstrip(mark))]
+    return run if len(run) >= 3 else ""
+
+
+def _heading(line: str) -> tuple[int, str]:
+    """Level and text of a line that begins with up to six number signs and a blank; (0, "") for others."""
+    rest = line.lstrip("#")
+    level = len(line) - len(rest)
+    if not 1 <= level <= 6 or not rest[:1].isspace():
+        return 0, ""
+    return level, rest.strip().rstrip("#").rstrip()
+
+
 def parse_markdown(text: str) -> list[tuple[int, str, bool, int, str]]:
     """(line, text, fenced, heading level or 0, heading text): a fence closes with its own mark; an open one takes the rest."""
-    import re
-
     out, fence = [], ""
     for i, line in enumerate(text.split("\n"), 1):
-        m = re.match(r"^\s{0,3}(`{3,}|~{3,})", line)
+        run = _fence(line)
         if fence:
             out.append((i, line, True, 0, ""))
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
+            if run and run[0] == fence[0] and len(run) >= len(fence):
                 fence = ""
             continue
-        if m:
-            fence = m[1]
+        if run:
+            fence = run
             out.append((i, line, True, 0, ""))
             continue
-        h = re.match(r"^(#{1,6})\s+(.*?)\s*#*\s*$", line)
-        out.append((i, line, False, len(h[1]) if h else 0, h[2] if h else ""))
+        out.append((i, line, False, *_heading(line)))
     return out
 
 
