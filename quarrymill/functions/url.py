@@ -297,3 +297,30 @@ def identify_asset(raw: Column, profile: MediaProfile) -> Column:
 
     ref = F.trim(raw)
     return _let(_let(_let(F.struct(ref.alias("ref"), path_part(ref).alias("path")), parts), placed), answer)
+
+
+def _segment(stack: Column, seg: Column) -> Column:
+    kept, out = stack["kept"], stack["out"]
+    return (
+        F.when((seg == "") | (seg == "."), stack).when((seg == "..") & (F.size(kept) == 0), F.struct(kept.alias("kept"), F.lit(True).alias("out")))
+        .when(seg == "..", F.struct(F.slice(kept, F.lit(1), F.size(kept) - 1).alias("kept"), out.alias("out"))).otherwise(F.struct(F.concat(kept, F.array(seg)).alias("kept"), out.alias("out")))
+    )
+
+
+def normal_path(path: Column) -> Column:
+    """struct(path, out): segments of a relative path with . and .. resolved by a stack, joined by slashes; out: did .. leave the root?"""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("out"))
+    return F.aggregate(F.split(path, "/", -1), start, _segment, lambda s: F.struct(F.array_join(s["kept"], "/").alias("path"), s["out"].alias("out")))
+
+
+def resolve(raw: Column, origin: Column) -> Column:
+    """A reference as an absolute URL on an origin's root; dot segments go, and do not leave the root."""
+    ref = F.trim(raw)
+    scheme = ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    full = F.when(scheme, ref).when(ref.startswith("//"), F.concat(F.regexp_extract(origin, "^[a-z]+:", 0), ref)).when(ref.startswith("/"), F.concat(origin, ref)).otherwise(F.concat(origin, F.lit("/"), ref))
+    root = F.regexp_extract(full, r"^(?i)https?://[^/?#]*", 0)
+    rest = F.substring(full, F.length(root) + 1, F.lit(1 << 30))
+    path = path_part(rest)
+    folded = F.concat(F.lit("/"), normal_path(path)["path"], F.when(path.rlike(r"(/|/\.|/\.\.)$"), "/").otherwise(""))
+    folded = F.regexp_replace(folded, "^//$", "/")
+    return F.when((root != "") & (F.concat(path, F.lit("/")).contains("/./") | F.concat(path, F.lit("/")).contains("/../")), F.concat(root, folded, F.substring(rest, F.length(path) + 1, F.lit(1 << 30)))).otherwise(full)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
 def paginate(items: DataFrame, group: str, order: list[Column], size: int, groups: DataFrame) -> DataFrame:
     """group, page, page_count, total, first, last, has_previous, has_next. groups: all listings; an empty one has one empty page."""
@@ -23,6 +24,26 @@ def page_of(items: DataFrame, group: str, order: list[Column], size: int) -> Dat
     return items.withColumn("rank", rn.cast("long")).withColumn("page", F.ceil(F.col("rank") / size).cast("long"))
 
 
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds name: the total of a value over all rows before, in one global order. Rows are dealt by ranges of the order; a row a partition
+    (its total) reaches the driver, and no task holds more than its range. Rows that tie in the order are taken as they come."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = cut(df.withColumn("v_", value.cast("long")).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()).withColumn("p_", F.shiftright("at_", 33)))
+    at, starts = 0, []
+    for r in t.groupBy("p_").agg(F.sum("v_").alias("v")).orderBy("p_").collect():
+        starts.append((r["p_"], at))
+        at += r["v"] or 0
+    before = F.coalesce(F.sum("v_").over(Window.partitionBy("p_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(spark.createDataFrame(starts, "p_ long, o_ long"))
+    return t.withColumn("b_", before).join(offsets, "p_").withColumn(name, F.col("b_") + F.col("o_")).drop("v_", "at_", "p_", "b_", "o_")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds name: the row's place from 0 in one global order."""
+    return running_total(df, order, F.lit(1), name)
+
+
 def page_window(current: Column, last: Column) -> Column:
     """The page numbers a pager shows: all of up to seven, else the ends and two around the current; 0 stands for a gap."""
     every = F.sequence(F.lit(1), last)

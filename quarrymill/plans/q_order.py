@@ -154,10 +154,3 @@ def a27(spark, d):
 def h05(spark, d):
     t = Y.chains(B.terms(spark, d)).withColumn("menu", F.col("chain")[0]).withColumn("current", F.col("slug").isin("s4", "n7"))
     return Y.current_items(t, "menu", "chain", "current").select("slug", "contains_current")
-
-
-@query("h06_crawl_waves", o(", lk AS (SELECT page_id AS s, (page_id * 7 + 3) % 250 AS t FROM live UNION ALL SELECT page_id, (page_id * 5 + 1) % 250 FROM live), w0 AS (SELECT 0::BIGINT AS u, 0 AS w), w1 AS (SELECT DISTINCT t AS u FROM lk JOIN w0 ON s = u), w2 AS (SELECT DISTINCT t AS u FROM lk JOIN w1 ON s = u WHERE t NOT IN (SELECT u FROM w1) AND t <> 0) SELECT u AS url, w AS wave FROM w0 UNION ALL SELECT u, 1 FROM w1 WHERE u <> 0 UNION ALL SELECT u, 2 FROM w2"))
-def h06(spark, d):
-    t = B.live(spark, d).select(F.col("page_id").cast("long").alias("source"))
-    links = t.select("source", F.explode(F.array((F.col("source") * 7 + 3) % 250, (F.col("source") * 5 + 1) % 250)).alias("target"))
-    return Y.crawl_waves(links, spark.range(1).select(F.col("id").alias("url")), 2)

@@ -28,7 +28,7 @@ def rows(df: pd.DataFrame) -> list:
             return "null"
         return repr(round(float(v), 6)) if isinstance(v, float) else str(v)
 
-    df = df.astype({c: "float64" for c, kind in df.dtypes.items() if str(kind) == "Int64"})  # as Spark gives integers with nulls
+    df = df.astype({c: "float64" for c, kind in df.dtypes.items() if str(kind) in ("Int32", "Int64")})  # as Spark gives integers with nulls
     return sorted(tuple(one(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
