@@ -11,10 +11,13 @@ Documents are numbered within their source by salted parts (row numbers within a
 before it), so no task holds a whole source. What is broadcast is the period's table, period x sources integers, and a row for each
 source. With more sources than slots, sources of equal weight share a class: the class is scheduled like one source and
 its members take its blocks in turns, which keeps each within its own bounds. The table is then period x classes
-integers (as many as there are distinct weights), and positions come from sums over ranges of slots.
+integers (as many as there are distinct weights), and positions come from sums over ranges of slots. So the order differs between as
+many sources as slots (each has slots of its own in the period) and one more (equal weights take turns, a turn being as many periods as the
+class has members); the bounds and the rows are the same.
 
 Defined cases: a null source is a source of its own; null doc_ids go first in their part; repeated rows each get a
-place; empty tables give empty results; null or empty texts are mixed like others.
+place; empty tables give empty results; null or empty texts are mixed like others; where the weights of all sources present are zero
+they count as equal; negative or infinite weights are an error.
 """
 
 from __future__ import annotations
@@ -31,15 +34,15 @@ RANGE_DOCS = 100_000
 
 
 def weighted(docs: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
-    """(source, n_docs, w): a row per source. weights None: equal weights; sources without one have weight 0."""
+    """(source, n_docs, w): a row per source. weights None: equal weights; sources without one have weight 0. The caller's weights are a
+    table that is joined, of any length."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:
-        w = F.lit(1.0)
-    else:
-        w = F.lit(0.0)
-        for k, v in weights.items():
-            w = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(w)
-    return counts.withColumn("w", w)
+        return counts.withColumn("w", F.lit(1.0))
+    if any(not 0 <= v < float("inf") for v in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "k_ string, w_ double")
+    return counts.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("k_")), "left").select("source", "n_docs", F.coalesce("w_", F.lit(0.0)).alias("w"))
 
 
 def shares(docs: DataFrame, weights: dict[str | None, float] | None, period: int) -> DataFrame:
@@ -50,6 +53,7 @@ def shares(docs: DataFrame, weights: dict[str | None, float] | None, period: int
 def slotted(t: DataFrame, period: int) -> DataFrame:
     """(source, n_docs, slots) from (source, n_docs, w): at least one slot each, period slots in all."""
     whole = Window.partitionBy(F.lit(1))  # one row per source
+    t = t.withColumn("w", F.when(F.sum("w").over(whole) > 0, F.col("w")).otherwise(F.lit(1.0)))
     t = t.withColumn("ideal", F.col("w") * period / F.sum("w").over(whole)).withColumn("low", F.greatest(F.lit(1), F.floor("ideal").cast("int")))
     t = t.withColumn("left", period - F.sum("low").over(whole))
     t = t.withColumn("rank", F.row_number().over(whole.orderBy((F.col("ideal") - F.col("low")).desc(), F.col("source").asc_nulls_first())))

@@ -97,7 +97,7 @@ opaque AS (SELECT * FROM ({_spans('[A-Za-z0-9+/_=-]{24,}', 'opaque', 3, 0)}) o
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.s0 < o.s0 + o.n AND o.s0 < b.s0 + b.n)),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
 held AS (SELECT value, count(DISTINCT coalesce('=' || source, '-')) AS owners, count(DISTINCT coalesce('=' || source, '-') || '/' || coalesce(doc_id::VARCHAR, '-')) AS repos FROM cand JOIN d USING (rid) GROUP BY value),
-judged AS (SELECT cand.*, owners <= 2 AS live, repos FROM cand JOIN held USING (value) WHERE ord < 3 OR owners <= 2),
+judged AS (SELECT cand.*, owners <= 2 AND repos <= 20 AS live, repos FROM cand JOIN held USING (value) WHERE ord < 3 OR (owners <= 2 AND repos <= 20)),
 b AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {_SAID} AS said FROM base GROUP BY rid),
 f AS (SELECT rid, {_SAID} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(repos) AS repos FROM judged GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,

@@ -2,8 +2,8 @@
 
 Candidates come from fixed patterns over whole texts. Each candidate value is hashed, and the hashes are aggregated
 over the corpus by distinct repositories (a document stands for one, unless a column names them) and owners (``source``):
-a value seen under many owners is a copied example, a value that few owners hold, in however many repositories of theirs,
-looks live. Candidates of the base kinds are always reported; candidates of the ``opaque`` kind (long mixed
+a value seen under many owners, or in many repositories of few owners, is a copied example; a value that few owners hold in few
+repositories looks live. Candidates of the base kinds are always reported; candidates of the ``opaque`` kind (long mixed
 runs) are reported only where the corpus says they are live-looking and where no base span overlaps them.
 
 Defined cases: null text is the empty text (no spans); empty tables give empty results; repeated rows (even of one
@@ -26,8 +26,8 @@ HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"[A-Za-z0-9+/_=-]{24,}"
 ASSIGN_LEAST = 12
 
-#: A value held by more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value held by more owners than this, or in more repositories, is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 MASK = "[SECRET]"
 #: What stands for a copied example.
 EXAMPLE = "[EXAMPLE]"
@@ -114,14 +114,14 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("vhash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("m").alias("n_repositories"), F.sum("n").alias("n_uses"))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", doc_id: str = "doc_id", max_owners: int = MAX_OWNERS, repository: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", doc_id: str = "doc_id", max_owners: int = MAX_OWNERS, repository: str | None = None, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per input row: doc_id, key, base (spans), found (all reported spans), n_live, n_example, n_repositories (of the value
     that most of them hold)."""
     cands = written(candidates(docs, text, owner, doc_id, repository), "secret-candidates")
     held = ownership(cands)
     # repeated rows share a key and a result
     each = cands.filter(F.size("base") + F.size("opaque") > 0).select("key", F.explode(F.concat("base", "opaque")).alias("c")).select("key", "c", F.sha2("c.value", 256).alias("vhash"))
-    judged = each.join(held, "vhash").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = each.join(held, "vhash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     kept = judged.filter((F.col("c.ord") < 3) | F.col("live"))
     by_row = kept.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("c.start", "c.ord", "c.kind", "c.end", "c.value", "live"))).alias("found"), F.max("n_repositories").alias("n_repositories"))
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:string,live:boolean>>")

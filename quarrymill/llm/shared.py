@@ -29,14 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; others' tables lie beside it."""
+    return f"{shared_dir(spark)}/quarrymill/{spark.sparkContext.applicationId}"
+
+
 def clear(spark: SparkSession) -> None:
-    """Deletes what the operators have written in the shared folder; for callers who have stored their results."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarrymill")
+    """Deletes what this application's operators have written in the shared folder; for callers who have stored their results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarrymill/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

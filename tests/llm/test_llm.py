@@ -294,6 +294,18 @@ def test_small_sources_take_slots_from_all_large_ones(spark):
     assert sorted(r["position"] for r in mixing.mix(d, w, period=100).collect()) == list(range(660))
 
 
+def test_any_number_of_weights_and_zero_weights(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 300 > 0, F.concat(F.lit("h"), F.col("id") % 300)).alias("source"))
+    for w in ({f"h{i}": 1.0 + i % 7 for i in range(5000)}, {"h1": 0.0}, {f"other{i}": 1.0 for i in range(990)}):
+        got = mixing.mix(d, w, block_docs=1).collect()
+        assert sorted(r["position"] for r in got) == list(range(3000)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    many = d.withColumn("source", F.concat(F.lit("k"), F.col("doc_id") % 1500))
+    assert sorted(r["position"] for r in mixing.mix(many, {f"k{i}": 1.0 + i % 3 for i in range(5000)}).collect()) == list(range(3000))
+    assert {r["slots"] for r in mixing.shares(d, {"h1": 0.0}, 900).collect()} == {3}
+    with pytest.raises(ValueError):
+        mixing.mix(d, {"h1": -1.0})
+
+
 # 5: quality
 
 
@@ -510,7 +522,7 @@ def test_secrets_by_force(spark):
     for (i, base, mixed), (_, _, owner) in zip(docs, data):
         for x in base + mixed:
             held.setdefault(x[4], set()).add((owner, i))
-    live = lambda x: len({o for o, _ in held[x[4]]}) <= secret_scan.MAX_OWNERS
+    live = lambda x: len({o for o, _ in held[x[4]]}) <= secret_scan.MAX_OWNERS and len(held[x[4]]) <= secret_scan.MAX_REPOSITORIES
     want = Counter()
     for i, base, mixed in docs:
         found = sorted(base + [x for x in mixed if live(x)])
@@ -541,6 +553,15 @@ def test_widely_held_values_are_examples(spark):
     assert got[0] == "" and got[9].startswith("opaque:4:")
 
 
+def test_values_in_many_repositories_of_few_owners_are_examples(spark):
+    v, own = "Zx9" + "qW8eR7tY6" * 3, "Ab3" + "dEf7hIj1k" * 3
+    many = [(i, f"key {v} end", f"s{i % 2}", "r") for i in range(secret_scan.MAX_REPOSITORIES + 1)]
+    d = spark.createDataFrame([*many, *[(1000 + i, f"key {own} end", "s1", "r") for i in range(secret_scan.MAX_REPOSITORIES)]], "doc_id long, text string, source string, repo string")
+    got = {r["doc_id"]: r["found"] for r in secret_scan.scan(d).collect()}
+    assert got[0] == [] and len(got[1000]) == 1
+    assert all(len(r["found"]) == 1 for r in secret_scan.scan(d, repository="repo").collect())  # all in one repository
+
+
 def test_redaction(spark):
     d = hostile(spark)
     got = secret_scan.redact(d)
@@ -664,9 +685,11 @@ def test_written_tables_can_be_cleared(spark):
     from quarrymill.llm import shared
 
     t = shared.written(spark.range(3).toDF("i"), "probe")
-    assert t.count() == 3 and os.path.isdir(f"{shared.shared_dir(spark)}/quarrymill")
+    own, other = shared.own_dir(spark), f"{shared.shared_dir(spark)}/quarrymill/another-application"
+    os.makedirs(other, exist_ok=True)
+    assert t.count() == 3 and os.path.isdir(own)
     shared.clear(spark)
-    assert not os.path.exists(f"{shared.shared_dir(spark)}/quarrymill")
+    assert not os.path.exists(own) and os.path.isdir(other)
 
 
 def test_components_of_chains_and_stars(spark):
