@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import url as U
 from .identity import sole_claimant
+from .media import front_matter_urls, json_urls
 from .rules import findings
 
 # Months of long dates.
@@ -76,32 +73,10 @@ def contested_claims(claims: DataFrame) -> DataFrame:
     return sole_claimant(claims.filter("source is not null"), "source", "local")
 
 
-def urls_in(value, at: str = "") -> list[tuple[str, str]]:
-    """(path, URL) of every string in a JSON value whose path ends in url."""
-    if isinstance(value, str):
-        return [(at, value)] if at.endswith("url") else []
-    if isinstance(value, list):
-        return [x for i, v in enumerate(value) for x in urls_in(v, f"{at}[{i}]")]
-    if isinstance(value, dict):
-        return [x for k, v in value.items() for x in urls_in(v, f"{at}.{k}" if at else k)]
-    return []
-
-
 def media_references(entries: DataFrame, registries: DataFrame) -> DataFrame:
-    """file, field, url of a content tree. entries (file, text): bodies and front matter; registries (file, text): JSON of any depth."""
+    """file, field, url of a content tree, unclassified. entries (file, text): bodies and front matter; registries (file, text): JSON of any depth."""
     front = F.regexp_extract("text", r"^---\r?\n([\s\S]*?)\r?\n---", 1)
     body = F.regexp_replace("text", r"^---\r?\n[\s\S]*?\r?\n---", "")
     a = entries.select("file", F.explode(H.references(body)).alias("r")).select("file", F.col("r.kind").alias("field"), F.col("r.url").alias("url"))
-    b = entries.select("file", F.explode(F.regexp_extract_all(front, F.lit(r"""(?m)^\s*(?:-\s*)?url:\s*["']?([^"'\s]+)"""), 1)).alias("url")).select("file", F.lit("front-matter").alias("field"), "url")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = []
-            for f, t in zip(p["file"], p["text"], strict=True):
-                try:
-                    rows += [(f, at, u) for at, u in urls_in(json.loads(t))]
-                except ValueError:
-                    rows.append((f, "invalid-json", None))
-            yield pd.DataFrame(rows, columns=["file", "field", "url"])
-
-    return a.unionByName(b).unionByName(registries.select("file", "text").mapInPandas(run, "file string, field string, url string"))
+    b = entries.select("file", F.explode(front_matter_urls(front)).alias("url")).select("file", F.lit("front-matter").alias("field"), "url")
+    return a.unionByName(b).unionByName(json_urls(registries))
