@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..functions import html as H
 from ..functions import url as U
+from . import css as S
 from . import identity as I
 from . import inventory as V
 from . import ordering as W
@@ -56,15 +58,22 @@ def contrast_failures(pairs: DataFrame, colours: DataFrame) -> DataFrame:
 
 def focus_classes(css: Column) -> Column:
     """Classes whose :focus-visible rule draws something."""
-    pat = r"([^{}]+)\{([^{}]*)\}"
-    z = F.arrays_zip(F.regexp_extract_all(css, F.lit(pat), 1).alias("s"), F.regexp_extract_all(css, F.lit(pat), 2).alias("b"))
-    draws = F.filter(z, lambda r: r["b"].rlike(r"(?i)\b(outline|box-shadow|border|background|text-decoration)\b") & ~r["b"].rlike(r"(?i)^\s*outline\s*:\s*(none|0)\s*;?\s*$"))
-    sel = F.filter(F.flatten(F.transform(draws, lambda r: F.split(r["s"], ","))), lambda s: s.rlike(r":focus-visible\b"))
-    return F.array_distinct(F.flatten(F.transform(sel, lambda s: F.regexp_extract_all(s, F.lit(r"\.([A-Za-z0-9_-]+)"), 1))))
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: sorted(n for k, n in S.facts(x or "") if k == "indicator"))
+
+    return run(css)
 
 
 def has_universal_focus(css: Column) -> Column:
-    return css.rlike(r"(?i)(^|[},])\s*\*?:focus-visible\s*(,[^{]*)?\{[^}]*\b(outline|box-shadow|border)\b") & ~css.rlike(r"(?i)(^|[},])\s*\*?:focus-visible\s*\{\s*outline\s*:\s*(none|0)\s*;?\s*\}")
+    """Is there a :focus-visible rule for everything that draws something?"""
+
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: ("universal", "*") in S.facts(x or ""))
+
+    return run(css)
 
 
 def section_naming(pages: DataFrame, at: str, html: str) -> DataFrame:
