@@ -26,23 +26,23 @@ FOCUSABLE = ("a", "button", "input", "select", "textarea", "summary", "iframe")
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """The value of a double-quoted attribute; null without it."""
-    return F.nullif(F.regexp_extract(tag, rf'\s({name}="[^"]*)"', 1), F.lit("")).substr(F.lit(len(name) + 3), F.lit(1 << 30))
+    """The value of a double-quoted attribute; empty without it."""
+    return F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1)
 
 
 def classes(tag: Column) -> Column:
     """Classes of a tag, scope marks left out."""
-    return F.filter(F.split(F.coalesce(_attribute(tag, "class"), F.lit("")), r"\s+", -1), lambda c: (c != "") & ~c.startswith("data-astro-cid"))
+    return F.filter(F.split(_attribute(tag, "class"), r"\s+", -1), lambda c: (c != "") & ~c.startswith("data-astro-cid"))
 
 
 def elements(html: Column, names: str) -> Column:
-    """array of struct(tag, classes, shape, scopes, role, href) of start tags of these names (alternatives)."""
+    """array of struct(tag, classes, shape, scopes, role, linked) of start tags of these names (alternatives)."""
 
     def of(t: Column) -> Column:
         tag, own = F.regexp_extract(t, "^[a-z]+", 0), classes(t)
         return F.struct(
             tag.alias("tag"), own.alias("classes"), F.array_join(F.concat(F.array(tag), own), ".").alias("shape"), F.regexp_extract_all(t, F.lit(r"\b(data-astro-cid-[A-Za-z0-9_-]+)"), 1).alias("scopes"),
-            _attribute(t, "role").alias("role"), _attribute(t, "href").alias("href"),
+            _attribute(t, "role").alias("role"), t.rlike(r"\shref=").alias("linked"),
         )
 
     return F.transform(H.all_of(html, rf"<((?:{names})\b[^>]*)>"), of)
@@ -51,7 +51,7 @@ def elements(html: Column, names: str) -> Column:
 def landmarks(html: Column) -> Column:
     """array of struct(tag, label); label is null without an aria-label."""
     tags = H.all_of(html, r"<((?:header|nav|main|footer)(?:\s[^>]*)?)>")
-    return F.transform(tags, lambda t: F.struct(F.regexp_extract(t, "^[a-z]+", 0).alias("tag"), _attribute(t, "aria-label").alias("label")))
+    return F.transform(tags, lambda t: F.struct(F.regexp_extract(t, "^[a-z]+", 0).alias("tag"), F.when(t.contains('aria-label="'), _attribute(t, "aria-label")).alias("label")))
 
 
 def read(pages: DataFrame, review: tuple[str, ...] = ()) -> DataFrame:
@@ -67,7 +67,7 @@ def read(pages: DataFrame, review: tuple[str, ...] = ()) -> DataFrame:
     nav = F.array_join(H.all_of(h, r"(?s)<nav\b[^>]*>(.*?)</nav>"), "\n")
     return pages.select(
         "file", own.alias("review"), F.md5(F.coalesce("css", F.lit(""))).alias("sheet"), H.heading_levels(h).alias("levels"), landmarks(h).alias("marks"),
-        F.filter(elements(h, "a|button|summary"), lambda e: (e["tag"] != "a") | e["href"].isNotNull()).alias("controls"), elements(h, "ul|ol").alias("lists"),
+        F.filter(elements(h, "a|button|summary"), lambda e: (e["tag"] != "a") | e["linked"]).alias("controls"), elements(h, "ul|ol").alias("lists"),
         F.when(skip != "", F.struct(skip.alias("id"), F.regexp_extract(target, "^[a-z0-9]+", 0).alias("tag"), target.contains('tabindex="').alias("tab"))).alias("skip"),
         F.when(toggle.isNotNull(), F.struct(h.contains(F.concat(F.lit('for="'), _attribute(toggle, "id"), F.lit('"'))).alias("label"), toggle.rlike(r"\bchecked\b").alias("checked"))).alias("toggle"),
         F.transform(F.filter(H.all_of(h, r"<(a\b[^>]*)>"), lambda t: t.contains('aria-current="page"')), lambda t: _attribute(t, "href")).alias("current"),
@@ -102,15 +102,16 @@ def page_findings(facts: DataFrame) -> DataFrame:
         F.when(production & (F.size(navs) == 0), _say("navigation", "no-nav")), F.when(has_nav & F.col("toggle").isNull(), _say("navigation", "disclosure")),
         F.when(has_nav & ~F.col("toggle.label"), _say("navigation", "summary")), F.when(has_nav & F.col("toggle.checked"), _say("navigation", "toggle-open")),
     ))
-    wrong = F.when(has_nav, F.filter("current", lambda h: h.isNotNull() & (route_file(h) != F.col("file"))))
+    wrong = F.when(has_nav, F.filter("current", lambda h: (h != "") & (route_file(h) != F.col("file"))))
     every = F.concat(own, F.transform(F.coalesce(wrong, F.array().cast("array<string>")), lambda h: _say("navigation", "current-mismatch")))
-    return facts.select(F.col("file").alias("at"), F.explode(every).alias("f")).select("at", "f.check", "f.key")
+    # outer: the planner would else ask for a size first, and compute all of it twice
+    return facts.select(F.col("file").alias("at"), F.explode_outer(every).alias("f")).filter("f is not null").select("at", "f.check", "f.key")
 
 
 def dead_navigation(facts: DataFrame, emitted: DataFrame) -> DataFrame:
     """at, check, key of menu links to files that the build did not emit. emitted: file."""
     links = facts.filter(~F.col("review")).select(F.col("file").alias("at"), F.explode(F.array_distinct("nav_links")).alias("href"))
-    links = links.filter(F.col("href").isNotNull() & ~F.col("href").rlike("^(https?:|mailto:|tel:|#)")).withColumn("file", route_file(F.col("href")))
+    links = links.filter((F.col("href") != "") & ~F.col("href").rlike("^(https?:|mailto:|tel:|#)")).withColumn("file", route_file(F.col("href")))
     return links.join(emitted.select("file").distinct(), "file", "left_anti").select("at", F.lit("navigation").alias("check"), F.concat(F.lit("dead:"), "href").alias("key"))
 
 
@@ -165,7 +166,7 @@ def contrast_findings(pages: DataFrame, pairs: DataFrame) -> DataFrame:
         return odd if not unread.isEmpty() else row(one, F.lit("no-palette"), F.lit(""), "warning")
     judged = G.contrast_failures(pairs, known).filter("state <> 'ok'")
     key = F.when(F.col("state") == "low", F.col("pair")).otherwise(F.concat(F.lit("missing-token:"), "pair"))
-    return odd.unionByName(row(judged, key, F.coalesce(F.col("ratio").cast("string"), F.lit(""))))
+    return odd.unionByName(row(judged, key, F.when(F.col("state") == "low", F.col("ratio").cast("string")).otherwise("")))
 
 
 def audit(pages: DataFrame, emitted: DataFrame, pairs: DataFrame, families: DataFrame | None = None, review: tuple[str, ...] = (), baseline: DataFrame | None = None) -> DataFrame:
