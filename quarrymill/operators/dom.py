@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import FILE_ATTRIBUTES, QUOTES
 from ..functions.text import SPELLINGS
+from .digest import first_fit
 
 # Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,15 +262,8 @@ def map_text(df: DataFrame, column: str, change: Callable[[str], str]) -> DataFr
 
 def greedy_differences(a: list[tuple[int, ...]], b: list[tuple[int, ...]], within: int = 1) -> tuple[int, int]:
     """(only in a, only in b) of two bags of geometries matched first fit, every number within a tolerance."""
-    free, lost = list(b), 0
-    for x in a:
-        for i, y in enumerate(free):
-            if len(x) == len(y) and all(abs(p - q) <= within for p, q in zip(x, y, strict=True)):
-                del free[i]
-                break
-        else:
-            lost += 1
-    return lost, len(free)
+    lost, left = first_fit(a, b, within)
+    return len(lost), len(left)
 
 
 def compare_digests(old: DataFrame, new: DataFrame, within: int = 1) -> DataFrame:

@@ -18,13 +18,21 @@ def paginate(items: DataFrame, group: str, order: list[Column], size: int, group
     )
 
 
+def _placed(df: DataFrame, group: str, order: list) -> DataFrame:
+    """Adds i_ (place from 0 in its group) and n_ (the group's size): places in one global order over all tasks, less the group's start, so that
+    many tasks sort a hot group. A row a group is joined back; null is a group too."""
+    t = numbered(df.withColumn("g_", F.col(group)), [F.col("g_").asc_nulls_first(), *order], "r_")
+    starts = t.groupBy(F.col("g_").alias("k_")).agg(F.min("r_").alias("s_"), F.count(F.lit(1)).alias("n_"))
+    return t.join(starts, F.col("g_").eqNullSafe(F.col("k_"))).withColumn("i_", F.col("r_") - F.col("s_")).drop("r_", "s_", "k_", "g_")
+
+
 def page_of(items: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
     """The items with their page and rank in the listing."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return items.withColumn("rank", rn.cast("long")).withColumn("page", F.ceil(F.col("rank") / size).cast("long"))
+    t = _placed(items, group, order).withColumn("rank", F.col("i_") + 1).drop("i_", "n_")
+    return t.withColumn("page", F.ceil(F.col("rank") / size).cast("long"))
 
 
-def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+def running_total(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
     """Adds name: the total of a value over all rows before, in one global order. Rows are dealt by ranges of the order; a row a partition
     (its total) reaches the driver, and no task holds more than its range. Rows that tie in the order are taken as they come."""
     spark = df.sparkSession
@@ -39,7 +47,7 @@ def running_total(df: DataFrame, order: list[str], value: Column, name: str) ->
     return t.withColumn("b_", before).join(offsets, "p_").withColumn(name, F.col("b_") + F.col("o_")).drop("v_", "at_", "p_", "b_", "o_")
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Adds name: the row's place from 0 in one global order."""
     return running_total(df, order, F.lit(1), name)
 
@@ -54,10 +62,9 @@ def page_window(current: Column, last: Column) -> Column:
 
 def evenly_spaced(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """k rows of each group, evenly spaced with both ends; smaller groups whole."""
-    w = Window.partitionBy(group)
-    t = df.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    pick = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("n") - 1) / F.lit(max(1, k - 1)) + 0.5).cast("int"))
-    return t.filter((F.col("n") <= k) | F.array_contains(pick, F.col("i")) if k > 1 else F.col("i") == 0).drop("i", "n")
+    t = _placed(df, group, [F.col(order)])
+    pick = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("n_") - 1) / F.lit(max(1, k - 1)) + 0.5).cast("long"))
+    return t.filter((F.col("n_") <= k) | F.array_contains(pick, F.col("i_")) if k > 1 else F.col("i_") == 0).drop("i_", "n_")
 
 
 def outline_issues(df: DataFrame, levels: str, at: str) -> DataFrame:

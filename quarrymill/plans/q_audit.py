@@ -8,6 +8,7 @@ from ..functions import html as H
 from ..functions import url as U
 from ..operators import build_audit as A
 from ..operators import crawl as W
+from ..operators import digest as G
 from ..operators import hierarchy as Y
 from . import bridge as B
 from .bridge import oracle as o
@@ -184,3 +185,22 @@ def h06(spark, d):
     refs = site.select(key.alias("source"), F.explode(H.link_references(F.col("body"))).alias("r")).filter("r.tag = 'a' and r.raw like '/%'")
     links = refs.select("source", U.comparison_key(U.resolve(F.col("r.raw"), F.lit(ORIGIN)), F.lit(ORIGIN)).alias("target")).distinct()
     return Y.crawl_waves(links, spark.createDataFrame([("/",)], "url string"), 3)
+
+
+def _digests(spark, d):
+    """routes (route, template, file), recorded, built: a line a link of a page, with a box from its place and length that the build moves by up to two."""
+    t = B.live(spark, d).join(B.pages(spark, d).select("page_id", "html"), "page_id").withColumn("file", F.concat("page_id", F.lit(".txt")))
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
+    text = lambda move: F.array_join(F.transform(hrefs, lambda h, i: F.concat(F.lit("a"), i.cast("string"), F.lit(" | "), F.length(h).cast("string"), F.lit(" "), (i * 10 + move).cast("string"), F.lit(" | color | "), h)), "\n")
+    routes = t.select(F.col("key").alias("route"), F.when(F.col("family") != "entry", F.col("family")).alias("template"), "file")
+    recorded = t.filter("page_id % 7 <> 0").select("file", text(F.lit(0)).alias("text"))
+    return routes, recorded, t.filter("page_id % 9 <> 0").select("file", text((F.col("page_id") % 3).cast("int")).alias("text"))
+
+
+@query("g13_render_digest", o(r""", ranked AS (SELECT page_id, key, family, row_number() OVER (PARTITION BY family ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY family) AS n FROM live),
+kept AS (SELECT page_id FROM ranked WHERE family = 'entry' OR n <= 6 OR list_contains(list_transform(range(0, 6), lambda j: floor(j * (n - 1) / 5.0 + 0.5)::BIGINT), i)),
+hr AS (SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"')) AS n FROM pages JOIN kept USING (page_id))
+SELECT page_id || '.txt' AS file, 'changed' AS kind, n::BIGINT AS removed, n::BIGINT AS added FROM hr WHERE page_id % 7 <> 0 AND page_id % 9 <> 0 AND page_id % 3 = 2 AND n > 0
+UNION ALL SELECT page_id || '.txt', 'unrecorded', 0, 0 FROM hr WHERE page_id % 7 = 0 AND page_id % 9 <> 0 UNION ALL SELECT page_id || '.txt', 'vanished', 0, 0 FROM hr WHERE page_id % 7 <> 0 AND page_id % 9 = 0"""))
+def g13(spark, d):
+    return G.gate(*_digests(spark, d))
