@@ -221,13 +221,6 @@ def n03(spark, d):
     return R.findings(t, "doc_id", [("bad-locale", ~F.col("lang").rlike("^[a-z]{2}$")), ("short-body", F.col("n_chars") < 300), ("long-title", F.length(F.split("text", "\n", 2)[0]) > 400), ("unknown-author", F.col("source").isin("src1", "src2"))])
 
 
-@query("k06_sitemap_xml", o("SELECT locale, '<urlset>' || string_agg('<url><loc>https://new.example/' || slug || '/</loc><lastmod>' || strftime(published, '%Y-%m-%d') || '</lastmod></url>', '' ORDER BY slug) || '</urlset>' AS xml FROM posts GROUP BY locale"))
-def k06(spark, d):
-    line = F.format_string("<url><loc>%s</loc><lastmod>%s</lastmod></url>", T.escape_xml(F.concat(F.lit("https://new.example/"), F.col("slug"), F.lit("/"))), F.date_format("published", "yyyy-MM-dd"))
-    t = B.posts(spark, d).groupBy("locale").agg(F.array_sort(F.collect_list(F.struct("slug", line.alias("l")))).alias("u"))
-    return t.select("locale", F.concat(F.lit("<urlset>"), F.array_join(F.transform("u", lambda x: x["l"]), ""), F.lit("</urlset>")).alias("xml"))
-
-
 @query("k08_redirect_lines", o("SELECT from_path || ' ' || to_path || ' 301' AS line FROM rules UNION ALL SELECT prefix || '/* /:splat 301' FROM splats"))
 def k08(spark, d):
     s = spark.createDataFrame(list(B.SPLATS), "prefix string, ord int")

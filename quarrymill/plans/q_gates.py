@@ -130,12 +130,6 @@ def t06(spark, d):
     return O.report_lines(diffed(spark, d), "classification", "key", 20)
 
 
-@query("k09_search_index", o("SELECT locale, slug AS id, md5('{\"id\":' || to_json(slug) || ',\"title\":' || to_json(author) || ',\"summary\":null,\"url\":' || to_json('/' || slug || '/') || '}') AS digest FROM posts"))
-def k09(spark, d):
-    p = B.posts(spark, d).select(F.col("slug").alias("id"), "locale", F.col("author").alias("title"), F.lit(None).cast("string").alias("summary"), F.concat(F.lit("/"), F.col("slug"), F.lit("/")).alias("url"))
-    return K.search_index(p).select("locale", "id", F.md5("json").alias("digest"))
-
-
 @query("k11_digest_text", o("SELECT page_id, string_agg(raw, chr(10) ORDER BY raw) || chr(10) AS body FROM refs GROUP BY page_id"))
 def k11(spark, d):
     return B.refs(spark, d).groupBy("page_id").agg(F.array_sort(F.collect_list("raw")).alias("x")).select("page_id", K.digest_text(F.col("x")).alias("body"))
