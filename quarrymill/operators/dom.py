@@ -108,7 +108,7 @@ def folded(s: str) -> str:
 def surface(html: str, dropped: tuple[str, ...] = ()) -> tuple[list[tuple[str, str]], str]:
     """((key, element) asked, all that is said): elements hidden from all readers are left out, each key once, by its first element."""
     page = walk(html)
-    hidden = [(s, e) for _, name, _, s, e, a in page if e >= s and (a.get("aria-hidden") == "true" or "hidden" in a or a.get("role") == "dialog" or any(c in a.get("class", "").split() for c in dropped))]
+    hidden = [(s, e) for _, name, _, s, e, a in page if e >= s and (a.get("aria-hidden") == "true" or "hidden" in a or a.get("role") == "dialog" or any(c in a.get("class", "") for c in dropped))]
     plain = blanked(html)
 
     def text(a: int, b: int) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import site as S
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import rules as R
@@ -54,34 +55,40 @@ def p08(spark, d):
     return B.posts(spark, d).filter((F.col("author") == "src3") | F.array_contains("categories", "c2") | F.array_contains("tags", "t5")).select("doc_id")
 
 
-_ROUTE = "routes AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '/search/' WHEN 1 THEN '/404.html' WHEN 2 THEN '/404/' WHEN 3 THEN '/blog/page/' || doc_id || '/' ELSE '/a/' || doc_id || '/' END AS path FROM documents), r2 AS (SELECT *, rtrim(path, '/') NOT IN ('/search', '/404', '/404.html') AS indexable, regexp_matches(path, '/page/\\d+/?$') AS paged FROM routes)"
+_FIXED = ("/search", "/search/", "/404", "/404/", "/404.html", "/", "/page/2", "/blog/page/x/")
+_ROUTE = (
+    "routes AS (SELECT path FROM live UNION SELECT rtrim(path, '/') || '/page/' || page_id % 9 || '/' FROM live UNION SELECT unnest([" + ", ".join(f"'{p}'" for p in _FIXED) + "]) AS path), "
+    "r1 AS (SELECT path, CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END AS t, CASE WHEN length(path) % 5 = 0 THEN 'preview' ELSE 'production' END AS environment FROM routes), "
+    "r2 AS (SELECT *, t NOT IN ('/search', '/404', '/404.html') AS indexable, regexp_matches(t, '/page/[0-9]+$') AS paged FROM r1)"
+)
 
 
 def _routes(spark, d):
-    i = F.col("doc_id").cast("string")
-    path = F.when(F.col("doc_id") % 6 == 0, "/search/").when(F.col("doc_id") % 6 == 1, "/404.html").when(F.col("doc_id") % 6 == 2, "/404/").when(F.col("doc_id") % 6 == 3, F.concat(F.lit("/blog/page/"), i, F.lit("/"))).otherwise(F.concat(F.lit("/a/"), i, F.lit("/")))
-    t = B.table(spark, d, "documents").select("doc_id", path.alias("path"))
-    return t.withColumn("indexable", ~U.trim_slashes(F.col("path")).isin("/search", "/404", "/404.html")).withColumn("paged", F.col("path").rlike(r"/page/\d+/?$"))
+    """path, environment: the pages' own paths, a further page of each, and paths that no site indexes."""
+    t = B.live(spark, d).select(U.path_part(F.col("key")).alias("path"), "page_id")
+    more = t.select(F.concat(F.regexp_replace("path", "/+$", ""), F.lit("/page/"), (F.col("page_id") % 9).cast("string"), F.lit("/")).alias("path"))
+    every = t.select("path").unionByName(more).unionByName(spark.createDataFrame([(p,) for p in _FIXED], "path string")).distinct()
+    return every.withColumn("environment", F.when(F.length("path") % 5 == 0, "preview").otherwise("production"))
 
 
-@query("p09_indexable_path", o(f", {_ROUTE} SELECT doc_id, indexable FROM r2"))
+@query("p09_indexable_path", o(f", {_ROUTE} SELECT path, indexable FROM r2"))
 def p09(spark, d):
-    return _routes(spark, d).select("doc_id", "indexable")
+    return _routes(spark, d).select("path", S.is_indexable(F.col("path")).alias("indexable"))
 
 
-@query("p10_robots_directive", o(f", {_ROUTE} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'noindex, nofollow' WHEN indexable THEN 'index, follow' ELSE 'noindex, follow' END AS robots FROM r2"))
+@query("p10_robots_directive", o(f", {_ROUTE} SELECT path, CASE WHEN environment = 'production' AND indexable THEN 'index, follow, max-image-preview:large' ELSE 'noindex' END AS robots FROM r2"))
 def p10(spark, d):
-    return _routes(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, "noindex, nofollow").when(F.col("indexable"), "index, follow").otherwise("noindex, follow").alias("robots"))
+    return _routes(spark, d).select("path", S.robots_directive(F.col("path"), F.col("environment")).alias("robots"))
 
 
-@query("p11_sitemap_disposition", o(f", {_ROUTE} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'preview' WHEN NOT indexable THEN 'never' WHEN paged THEN 'pagination' ELSE 'included' END AS disposition FROM r2"))
+@query("p11_sitemap_disposition", o(f", {_ROUTE} SELECT path, CASE WHEN environment = 'preview' THEN 'preview' WHEN NOT indexable THEN 'never' WHEN paged THEN 'pagination' ELSE 'included' END AS disposition FROM r2"))
 def p11(spark, d):
-    return _routes(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, "preview").when(~F.col("indexable"), "never").when(F.col("paged"), "pagination").otherwise("included").alias("disposition"))
+    return _routes(spark, d).select("path", S.sitemap_disposition(F.col("path"), F.col("environment")).alias("disposition"))
 
 
-@query("p12_is_pagination", o(f", {_ROUTE} SELECT doc_id FROM r2 WHERE paged"))
+@query("p12_is_pagination", o(f", {_ROUTE} SELECT path FROM r2 WHERE paged"))
 def p12(spark, d):
-    return _routes(spark, d).filter("paged").select("doc_id")
+    return _routes(spark, d).filter(S.is_pagination(F.col("path"))).select("path")
 
 
 @query("p13_skip_reason", o(r"SELECT page_id, CASE WHEN key LIKE '%?%' THEN 'query-variant' WHEN regexp_matches(path, '(?i)\.(png|jpe?g|webp|avif|gif|svg|css|js|mjs|woff2?|ico|mp4|webm|pdf|zip|docx?|xlsx?)$') THEN 'media-asset' WHEN string_split(path, '/')[2] IN ('de', 'fr') AND path NOT IN ('/de/', '/fr/') THEN 'translated-deep-page' END AS reason FROM live"))

@@ -206,6 +206,12 @@ def search_rows(docs: DataFrame) -> DataFrame:
     return docs.select(*_json("id", ["id", "kind", "title", "summary", "url", "categories", "tags"]))
 
 
+def evidence(df: DataFrame, root: str, kind: str, day: str, key: str, header: dict, limit: int = 1_000_000) -> None:
+    """Dated evidence of a measurement (an inventory, a capture): root/kind-day/kind.json with a header and the rows in the order of their key. A day written
+    again replaces that day; other days stay. A key that occurs twice aborts, as an inventory with two rows for one key is none."""
+    publish(df.select(*_json(key, [f"`{c}`" for c in df.columns])), f"{root.rstrip('/')}/{kind}-{day}", _json_form(f"{kind}.json", header, "records", limit))
+
+
 def overrides_form(limit: int = 1_000_000) -> Form:
     return Form("overrides.json", "[\n", "\n]\n", ",\n", limit, index_head='{\n  "count": {count},\n  "files": [', index_tail="]\n}\n")
 

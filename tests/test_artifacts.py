@@ -95,6 +95,16 @@ def test_difference_report(spark, tmp_path):
     assert read(tmp_path)["diff-report.md"] == "# Inventory difference, 2026-01-01\n\n## GAP (2)\n- `/a/`\n- `/b/`\n## REDIRECT (1)\n- `/c/` → `/x/`\n"
 
 
+def test_dated_evidence(spark, tmp_path):
+    t = spark.createDataFrame([("/b/", 200, None), ("/a/", None, "x")], "key string, status int, `a b` string")
+    for day in ("2026-01-01", "2026-02-01", "2026-01-01"):
+        A.evidence(t, str(tmp_path), "site-map", day, "key", {"origin": ORIGIN, "startedAt": day})
+    assert sorted(os.listdir(tmp_path)) == ["site-map-2026-01-01", "site-map-2026-02-01"]
+    got = [json.loads(x) for d in sorted(os.listdir(tmp_path)) for x in read(tmp_path / d).values()]
+    whole = [r for g in got for r in (g["records"] if "records" in g and g["records"] else [])]
+    assert all(g["origin"] == ORIGIN for g in got) and {(r["key"], r["status"], r["a b"]) for r in whole} == {("/a/", None, "x"), ("/b/", 200, None)}
+
+
 def test_which_file_a_row_falls_into(spark):
     got = [(r["file"], r["pos"]) for r in A.sharded(A.sitemap_rows(pages(spark, 10), ORIGIN), A.sitemap_form(ORIGIN, 4)).orderBy("key").collect()]
     assert got == [(i // 4 + 1, i % 4) for i in range(10)]
