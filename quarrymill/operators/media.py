@@ -36,6 +36,12 @@ def json_urls(registries: DataFrame) -> DataFrame:
             return out
 
 
+def collected(html: Column, profile: MediaProfile) -> Column:
+    """The different references of a text's attributes and styles that name media of the site's own, sorted."""
+    named = F.filter(H.references(html), lambda r: (r["kind"] != "markdown") & identify_asset(r["url"], profile)["classification"].isin(*MIGRATED))
+    return F.array_sort(F.array_distinct(F.transform(named, lambda r: F.trim(r["url"]))))
+
+
 def front_matter_urls(front: Column) -> Column:
     """Values of lines of a front matter block whose key is url, items of a sequence too; a quote at each end goes."""
     lines = F.transform(F.split(front, "\n", -1), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s", " ")), "^- +", ""))

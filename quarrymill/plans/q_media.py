@@ -81,3 +81,11 @@ UNION ALL SELECT 'references', classification, NULL, count(*) FROM media WHERE c
 UNION ALL SELECT 'unsupported', url, NULL, count(*) FROM media WHERE classification = 'UNSUPPORTED' GROUP BY 2"""))
 def k10(spark, d):
     return M.manifest(_found(spark, d))
+
+
+@query("x04_collected_media", o(f", {_SQL} SELECT file, array_to_string(list_sort(list_distinct(list(trim(url)))), ' ') AS urls FROM media WHERE field IN ('src', 'href') AND key IS NOT NULL AND file LIKE 'posts/%' GROUP BY file"))
+def x04(spark, d):
+    """Documents that name media of the site's own, with what they name."""
+    entries, _ = _tree(spark, d)
+    t = entries.select("file", M.collected(F.expr("substring(text, locate('\\n---\\n', text, 4) + 5)"), PROFILE).alias("urls"))
+    return t.filter(F.size("urls") > 0).select("file", F.array_join("urls", " ").alias("urls"))

@@ -61,3 +61,18 @@ def servable_routes(spark: SparkSession, root: str) -> DataFrame:
 def newest(paths: DataFrame, prefix: str) -> DataFrame:
     """The lexicographically last name with a prefix; null without one."""
     return paths.filter(F.col("name").startswith(prefix)).agg(F.max("name").alias("name"))
+
+
+# Folders of a tree that hold no documents of its own.
+IGNORED = (".git", "node_modules", "dist", ".astro")
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """file, text of the Markdown files below a folder, those of tools and builds left out."""
+    parts = F.split("file", "/", -1)
+    return texts(spark, root, "*.md").filter(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in IGNORED])))
+
+
+def digests(spark: SparkSession, root: str) -> DataFrame:
+    """file, text of the recorded render digests in a folder."""
+    return texts(spark, root, "*.txt")

@@ -44,6 +44,18 @@ def redirect_problems(spark: SparkSession, path: str) -> DataFrame:
     ])
 
 
+def cms_types(text: Column) -> Column:
+    """array of struct(name, slug, rest_base, hierarchical, taxonomies) of the listing of content types or taxonomies that a CMS answers, an object by name,
+    sorted by name: without a rest_base it is the name, without a slug too; null for what is no object."""
+    kind = "map<string,struct<slug:string,rest_base:string,hierarchical:boolean,taxonomies:array<string>,types:array<string>>>"
+    none = F.array().cast("array<string>")
+    row = lambda e: F.struct(
+        e["key"].alias("name"), F.coalesce(e["value"]["slug"], e["key"]).alias("slug"), F.coalesce(e["value"]["rest_base"], e["key"]).alias("rest_base"), F.coalesce(e["value"]["hierarchical"], F.lit(False)).alias("hierarchical"),
+        F.coalesce(e["value"]["taxonomies"], e["value"]["types"], none).alias("taxonomies"),
+    )
+    return F.when(F.ltrim(text).startswith("{"), F.array_sort(F.transform(F.map_entries(F.from_json(text, kind)), row)))
+
+
 def sitemap_urls(xml: Column) -> Column:
     """The loc values of a sitemap or of a sitemap index, decoded."""
     from ..functions.text import decode_entities
