@@ -31,13 +31,14 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come in the mixed order, sources at equal weights; every document stays."""
+    """Documents come in the mixed order, sources at equal weights; every document stays. The order is that of files and rows, by which tokenize reads them."""
     return mixing.in_order(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of ids and of the decoded bytes."""
-    return byte_bpe.encode(docs, byte_bpe.load_ranks(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
+    """The mixed documents as one stream of tokens: every document's token ids, with digests of ids and of the decoded bytes, its place in the mixed order, and
+    the shard of consecutive documents that it falls into, with the number of tokens before it there."""
+    return byte_bpe.encode(docs, byte_bpe.load_ranks(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, stream=True)
 
 
 STAGES = [("language_id", identify), ("ngram_jaccard_join", unique), ("secret_scan", mask_secrets), ("source_mixing", interleave), ("byte_bpe", tokenize)]

@@ -6,6 +6,9 @@ go back to the batches that asked and are joined with the words by their positio
 no shuffle: their id is in the rank table, which is sent to the workers (its size is the vocabulary's). Decoding looks ids up
 in the token-byte table.
 
+Where the order of the documents counts (a mixed stream), batches are shards of consecutive documents instead of texts dealt by hash, and each document
+gets its place, its shard and where its tokens begin in it.
+
 Both uses of a batch read one exchange of the texts. A word that a third of all texts holds goes out once a batch.
 
 Defined cases: null text is the empty text: no ids, the digest of the empty string; repeated rows each get a row; null
@@ -20,18 +23,20 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import tidy
-from .shared import bounded, parts_for
+from .shared import bounded, parts_for, with_place
 
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 8_000_000
+#: Runs of rows, at most, by which a stream of documents is cut to shards (a row each is broadcast), and rows in a run, at least.
+RUNS, RUN_ROWS = 65_536, 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -170,11 +175,23 @@ def _texts(blobs: list[bytes]) -> list[str]:
     return [x.decode() for z in blobs for x in unpack(z)]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with_ids: and ids."""
+def in_shards(docs: DataFrame, n_rows: int, batch_bytes: int) -> DataFrame:
+    """doc_id, text, place (the row's number in the order as written), batch: shards of consecutive rows, of about batch_bytes of text each. Bytes are
+    summed by runs of rows, so a shard goes beyond its measure by a run at most."""
+    t = with_place(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), "place")
+    t = t.withColumn("run_", F.floor(F.col("place") / max(RUN_ROWS, -(-n_rows // RUNS))))
+    runs = t.groupBy("run_").agg(F.sum(F.octet_length("text")).alias("b_"))
+    before = F.sum("b_").over(Window.orderBy("run_")) - F.col("b_")  # a row a run
+    return t.join(F.broadcast(runs.select("run_", F.floor(before / batch_bytes).alias("batch"))), "run_").select("doc_id", "text", "place", "batch")
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, batch_bytes: int = BATCH_BYTES, stream: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with_ids: and ids. stream: the rows in the order as written make one stream of tokens, in
+    shards of about batch_bytes of text; then batches are shards, and come with place (the row's number in the stream), shard and start (tokens
+    before it in its shard)."""
     spark = docs.sparkSession
     bounded(spark, 4000)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     n = max(1, -(-int(size) // batch_bytes))
     parts = parts_for(spark, n, 4)
     sent = spark.sparkContext.broadcast({"ranks": ranks, "pattern": pattern})
@@ -182,14 +199,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups: dict[int, tuple[list, list[bytes]]] = {}
-            for doc_id, t, k in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "batch")), strict=True):
-                ids, held = groups.setdefault(k, ([], []))
+            groups: dict[int, tuple[list, list, list[bytes]]] = {}
+            for doc_id, t, place, k in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "place", "batch")), strict=True):
+                ids, places, held = groups.setdefault(k, ([], [], []))
                 ids.append(doc_id)
+                places.append(place)
                 held.append(t.encode())
-            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), pa.array([x for x, _ in groups.values()], pa.list_(pa.int64())), pa.array([pack(x) for _, x in groups.values()], pa.binary())], names=["batch", "doc_ids", "z"])
+            ids, places, held = zip(*groups.values(), strict=True) if groups else ((), (), ())
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (ids, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), *longs, pa.array([pack(x) for x in held], pa.binary())], names=["batch", "doc_ids", "places", "z"])
 
-    base = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).alias("batch")).mapInArrow(squeeze, "batch long, doc_ids array<long>, z binary")
+    dealt_out = in_shards(docs, n_rows, batch_bytes) if stream else docs.select("doc_id", text.alias("text"), F.lit(0).cast("long").alias("place"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).alias("batch"))
+    base = dealt_out.mapInArrow(squeeze, "batch long, doc_ids array<long>, places array<long>, z binary")
 
     def ask(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
@@ -221,6 +242,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
         # words by their numbers in this batch, in text order
         number: defaultdict[str, int] = defaultdict(count().__next__)
         texts = [array("i", map(number.__getitem__, codec.words(t))) for t in _texts(left.column("z").to_pylist())]
+        doc_ids, places = ([x for c in left.column(k).to_pylist() for x in c] for k in ("doc_ids", "places"))
+        if stream:
+            turn = sorted(range(len(places)), key=places.__getitem__)
+            texts, doc_ids, places = ([x[i] for i in turn] for x in (texts, doc_ids, places))
         own = dealt(number.keys() - codec.whole.keys(), parts)
         ids_of: dict[bytes, list[int]] = {}
         for part, blob in zip(right.column("part").to_pylist(), right.column("ids").to_pylist(), strict=True):
@@ -238,14 +263,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
             if with_ids:
                 each.append([i for w in t for i in ids[w]])
         tidy()
-        doc_ids = pa.array([x for c in left.column("doc_ids").to_pylist() for x in c], pa.int64())
-        cols = [doc_ids, pa.array(n_tokens, pa.int64()), pa.array(digest, pa.string()), pa.array(plain, pa.string())]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        return pa.table([*cols, pa.array(each, pa.list_(pa.int32()))] if with_ids else cols, names=[*names, "ids"] if with_ids else names)
+        cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(digest, pa.string()), "decoded_sha256": pa.array(plain, pa.string())}
+        if with_ids:
+            cols["ids"] = pa.array(each, pa.list_(pa.int32()))
+        if stream:
+            starts = [0, *accumulate(n_tokens)][: len(n_tokens)]
+            shard = left.column("batch").to_pylist()[0] if places else 0
+            cols |= {"place": pa.array(places, pa.int64()), "shard": pa.array([shard] * len(places), pa.int64()), "start": pa.array(starts, pa.int64())}
+        return pa.table(cols)
 
     asked = base.groupBy("batch").applyInArrow(ask, "batch long, part int, blob binary")
     answered = asked.groupBy("part").applyInArrow(answer, "batch long, part int, ids binary")
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", place long, shard long, start long" * stream
     return base.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(join, out)
 
 

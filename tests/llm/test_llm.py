@@ -668,6 +668,29 @@ def test_stages_keep_the_columns(spark, docs):
         assert corpus_pipeline.STAGES[-1][1](spark, d, DATA).count() == d.count()
 
 
+def test_tokens_follow_the_mixed_order(spark, docs, tmp_path):
+    import corpus_pipeline
+    from quarrymill.llm import shared
+
+    d = docs.unionByName(docs.limit(30)).repartition(7)
+    corpus_pipeline.interleave(spark, d, DATA).write.parquet(f"{tmp_path}/mixed")
+    mixed, n = spark.read.parquet(f"{tmp_path}/mixed"), d.count()
+    want = [r["doc_id"] for r in mixing.mix(d).orderBy("position").collect()]
+    assert want != sorted(want)
+    small = byte_bpe.encode(mixed, {bytes([i]): i for i in range(256)}, r"\S+|\s+", stream=True, batch_bytes=30_000)
+    for got in (corpus_pipeline.tokenize(spark, mixed, DATA).collect(), small.collect()):
+        got = sorted(got, key=lambda r: r["place"])
+        assert [r["place"] for r in got] == list(range(n)) and [r["doc_id"] for r in got] == want
+        assert [r["shard"] for r in got] == sorted(r["shard"] for r in got)
+        at = {}
+        for r in got:
+            assert r["start"] == at.get(r["shard"], 0)
+            at[r["shard"]] = r["start"] + r["n_tokens"]
+    assert len(at) > 5
+    loose = sorted(corpus_pipeline.tokenize(spark, shared.written(mixed.orderBy("doc_id"), "unmixed"), DATA).collect(), key=lambda r: r["place"])
+    assert [r["doc_id"] for r in loose] == sorted(want)  # without the mixed order the stream is another
+
+
 def test_pipeline_on_hostile_rows(spark, tmp_path):
     import corpus_pipeline
 
