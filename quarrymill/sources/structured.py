@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.batches import bounded
+
 
 def registry(spark: SparkSession, path: str, schema: str, allowed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of a JSON array of rows. A file that is no array, and rows with unknown fields, are problems."""
@@ -118,6 +120,7 @@ def front_matter(entries: DataFrame) -> DataFrame:
             got = [parse_front_matter(t) for t in b["text"]]
             yield pd.DataFrame({"file": b["file"], "fields": [list((g or {}).items()) for g in got], "problem": [None if g is not None else "no-front-matter" for g in got]})
 
+    bounded(entries.sparkSession)
     t = entries.select("file", "text").mapInPandas(run, "file string, fields array<struct<k:string,v:array<string>>>, problem string")
     return t.select("file", F.map_from_entries("fields").alias("fields"), "problem")
 
@@ -167,6 +170,7 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
             rows = [(f, *x) for f, t in zip(b["file"], b["text"], strict=True) for x in parse_markdown(t)]
             yield pd.DataFrame(rows, columns=["file", "line", "text", "fenced", "level", "heading"])
 
+    bounded(docs.sparkSession)
     return docs.select("file", "text").mapInPandas(run, "file string, line int, text string, fenced boolean, level int, heading string")
 
 

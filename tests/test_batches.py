@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import dom
+from quarrymill.sources import structured
 
 N = 3000
 
@@ -22,7 +23,7 @@ def most(spark, monkeypatch, tmp_path):
 @pytest.mark.parametrize(
     "plan",
     [
-        lambda t: dom.surfaces(t, "file", "text"), lambda t: dom.elements(t, "file", "text"), lambda t: dom.map_text(t, "text", str.upper),
+        lambda t: dom.surfaces(t, "file", "text"), lambda t: dom.elements(t, "file", "text"), lambda t: dom.map_text(t, "text", str.upper), structured.front_matter, structured.markdown_lines,
     ],
 )
 def test_batches_are_small(spark, most, plan):
