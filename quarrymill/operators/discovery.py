@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .batches import bounded
 from .dom import folded as fold
 
 # Weights of fields.
@@ -24,6 +25,7 @@ def folded(c: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else x.lower() if x.isascii() else fold(x))
 
+    bounded(SparkSession.active())
     return run(c)
 
 

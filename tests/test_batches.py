@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import dom
+from quarrymill.operators import discovery, dom
 from quarrymill.sources import structured
 
 N = 3000
@@ -24,6 +24,7 @@ def most(spark, monkeypatch, tmp_path):
     "plan",
     [
         lambda t: dom.surfaces(t, "file", "text"), lambda t: dom.elements(t, "file", "text"), lambda t: dom.map_text(t, "text", str.upper), structured.front_matter, structured.markdown_lines,
+        lambda t: t.select(discovery.folded(F.col("text"))),
     ],
 )
 def test_batches_are_small(spark, most, plan):
