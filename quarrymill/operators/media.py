@@ -92,12 +92,13 @@ def verify(references: DataFrame, captured: DataFrame) -> DataFrame:
 def manifest(references: DataFrame) -> DataFrame:
     """section, name, local, n: the rows of a media manifest. assets (a row each, with the number of references), references (classes), hosts
     (external ones), unsupported (each spelling)."""
-    none = F.lit(None).cast("string").alias("local")
     known = references.filter("asset is not null")
     owned = F.col("asset.key").isNotNull() & F.col("asset.local").isNotNull()
-    assets = known.filter(owned).groupBy(F.col("asset.key").alias("name")).agg(F.min("asset.local").alias("local"), F.count(F.lit(1)).alias("n")).select(F.lit("assets").alias("section"), "name", "local", "n")
-    classes = known.groupBy(F.col("asset.classification").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("references").alias("section"), "name", none, "n")
-    away = known.filter(~owned & (F.col("asset.classification") == "EXTERNAL") & (F.coalesce("asset.host", F.lit("")) != ""))
-    hosts = away.groupBy(F.col("asset.host").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("hosts").alias("section"), "name", none, "n")
-    refused = known.filter(~owned & (F.col("asset.classification") == "UNSUPPORTED")).groupBy(F.col("url").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("unsupported").alias("section"), "name", none, "n")
-    return assets.unionByName(classes).unionByName(hosts).unionByName(refused)
+    row = lambda section, name, local=F.lit(None).cast("string"): F.struct(F.lit(section).alias("section"), name.alias("name"), local.alias("local"))
+    away = ~owned & (F.col("asset.classification") == "EXTERNAL") & (F.coalesce("asset.host", F.lit("")) != "")
+    refused = ~owned & (F.col("asset.classification") == "UNSUPPORTED")
+    # every reference is read once and says in which rows it counts; outer: the planner would else ask for a size first, and compute all of it twice
+    counted = F.array_compact(F.array(
+        F.when(owned, row("assets", F.col("asset.key"), F.col("asset.local"))), row("references", F.col("asset.classification")), F.when(away, row("hosts", F.col("asset.host"))), F.when(refused, row("unsupported", F.col("url"))),
+    ))
+    return known.select(F.explode_outer(counted).alias("r")).groupBy("r.section", "r.name").agg(F.min("r.local").alias("local"), F.count(F.lit(1)).alias("n"))

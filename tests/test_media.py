@@ -84,3 +84,21 @@ def test_nulls_and_nothing(spark):
     t = spark.createDataFrame([("a", None)], "file string, text string")
     assert M.found(t, t, PROFILE).count() == 0
     assert M.verify(M.found(t, t, PROFILE), t.select(F.lit("media/x").alias("file"))).count() == 1
+
+
+def test_a_manifest_reads_its_references_once(spark):
+    import pandas as pd
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    flat = spark.createDataFrame(pd.DataFrame({"url": ["https://away.example/a.png", "#x", f"{UP}a.png", f"{UP}a.png"], "kind": ["EXTERNAL", "UNSUPPORTED", "SUPPORTED", "SUPPORTED"], "key": [None, None, "k", "k"]})).coalesce(1)
+    flat = flat.mapInPandas(counted, flat.schema)
+    asset = "named_struct('classification', kind, 'key', key, 'local', if(key is null, null, '/media/k'), 'host', if(kind = 'EXTERNAL', 'away.example', '')) as asset"
+    got = sorted(tuple(str(x) for x in r) for r in M.manifest(flat.selectExpr("'f' as file", "'src' as field", "url", asset)).collect())
+    assert got == [("assets", "k", "/media/k", "2"), ("hosts", "away.example", "None", "1"), ("references", "EXTERNAL", "None", "1"), ("references", "SUPPORTED", "None", "2"), ("references", "UNSUPPORTED", "None", "1"), ("unsupported", "#x", "None", "1")]
+    assert seen.value == 4
