@@ -62,14 +62,16 @@ def read(pages: DataFrame, review: tuple[str, ...] = ()) -> DataFrame:
         own = own | F.col("file").startswith(p)
     skip = F.regexp_extract(h, r'<a[^>]*class="[^"]*\bskip[a-z-]*\b[^"]*"[^>]*href="#([^"]+)"', 1)
     tags = H.all_of(h, r"<([a-z0-9]+\b[^>]*)>")
-    target = F.get(F.filter(tags, lambda t: t.contains(F.concat(F.lit(' id="'), skip, F.lit('"')))), F.lit(0))
+    # each computed once: within a filter, a text searched for the link's name would be searched again for every tag
+    target = lambda name: F.get(F.filter(tags, lambda t: t.contains(name)), F.lit(0))
+    aim = lambda s, t: F.struct(s.alias("id"), F.regexp_extract(t, "^[a-z0-9]+", 0).alias("tag"), t.contains('tabindex="').alias("tab"))
     toggle = F.get(F.filter(H.all_of(h, r"<(input\b[^>]*)>"), lambda t: t.contains('type="checkbox"') & t.rlike(r'\sid="[^"]+"')), F.lit(0))
     nav = F.array_join(H.all_of(h, r"(?s)<nav\b[^>]*>(.*?)</nav>"), "\n")
     return pages.select(
         "file", own.alias("review"), F.md5(F.coalesce("css", F.lit(""))).alias("sheet"), H.heading_levels(h).alias("levels"), landmarks(h).alias("marks"),
         F.filter(elements(h, "a|button|summary"), lambda e: (e["tag"] != "a") | e["linked"]).alias("controls"), elements(h, "ul|ol").alias("lists"),
-        F.when(skip != "", F.struct(skip.alias("id"), F.regexp_extract(target, "^[a-z0-9]+", 0).alias("tag"), target.contains('tabindex="').alias("tab"))).alias("skip"),
-        F.when(toggle.isNotNull(), F.struct(h.contains(F.concat(F.lit('for="'), _attribute(toggle, "id"), F.lit('"'))).alias("label"), toggle.rlike(r"\bchecked\b").alias("checked"))).alias("toggle"),
+        H.let(skip, lambda s: F.when(s != "", H.let(F.concat(F.lit(' id="'), s, F.lit('"')), lambda name: H.let(target(name), lambda t: aim(s, t))))).alias("skip"),
+        H.let(toggle, lambda t: F.when(t.isNotNull(), F.struct(h.contains(F.concat(F.lit('for="'), _attribute(t, "id"), F.lit('"'))).alias("label"), t.rlike(r"\bchecked\b").alias("checked")))).alias("toggle"),
         F.transform(F.filter(H.all_of(h, r"<(a\b[^>]*)>"), lambda t: t.contains('aria-current="page"')), lambda t: _attribute(t, "href")).alias("current"),
         F.transform(H.all_of(nav, r"<(a\b[^>]*)>"), lambda t: _attribute(t, "href")).alias("nav_links"),
     )

@@ -102,3 +102,9 @@ def test_baseline_and_warnings(spark):
 def test_counts(spark):
     t = spark.createDataFrame([("index.html", PAGE, FOCUS), ("r/x.html", None, None)], "file string, html string, css string")
     assert tuple(A.counts(t, ("r/",)).first()) == (2, 1, 2, 2, 1)
+
+
+def test_the_skip_link_is_looked_for_once_a_page(spark, capsys):
+    pages = spark.createDataFrame([("a", "<p>x</p>", "")], "file string, html string, css string")
+    A.read(pages).select("skip").explain(True)
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("bskip[a-z-]*") == 1
