@@ -39,7 +39,7 @@ def responses(site: DataFrame, origin: str) -> DataFrame:
     """What a crawl needs of stored responses (url, status, content_type, location, body): keys, links and locations instead of bodies."""
     body, o = F.col("body"), F.lit(origin)
     html = body.isNotNull() & F.coalesce(F.lower("content_type"), F.lit("")).contains("text/html")
-    links = F.transform(F.filter(H.link_references(body), lambda r: (r["tag"] == "a") & (r["attribute"] == "href")), lambda r: U.comparison_key(U.resolve(r["raw"], o), o))
+    links = F.transform(F.filter(H.link_references(body), lambda r: (r["tag"] == "a") & (r["attribute"] == "href")), lambda r: H.let(U.resolve(r["raw"], o), lambda u: U.comparison_key(u, o)))
     return site.select(
         "url", U.comparison_key(F.col("url"), o).alias("key"), "status", "content_type", "location", body.isNotNull().alias("has_body"), F.when(html, F.get(H.canonicals(body), F.lit(0))).alias("canonical"),
         F.when(html, F.array_compact(links)).alias("links"), X.is_sitemap_index(body).alias("is_index"), F.when(body.isNotNull(), X.sitemap_urls(body)).alias("locs"),

@@ -141,3 +141,14 @@ def test_running_totals(spark):
     for n, (_, i) in enumerate(rows):
         assert got[i] == (total, n)
         total += i % 7
+
+
+def test_a_link_is_resolved_once(spark, capsys):
+    from quarrymill.operators import crawl
+
+    site = spark.createDataFrame([("https://a.example/", 200, "text/html", None, "<a href='/b/'>b</a>")], "url string, status int, content_type string, location string, body string")
+    once = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    spark.range(1).select(crawl.U.resolve(crawl.F.lit("/b"), crawl.F.rand().cast("string"))).explain(True)
+    own = capsys.readouterr().out.split("== Optimized Logical Plan ==")[0].split("== Analyzed Logical Plan ==")[1].count(once)
+    crawl.responses(site, "https://a.example").select("links").explain(True)
+    assert 0 < capsys.readouterr().out.split("== Analyzed Logical Plan ==")[1].split("== Optimized Logical Plan ==")[0].count(once) <= own
